@@ -11,6 +11,18 @@ def op9_quality_rules(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality.MEASURES)
 
 
+def op2_simhash(spark, sf_dir):
+    from . import simhash
+
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark, sf_dir):
+    from . import decontam
+
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
