@@ -23,12 +23,23 @@ def op3_decontamination(spark, sf_dir):
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_best_fit_packing(spark, sf_dir):
+    from . import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op8_url_filters(spark, sf_dir):
+    from . import urls
+
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql():
-    return dict(ORACLE_SQL)
-
+    from . import urls
 
-ORACLE_SQL: dict[str, str] = {}
+    return {"op8_url_filters": urls.duckdb_sql()}
