@@ -35,6 +35,18 @@ def op8_url_filters(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_license_scans(spark, sf_dir):
+    from . import licenses
+
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark, sf_dir):
+    from . import langid
+
+    return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
