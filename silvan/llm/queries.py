@@ -47,6 +47,13 @@ def op10_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_toxicity(spark, sf_dir):
+    from . import toxicity
+
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
