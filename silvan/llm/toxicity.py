@@ -21,16 +21,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .langid import held_out
+from .spool import spool
 from .text import alnum_words, as_bytes, slices
 
 #: Labelled examples of each class that are indexed at most (those with the least id hashes).
 EXAMPLES_PER_CLASS = 1000
 #: Terms of the index at most: those with the highest chi-square against the label.
 MAX_TERMS = 1024
-#: Chi-square that a term must reach (about one chance in 10^8).
-MIN_CHI2 = 33.0
+#: Chi-square that a term must reach (less than one chance in 10^4).
+MIN_CHI2 = 16.0
 NEIGHBOURS = 15
 BLOCK = 64
+#: Vote for no label, in near-identical toxic examples: neighbours that are all far away prove little.
+DOUBT = 0.5
 THRESHOLD = 0.7
 
 
@@ -85,7 +88,7 @@ class Index:
 
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
         share = cosines**4 * self.weights[found]
-        return float(share @ self.labels[found] / share.sum()) if len(found) else -1.0
+        return float(share @ self.labels[found] / (share.sum() + DOUBT)) if len(found) else -1.0
 
     def calibrate(self) -> Index:
         """Isotonic steps from leave-one-out votes; texts without a term get the rate of such examples."""
@@ -162,6 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = EXAM
     picked = known.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_class).select("doc_id", "toxic").distinct()
     # two classes of at most `per_class` ids: a bounded side
     sample = docs.select("doc_id", as_bytes().alias("raw")).join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "raw")
+    # copies of one text are one example, else its words would all tell the labels apart
+    sample = spool(sample.withColumn("raw", F.coalesce("raw", F.lit(b""))).groupBy("raw", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic", "raw"), "examples")
 
     size = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = size.get(1, 0), size.get(0, 0)
@@ -192,6 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = EXAM
     examples.sort(key=lambda r: (sorted(zip(r["weight"], r["at"], strict=True), reverse=True)[:2], r["doc_id"]))
     truth = np.array([r["toxic"] for r in examples], np.int64)
     scale = {c: totals.get(c, 0) / max(1, size.get(c, 0)) for c in (0, 1)}
+    scale = {c: x / (scale[1] or 1) for c, x in scale.items()}
     blocks = -(-max(1, len(examples)) // BLOCK)
     block_max, lists = np.zeros((len(terms), blocks)), [([], []) for _ in terms]
     for k, r in enumerate(examples):
