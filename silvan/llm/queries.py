@@ -54,6 +54,13 @@ def op4_toxicity(spark, sf_dir):
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_repeated_strings(spark, sf_dir):
+    from . import repeats
+
+    found = repeats.removals(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
