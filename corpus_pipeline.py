@@ -2,23 +2,53 @@
 
 from __future__ import annotations
 
-from silvan.llm import quality
+from silvan.llm import decontam, lines, packing, quality, simhash
+from silvan.llm.spool import spool
 from silvan.llm.text import table
 
 
 def quality_rules(spark, docs, sf_dir):
+    """Rejected documents go; the others lose their failing lines."""
     return quality.clean(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def line_dedup(spark, docs, sf_dir):
+    """Lines that repeat an earlier one, exactly or within two edits, go; every document stays."""
+    return lines.clean(docs)
 
-#: No stage after the first can be written in SQL; tests hold them against brute force.
+
+def simhash_near_dedup(spark, docs, sf_dir):
+    """One document of each near-duplicate class stays, that with the least doc_id."""
+    return simhash.one_of_each(docs)
+
+
+def benchmark_decontamination(spark, docs, sf_dir):
+    """Benchmark passages are cut out; documents that consist mostly of them go."""
+    return decontam.remove_spans(docs, table(spark, sf_dir, "benchmark"))
+
+
+def best_fit_packing(spark, docs, sf_dir):
+    """One row per packed sequence: its documents, pieces and offsets."""
+    return packing.bins(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: The stages cannot be written in SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """All stages over ``documents``, each written as Parquet and reread as the next one's input."""
+    """All stages over ``documents``; each but the last is written as Parquet and reread by the next."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = spool(docs, name)
     return docs

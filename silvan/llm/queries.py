@@ -11,6 +11,12 @@ def op9_quality_rules(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality.MEASURES)
 
 
+def op1_line_dedup(spark, sf_dir):
+    from . import lines
+
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark, sf_dir):
     from . import simhash
 
