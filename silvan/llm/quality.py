@@ -140,6 +140,7 @@ def clean(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     input's columns travel in one struct.
     """
     df = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), F.col("text").cast("string").alias("_text"))
-    df = _steps(df, rules).filter("kept")
+    # the place is there to keep the filter above the measures; pushed below, it would repeat them all
+    df = _steps(df, rules).withColumn("_place", F.monotonically_increasing_id()).filter("kept and _place >= 0")
     changed = {"text": F.col("_kept_text"), "n_chars": F.length("_kept_text").cast("long")}
     return df.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
