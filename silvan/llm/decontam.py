@@ -279,7 +279,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
 
     @F.udf("string")
     def cleaned(raw, spans):
-        return cut(bytes(raw), spans).decode("utf-8", "replace")
+        return cut(bytes(raw), spans).decode("utf-8", "replace") if raw and spans else None
 
     hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + (F.get(s, 1) - F.get(s, 0)))
     stay = found.filter(hit <= max_coverage * F.col("_words")).withColumn(

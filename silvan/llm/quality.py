@@ -115,7 +115,11 @@ def _steps(df: DataFrame, rules: LineRules) -> DataFrame:
         100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")
     )
     lost = F.length("_t") - F.length("_kept_text") > rules.max_lost * F.length("_t")
-    return df.withColumns({"base_failed": base}).withColumns({"kept": ~F.col("base_failed") & ~lost})
+    df = df.withColumns({"base_failed": base}).withColumns({"kept": ~F.col("base_failed") & ~lost, "n_kept_chars": F.length("_kept_text").cast("long")})
+    # a filter on a measure must not be pushed below: it would repeat the arrays once for each use of them.
+    # The row's place is not deterministic to the optimizer and so stops it.
+    whole = F.struct(*MEASURES, "n_kept_chars", "_kept_text")
+    return df.withColumn("_place", F.monotonically_increasing_id()).withColumn("_all", F.when(F.col("_place") >= 0, whole))
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -129,7 +133,7 @@ def judge(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     columns of the input are ignored, whatever their names.
     """
     df = docs.select("doc_id", F.col("text").cast("string").alias("_text"))
-    return _steps(df, rules).select("doc_id", *MEASURES, F.length("_kept_text").cast("long").alias("n_kept_chars"))
+    return _steps(df, rules).select("doc_id", *[F.col("_all")[c].alias(c) for c in (*MEASURES, "n_kept_chars")])
 
 
 def clean(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
@@ -140,7 +144,6 @@ def clean(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     input's columns travel in one struct.
     """
     df = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), F.col("text").cast("string").alias("_text"))
-    # the place is there to keep the filter above the measures; pushed below, it would repeat them all
-    df = _steps(df, rules).withColumn("_place", F.monotonically_increasing_id()).filter("kept and _place >= 0")
-    changed = {"text": F.col("_kept_text"), "n_chars": F.length("_kept_text").cast("long")}
+    df = _steps(df, rules).filter(F.col("_all.kept"))
+    changed = {"text": F.col("_all._kept_text"), "n_chars": F.col("_all.n_kept_chars")}
     return df.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
