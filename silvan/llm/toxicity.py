@@ -18,18 +18,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .langid import held_out
+from .sampling import bounded_sample
 from .spool import spool
 from .text import alnum_words, as_bytes, slices
 
-#: Labelled examples of each class that are indexed at most (those with the least id hashes).
+#: Labelled examples of each class that are indexed at most (chosen by id hash).
 EXAMPLES_PER_CLASS = 1000
 #: Terms of the index at most: those with the highest chi-square against the label.
 MAX_TERMS = 1024
 #: Chi-square that a term must reach (less than one chance in 10^4).
 MIN_CHI2 = 16.0
+#: Times by which a term must be commoner under one label than under the other.
+MIN_LIFT = 4.0
 NEIGHBOURS = 15
 BLOCK = 64
 #: Vote for no label, in near-identical toxic examples: neighbours that are all far away prove little.
@@ -46,8 +48,8 @@ class Index:
     ids: np.ndarray
     labels: np.ndarray
     weights: np.ndarray
-    #: postings of each term: examples (ascending) and weights
-    postings: list[tuple[np.ndarray, np.ndarray]]
+    #: postings of each term by block: weights of the block's examples, a row each
+    postings: np.ndarray
     #: largest weight of each term in each block of examples
     block_max: np.ndarray
     has_terms: np.ndarray
@@ -72,11 +74,7 @@ class Index:
             if bounds[block] <= 0 or (len(found) == k and bounds[block] < least - 1e-12):
                 break
             low = block * BLOCK
-            scores = np.zeros(BLOCK)
-            for t, w in zip(at, weight, strict=True):
-                members, values = self.postings[t]
-                a, b = np.searchsorted(members, (low, low + BLOCK))
-                scores[members[a:b] - low] += w * values[a:b]
+            scores = weight @ self.postings[block][at]
             if low <= skip < low + BLOCK:
                 scores[skip - low] = 0
             hit = np.flatnonzero(scores > 0)
@@ -95,14 +93,12 @@ class Index:
         prior = float(np.average(self.labels, weights=self.weights)) if len(self.labels) else 0.0
         bare = ~self.has_terms
         self.bare = float(np.average(self.labels[bare], weights=self.weights[bare])) if bare.any() else prior
-        by_example: list[list[tuple[int, float]]] = [[] for _ in self.labels]
-        for t, (members, values) in enumerate(self.postings):
-            for m, v in zip(members, values, strict=True):
-                by_example[m].append((t, v))
         votes, truth, weight = [], [], []
-        for k, pairs in enumerate(by_example):
-            if pairs:
-                at, w = np.array([t for t, _ in pairs]), np.array([v for _, v in pairs])
+        for k in range(len(self.labels)):
+            row = self.postings[k // BLOCK][:, k % BLOCK]
+            at = np.flatnonzero(row)
+            if len(at):
+                w = row[at]
                 vote = self.vote(*self.nearest(at, w, skip=k))
                 if vote >= 0:
                     votes.append(vote)
@@ -161,8 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = EXAM
     """Index of at most ``per_class`` examples of each label; document counts come from all documents."""
     known = labels.filter(train & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     totals = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_class).select("doc_id", "toxic").distinct()
+    picked = bounded_sample(known, "toxic", "doc_id", per_class).distinct()
     # two classes of at most `per_class` ids: a bounded side
     sample = docs.select("doc_id", as_bytes().alias("raw")).join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "raw")
     # copies of one text are one example, else its words would all tell the labels apart
@@ -174,7 +169,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = EXAM
     by = df.groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
     a, b, n = F.col("a").cast("double"), F.col("b").cast("double"), float(pos + neg)
     chi2 = n * F.pow(a * (neg - b) - b * (pos - a), 2) / (float(max(pos, 1)) * float(max(neg, 1)) * (a + b) * F.greatest(F.lit(1.0), n - a - b))
-    best = by.withColumn("chi2", chi2).filter(F.col("chi2") >= MIN_CHI2).orderBy(F.col("chi2").desc(), "term").limit(max_terms)
+    lift = (a + 1) * (neg + 2) / ((b + 1) * (pos + 2))
+    telling = (lift >= MIN_LIFT) | (lift <= 1 / MIN_LIFT)
+    best = by.withColumn("chi2", chi2).filter((F.col("chi2") >= MIN_CHI2) & telling).orderBy(F.col("chi2").desc(), "term").limit(max_terms)
     terms = sorted(bytes(r.term) for r in best.select("term").collect())
 
     counts = _per_document(docs.select(F.lit(0).alias("k"), as_bytes().alias("raw")), "k int, term binary, n long", terms)
@@ -184,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = EXAM
     numbers = {t: k for k, t in enumerate(terms)}
 
     def vectors(batches):
-        index = Index(numbers, idf, *[np.zeros(0)] * 3, [], np.zeros((0, 0)), np.zeros(0))
+        index = Index(numbers, idf, *[np.zeros(0)] * 6)
         for batch in slices(batches):
             found = [index.vector(alnum_words(raw.as_py())) for raw in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
@@ -199,15 +196,12 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = EXAM
     scale = {c: totals.get(c, 0) / max(1, size.get(c, 0)) for c in (0, 1)}
     scale = {c: x / (scale[1] or 1) for c, x in scale.items()}
     blocks = -(-max(1, len(examples)) // BLOCK)
-    block_max, lists = np.zeros((len(terms), blocks)), [([], []) for _ in terms]
+    postings = np.zeros((blocks, len(terms), BLOCK))
     for k, r in enumerate(examples):
-        for t, w in zip(r["at"], r["weight"], strict=True):
-            lists[t][0].append(k)
-            lists[t][1].append(w)
-            block_max[t, k // BLOCK] = max(block_max[t, k // BLOCK], w)
+        postings[k // BLOCK, r["at"], k % BLOCK] = r["weight"]
     return Index(
         numbers, idf, np.array([r["doc_id"] for r in examples], object), truth, np.array([scale[c] for c in truth]),
-        [(np.array(m, np.int64), np.array(w)) for m, w in lists], block_max, np.array([bool(r["at"]) for r in examples], bool),
+        postings, postings.max(axis=2).T, np.array([bool(r["at"]) for r in examples], bool),
     ).calibrate()
 
 
