@@ -159,10 +159,7 @@ def svm_scores(kernel: DataFrame, labels: DataFrame, cs: list[float], folds: int
     ``kernel`` is the full (i, j, k) table of the training videos, ``labels``
     (video_id, class_id, y); it is one small dense matrix by the model's nature.
     """
-    table = kernel.toPandas()
-    ids = np.sort(table.i.unique())
-    dense = np.zeros((len(ids), len(ids)))
-    dense[np.searchsorted(ids, table.i), np.searchsorted(ids, table.j)] = table.k
+    ids, dense = _dense(kernel)
     shared = kernel.sparkSession.sparkContext.broadcast((ids, dense))
     place = Window.partitionBy("class_id", "y").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "video_id")), "video_id")
     dealt = labels.withColumn("fold", (F.row_number().over(place) - 1) % folds)
@@ -183,6 +180,73 @@ def svm_scores(kernel: DataFrame, labels: DataFrame, cs: list[float], folds: int
     return grid.groupBy("class_id", "c").applyInPandas(run, "class_id int, c double, video_id long, fold int, decision double, y int")
 
 
+def _dense(kernel: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and matrix of a full (i, j, k) table; a kernel between videos, whose size the model bounds."""
+    table = kernel.toPandas()
+    ids = np.sort(table.i.unique())
+    out = np.zeros((len(ids), len(ids)))
+    out[np.searchsorted(ids, table.i), np.searchsorted(ids, table.j)] = table.k
+    return ids, out
+
+
+def fusion_search(root: DataFrame, nodes: DataFrame, labels: DataFrame, alphas: list[float], cs: list[float], folds: int = 4, seed: str = "74") -> DataFrame:
+    """(class_id, alpha, c, cv, acc, ap): the best mixture of two kernels for each class, and its test metrics.
+
+    ``root`` and ``nodes`` are full kernels of all videos, ``labels`` has
+    (video_id, class_id, y, is_test). Both are scaled by the median of the
+    training block's nonzero entries, mixed by alpha and signed-rooted. Each
+    (class, alpha, C) is one task; the first of equal scores in grid order wins.
+    """
+    ids, k_root = _dense(root)
+    _, k_nodes = _dense(nodes)
+    tests = {r.video_id for r in labels.filter("is_test").select("video_id").distinct().collect()}
+    train = np.array([v not in tests for v in ids])
+
+    def scaled(k):
+        block = k[np.ix_(train, train)]
+        return k / np.median(block[block != 0]) if (block != 0).any() else k
+
+    shared = root.sparkSession.sparkContext.broadcast((ids, scaled(k_root), scaled(k_nodes)))
+    order = Window.partitionBy("class_id", "is_test", "y").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "video_id")), "video_id")
+    dealt = labels.withColumn("fold", (F.row_number().over(order) - 1) % folds)
+    grid = dealt.withColumn("alpha", F.explode(F.array(*map(F.lit, alphas)))).withColumn("c", F.explode(F.array(*map(F.lit, cs))))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        ids, a, b = shared.value
+        alpha, c = float(g.alpha.iloc[0]), float(g.c.iloc[0])
+        k = alpha * a + (1 - alpha) * b
+        k = np.sign(k) * np.sqrt(np.abs(k))
+        g = g.sort_values("video_id")
+        at, y, test, fold = np.searchsorted(ids, g.video_id), g.y.to_numpy(float), g.is_test.to_numpy(bool), g.fold.to_numpy()
+
+        def decide(fit, ask):
+            coef, bias = S.kernel_svm(k[np.ix_(at[fit], at[fit])], y[fit], c)
+            return k[np.ix_(at[ask], at[fit])] @ coef + bias
+
+        scores = []
+        for f in range(folds):
+            ask = ~test & (fold == f)
+            if ask.any():
+                scores.append(S.balanced_accuracy(y[ask], np.where(decide(~test & (fold != f), ask) > 0, 1, -1)))
+        values = decide(~test, test)
+        return pd.DataFrame({"class_id": [g.class_id.iloc[0]], "alpha": [alpha], "c": [c], "cv": [float(np.mean(scores))], "acc": [S.balanced_accuracy(y[test], np.where(values > 0, 1, -1))], "ap": [S.average_precision(y[test], values)]})
+
+    tried = grid.groupBy("class_id", "alpha", "c").applyInPandas(run, "class_id int, alpha double, c double, cv double, acc double, ap double")
+    best = Window.partitionBy("class_id").orderBy(F.col("cv").desc(), "alpha", "c")
+    return tried.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
+
+
+def stacked_scores(first: list[DataFrame], labels: DataFrame, c: float = 1.0) -> DataFrame:
+    """Second-level decision values: the first levels' values of each video are the features of a linear SVM."""
+    parts = None
+    for n, scores in enumerate(first):
+        part = scores.select("class_id", "video_id", F.lit(n).alias("dim"), F.col("decision").alias("x"))
+        parts = part if parts is None else parts.union(part)
+    a, b = (parts.select("class_id", "dim", F.col("video_id").alias(n), F.col("x").alias(f"x{n}")) for n in ("i", "j"))
+    kernels = a.join(b, ["class_id", "dim"]).groupBy("i", "j").agg(F.sum(F.col("xi") * F.col("xj")).alias("k"))
+    return svm_scores(kernels, labels, [c])
+
+
 def majority(votes: DataFrame) -> DataFrame:
     """(video_id, class_id, vote): sign of the summed predictions, ties to -1."""
     return votes.groupBy("video_id", "class_id").agg(F.when(F.sum("pred") > 0, 1).otherwise(-1).alias("vote"))

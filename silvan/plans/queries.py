@@ -524,6 +524,48 @@ def svm_grid_search(spark, sf):
     return R.argmax(fold.groupBy("class_id", "c").agg(F.avg("acc").alias("acc")), "class_id", "acc", "c")
 
 
+@query(f"WITH {BAGS} SELECT a.video_id AS i, b.video_id AS j, round(sum(a.x * b.x), 6) + 0.0 AS k FROM c a JOIN c b ON a.dim = b.dim AND a.t = 1 AND b.t = 1 AND a.video_id % 5 = 0 AND b.video_id % 5 <> 0 GROUP BY ALL")
+def kernel_test_train(spark, sf):
+    rows = _firsts(spark, sf)
+    return K.kernel(rows.filter("video_id % 5 = 0"), V.dot, rows.filter("video_id % 5 <> 0")).withColumn("k", _r(F.col("k")))
+
+
+def _marked(spark, sf):
+    return _labels(spark, sf).withColumn("is_test", F.col("video_id") % 5 == 0)
+
+
+@query()
+def fusion_grid_search(spark, sf):
+    """The whole fusion: two kernels, grid over the mixture and C, cross-validation, test metrics of the best."""
+    edges = _edges(spark, sf)
+    root, nodes = K.mirror(K.factored_linear(edges)), K.mirror(K.sparse_intersection(edges))
+    return L.fusion_search(root, nodes, _marked(spark, sf), [0.0, 0.25, 0.5, 0.75, 1.0], [0.01, 1.0])
+
+
+@query()
+def fusion_report(spark, sf):
+    """Accuracy and average precision by class, and their means over all classes."""
+    best = fusion_grid_search(spark, sf)
+    return best.rollup("class_id").agg(F.avg("acc").alias("acc"), F.avg("ap").alias("ap"))
+
+
+@query()
+def flat_bovw_svm(spark, sf):
+    """The flat baseline: L2-normalised whole-bag histograms under a linear kernel SVM."""
+    counts = T.dense_histogram(T.bovw(_assigned(spark, sf)), 16)
+    bags = counts.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("word_id", F.col("n").cast("double").alias("n"))))["n"].alias("v"))
+    kernel = K.mirror(K.kernel(bags.select("video_id", V.l2(F.col("v")).alias("v")), V.dot))
+    return L.svm_scores(kernel, _labels(spark, sf), [1.0])
+
+
+@query()
+def stacked_fusion(spark, sf):
+    """Second-level SVM over the decision values of two kernels."""
+    edges = _edges(spark, sf)
+    first = [L.svm_scores(K.mirror(k), _labels(spark, sf), [1.0]) for k in (K.factored_linear(edges), K.sparse_intersection(edges))]
+    return L.stacked_scores(first, _labels(spark, sf))
+
+
 def stored(df):
     """A table written to the folder of ``spark.checkpoint.dir`` and reread, to cut lineage."""
     import tempfile
