@@ -60,13 +60,16 @@ def _settled(placed: DataFrame) -> DataFrame:
     counts = _runs(placed).groupBy("phrase").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high"))
     repeated = spool(counts.filter("n > 1").select("phrase", (F.col("low") == F.col("high")).alias("uniform")), "phrases")
     found = spool(_runs(placed).join(repeated, "phrase"), "runs")
-    one = F.struct("place", "first")
     mixed = found.filter("not uniform")
-    spans = mixed.groupBy("phrase", "span").agg(F.count("*").alias("n"), F.min(one).alias("one"))
-    kind = F.when(F.col("n") == 1, ASK).when(F.col("one") == one, SHOW).otherwise(SURE)
-    return found.filter("uniform").select("place", "first", "last", F.lit(SURE).alias("kind")).union(
-        mixed.join(spans, ["phrase", "span"]).select("place", "first", "last", kind.alias("kind"))
-    )
+    # a run spans less than 256 starts, so first and last fit one number that goes with the least place
+    code = F.col("first") * 256 + F.col("last") - F.col("first")
+    spans = mixed.groupBy("phrase", "span").agg(F.count("*").alias("n"), F.min("place").alias("place"), F.min_by(code, "place").alias("code"))
+    first = F.shiftright("code", 8)
+    picked = spans.select("n", "place", first.alias("first"), (first + F.col("code").bitwiseAND(F.lit(255))).alias("last"))
+    ask = picked.filter("n = 1").select("place", "first", "last", F.lit(ASK).alias("kind"))
+    show = picked.filter("n > 1").select("place", "first", "last", F.lit(SHOW).alias("kind"))
+    sure = found.join(ask.select("place", "first"), ["place", "first"], "left_anti").select("place", "first", "last", F.lit(SURE).alias("kind"))
+    return sure.union(ask).union(show)
 
 
 def _repeated_starts(texts: DataFrame) -> DataFrame:
