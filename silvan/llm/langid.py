@@ -14,11 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from .sampling import bounded_sample
 from .text import as_bytes, slices
 
-#: Labelled documents of each language that the likelihoods are learned from (those with the least id hashes).
+#: Labelled documents of each language that the likelihoods are learned from (chosen by id hash).
 SAMPLE_PER_LANGUAGE = 1000
 BUCKETS = 1 << 16
 #: Penalty of one more language in the set, as a factor of log(n-grams); n-grams overlap, hence more than a half.
@@ -84,8 +84,7 @@ def fit(docs: DataFrame, train: Column, sample: int = SAMPLE_PER_LANGUAGE) -> Mo
     one number on the driver.
     """
     ids = docs.filter(train & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = ids.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= sample).select("doc_id", "lang").distinct()
+    picked = bounded_sample(ids, "lang", "doc_id", sample).distinct()
     # at most `sample` ids of each language: a bounded side
     texts = docs.select("doc_id", "lang", as_bytes().alias("raw")).join(F.broadcast(picked), ["doc_id", "lang"])
 
