@@ -15,7 +15,8 @@ def bounded_sample(rows: DataFrame, by: str, key: str, n: int) -> DataFrame:
     A hash threshold that leaves about 2n rows of a class comes before the
     ranking, so a class of any size sends a bounded number of rows to one task.
     """
-    sizes = rows.groupBy(by).agg(F.count("*").alias("_size"))
+    # one row for each class that a model tells apart: a bounded side; the rows are thinned where they are
+    sizes = F.broadcast(rows.groupBy(by).agg(F.count("*").alias("_size")))
     slot = F.pmod(F.xxhash64(key), F.lit(_SLOTS))
     few = rows.join(sizes, by).filter(slot.cast("double") * F.col("_size") < 2.0 * n * _SLOTS)
     order = Window.partitionBy(by).orderBy(slot, key)
