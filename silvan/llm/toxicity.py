@@ -1,18 +1,21 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-A bounded sample of labelled examples is indexed over the terms that tell the
-labels apart. The inverted index is cut into blocks of examples and keeps, for
-each term, the largest weight in each block. A query bounds every block by the
-sum of these maxima, visits blocks from the highest bound down and stops when
-no bound reaches its k-th best cosine, so the neighbours are exact. Their
-distance-weighted votes, corrected for the sampling of the classes, are
-calibrated by isotonic regression on leave-one-out votes.
+A bounded sample of labelled examples is indexed over all of its terms. Terms of
+many examples make up an inverted index cut into blocks of examples, with the
+largest weight of each term in each block; those of few examples keep short
+lists, which are added up first. A query bounds every block by the sum of these
+maxima and the largest sum of its lists, visits blocks from the highest bound
+down and stops when no bound reaches its k-th best cosine, so the neighbours are
+exact. Words of a document that no example has share nothing with any example
+but lengthen the document, so their document counts are joined to it. The
+neighbours' distance-weighted votes, corrected for the sampling of the classes,
+are calibrated by isotonic regression on leave-one-out votes.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +29,10 @@ from .text import alnum_words, as_bytes, slices
 
 #: Labelled examples of each class that are indexed at most (chosen by id hash).
 EXAMPLES_PER_CLASS = 1000
-#: Terms of the index at most: those with the highest chi-square against the label.
-MAX_TERMS = 1024
-#: Chi-square that a term must reach (less than one chance in 10^4).
-MIN_CHI2 = 16.0
-#: Times by which a term must be commoner under one label than under the other.
-MIN_LIFT = 4.0
+#: A term of fewer than one in so many examples keeps a list instead of a row in every block.
+RARE = 16
+#: Words that a task counts before it passes them on.
+COUNTED = 1 << 20
 NEIGHBOURS = 15
 BLOCK = 64
 #: Vote for no label, in near-identical toxic examples: neighbours that are all far away prove little.
@@ -53,52 +54,68 @@ class Index:
     #: largest weight of each term in each block of examples
     block_max: np.ndarray
     has_terms: np.ndarray
+    #: terms from number ``len(block_max)`` on: start of each list, its examples and weights
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    listed: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    listed_weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     steps: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
     bare: float = 0.0
 
+    def numbered(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and TF-IDF weights of the words that are terms."""
+        known = [(self.terms[w], n) for w, n in counts.items() if w in self.terms]
+        at, n = np.array(known, np.int64).reshape(-1, 2).T
+        return at, (1 + np.log(n)) * self.idf[at]
+
     def vector(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and TF-IDF weights of unit length."""
-        counts = Counter(filter(self.terms.__contains__, words))
-        if not counts:
-            return np.zeros(0, np.int64), np.zeros(0)
-        at = np.fromiter((self.terms[w] for w in counts), np.int64, len(counts))
-        weight = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.idf[at]
-        return at, weight / np.sqrt(weight @ weight)
+        """Term numbers and TF-IDF weights of unit length, of a text whose words are all terms."""
+        at, weight = self.numbered(Counter(words))
+        return at, weight / np.sqrt(weight @ weight) if len(at) else weight
 
     def nearest(self, at: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the k nearest with a common term; equal cosines by example number."""
-        bounds = weight @ self.block_max[at]
+        rare = at >= len(self.block_max)
+        base = self._listed(at[rare] - len(self.block_max), weight[rare])
+        at, weight = at[~rare], weight[~rare]
+        bounds = weight @ self.block_max[at] + base.max(axis=1)
         order = np.argsort(-bounds, kind="stable")
         found, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
         for block in order:
             if bounds[block] <= 0 or (len(found) == k and bounds[block] < least - 1e-12):
                 break
             low = block * BLOCK
-            scores = weight @ self.postings[block][at]
+            scores = weight @ self.postings[block][at] + base[block]
             if low <= skip < low + BLOCK:
                 scores[skip - low] = 0
-            hit = np.flatnonzero(scores > 0)
+            hit = np.flatnonzero((scores > 0) & (scores >= least - 2e-12) if len(found) == k else scores > 0)
+            if not len(hit):
+                continue
             found, cosines = np.concatenate([found, hit + low]), np.concatenate([cosines, scores[hit]])
             best = np.lexsort((found, -np.round(cosines, 12)))[:k]
             found, cosines = found[best], cosines[best]
             least = cosines[-1] if len(cosines) else 0.0
         return found, cosines
 
+    def _listed(self, lists: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Sums over the lists of rare terms, a row for each block."""
+        size = self.starts[lists + 1] - self.starts[lists] if len(lists) else np.zeros(0, np.int64)
+        ends = np.cumsum(size)
+        places = np.arange(size.sum()) + np.repeat(self.starts[lists] - ends + size, size)
+        sums = np.bincount(self.listed[places], np.repeat(weight, size) * self.listed_weights[places], len(self.postings) * BLOCK)
+        return sums.reshape(-1, BLOCK)
+
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
         share = cosines**4 * self.weights[found]
         return float(share @ self.labels[found] / (share.sum() + DOUBT)) if len(found) else -1.0
 
-    def calibrate(self) -> Index:
-        """Isotonic steps from leave-one-out votes; texts without a term get the rate of such examples."""
+    def calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> Index:
+        """Isotonic steps from leave-one-out votes of the examples; texts without a term get the rate of such examples."""
         prior = float(np.average(self.labels, weights=self.weights)) if len(self.labels) else 0.0
         bare = ~self.has_terms
         self.bare = float(np.average(self.labels[bare], weights=self.weights[bare])) if bare.any() else prior
         votes, truth, weight = [], [], []
-        for k in range(len(self.labels)):
-            row = self.postings[k // BLOCK][:, k % BLOCK]
-            at = np.flatnonzero(row)
+        for k, (at, w) in enumerate(vectors):
             if len(at):
-                w = row[at]
                 vote = self.vote(*self.nearest(at, w, skip=k))
                 if vote >= 0:
                     votes.append(vote)
@@ -107,13 +124,9 @@ class Index:
         self.steps = isotonic(np.array(votes), np.array(truth, float), np.array(weight))
         return self
 
-    def score(self, words: list[bytes]) -> tuple[float, np.ndarray, np.ndarray]:
-        at, weight = self.vector(words)
-        if not len(at):
-            return self.bare, at, weight
-        found, cosines = self.nearest(at, weight)
+    def score(self, found: np.ndarray, cosines: np.ndarray) -> float:
         vote = self.vote(found, cosines)
-        return (float(np.interp(vote, *self.steps)) if vote >= 0 else self.bare), found, cosines
+        return float(np.interp(vote, *self.steps)) if vote >= 0 else self.bare
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,53 +148,52 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array(xs), np.array(ys)
 
 
-def _per_document(rows: DataFrame, fields: str, terms=None) -> DataFrame:
-    """Counts of documents that hold a term, by the other column; summed within each task first."""
-    known = None if terms is None else set(terms)
+def _per_document(rows: DataFrame, terms=None) -> DataFrame:
+    """(term, n): documents that hold each word, or each of the broadcast ``terms``; summed within each task first."""
 
     def run(batches):
+        known = None if terms is None else terms.value
         totals: Counter = Counter()
+
+        def counted():
+            return pa.RecordBatch.from_arrays([pa.array(totals, pa.binary()), pa.array(totals.values(), pa.int64())], names=["term", "n"])
+
         for batch in slices(batches):
-            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for raw in batch.column(0):
                 words = set(alnum_words(raw.as_py()))
-                for word in words if known is None else words & known:
-                    totals[key, word] += 1
-        keys = list(totals)
-        names = [f.split()[0] for f in fields.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int32()), pa.array([w for _, w in keys], pa.binary()), pa.array(totals.values(), pa.int64())], names=names)
+                totals.update(words if known is None else filter(known.__contains__, words))
+                if len(totals) > COUNTED:
+                    yield counted()
+                    totals.clear()
+        yield counted()
 
-    return rows.mapInArrow(run, fields).groupBy(*[f.split()[0] for f in fields.split(", ")][:2]).agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = EXAMPLES_PER_CLASS, max_terms: int = MAX_TERMS) -> Index:
-    """Index of at most ``per_class`` examples of each label; document counts come from all documents."""
+def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = EXAMPLES_PER_CLASS) -> tuple[Index, int]:
+    """Index of at most ``per_class`` examples of each label, and the number of documents; counts come from all documents."""
+    context = docs.sparkSession.sparkContext
     known = labels.filter(train & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     totals = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     picked = bounded_sample(known, "toxic", "doc_id", per_class).distinct()
     # two classes of at most `per_class` ids: a bounded side
     sample = docs.select("doc_id", as_bytes().alias("raw")).join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "raw")
-    # copies of one text are one example, else its words would all tell the labels apart
+    # copies of one text are one example, else they would crowd out the other neighbours
     sample = spool(sample.withColumn("raw", F.coalesce("raw", F.lit(b""))).groupBy("raw", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic", "raw"), "examples")
 
     size = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    pos, neg = size.get(1, 0), size.get(0, 0)
-    df = _per_document(sample.select("toxic", "raw"), "toxic int, term binary, n long")
-    by = df.groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
-    a, b, n = F.col("a").cast("double"), F.col("b").cast("double"), float(pos + neg)
-    chi2 = n * F.pow(a * (neg - b) - b * (pos - a), 2) / (float(max(pos, 1)) * float(max(neg, 1)) * (a + b) * F.greatest(F.lit(1.0), n - a - b))
-    lift = (a + 1) * (neg + 2) / ((b + 1) * (pos + 2))
-    telling = (lift >= MIN_LIFT) | (lift <= 1 / MIN_LIFT)
-    best = by.withColumn("chi2", chi2).filter((F.col("chi2") >= MIN_CHI2) & telling).orderBy(F.col("chi2").desc(), "term").limit(max_terms)
-    terms = sorted(bytes(r.term) for r in best.select("term").collect())
-
-    counts = _per_document(docs.select(F.lit(0).alias("k"), as_bytes().alias("raw")), "k int, term binary, n long", terms)
-    have = {bytes(r.term): r.n for r in counts.collect()}
+    many = sum(size.values()) / RARE
+    # terms of many examples have the first numbers
+    terms = sorted(((bytes(t), n) for t, n in _per_document(sample.select("raw")).collect()), key=lambda x: (x[1] < many, x[0]))
+    dense = sum(n >= many for _, n in terms)
+    numbers = {t: k for k, (t, _) in enumerate(terms)}
+    shared = context.broadcast(numbers)
+    have = {bytes(r.term): r.n for r in _per_document(docs.select(as_bytes().alias("raw")), shared).collect()}
     total = docs.count()
-    idf = np.array([np.log((total + 1) / (have.get(t, 0) + 1)) + 1 for t in terms])
-    numbers = {t: k for k, t in enumerate(terms)}
+    idf = np.array([np.log((total + 1) / (have.get(t, 0) + 1)) + 1 for t in numbers])
 
     def vectors(batches):
-        index = Index(numbers, idf, *[np.zeros(0)] * 6)
+        index = Index(shared.value, idf, *[np.zeros(0)] * 6)
         for batch in slices(batches):
             found = [index.vector(alnum_words(raw.as_py())) for raw in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
@@ -191,43 +203,81 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = EXAM
 
     examples = sample.mapInArrow(vectors, "doc_id string, toxic int, at array<long>, weight array<double>").toArrow().to_pylist()
     # examples with like terms stand together, so that block maxima are tight
-    examples.sort(key=lambda r: (sorted(zip(r["weight"], r["at"], strict=True), reverse=True)[:2], r["doc_id"]))
+    examples.sort(key=lambda r: (sorted(((w, a) for w, a in zip(r["weight"], r["at"], strict=True) if a < dense), reverse=True)[:2], r["doc_id"]))
     truth = np.array([r["toxic"] for r in examples], np.int64)
     scale = {c: totals.get(c, 0) / max(1, size.get(c, 0)) for c in (0, 1)}
     scale = {c: x / (scale[1] or 1) for c, x in scale.items()}
     blocks = -(-max(1, len(examples)) // BLOCK)
-    postings = np.zeros((blocks, len(terms), BLOCK))
+    postings = np.zeros((blocks, dense, BLOCK))
+    pairs, own = [], []
     for k, r in enumerate(examples):
-        postings[k // BLOCK, r["at"], k % BLOCK] = r["weight"]
-    return Index(
+        at, weight = np.array(r["at"], np.int64), np.array(r["weight"])
+        own.append((at, weight))
+        rare = at >= dense
+        postings[k // BLOCK, at[~rare], k % BLOCK] = weight[~rare]
+        pairs.append((at[rare] - dense, np.full(rare.sum(), k), weight[rare]))
+    lists, listed, weights = (np.concatenate([np.zeros(0, kind), *x]) for x, kind in zip(list(zip(*pairs, strict=True)) or [[], [], []], (np.int64, np.int64, float), strict=True))
+    order = np.argsort(lists, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(np.bincount(lists, minlength=len(terms) - dense))]).astype(np.int64)
+    index = Index(
         numbers, idf, np.array([r["doc_id"] for r in examples], object), truth, np.array([scale[c] for c in truth]),
-        postings, postings.max(axis=2).T, np.array([bool(r["at"]) for r in examples], bool),
-    ).calibrate()
+        postings, postings.max(axis=2).T, np.array([bool(r["at"]) for r in examples], bool), starts, listed[order], weights[order],
+    )
+    return index.calibrate(own), total
 
 
 def score(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES_PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) of every row of ``docs``.
 
-    ``evidence`` lists the nearest examples (id as text, cosine, label). Null,
-    empty and other texts without an indexed term score the rate of toxic ones
-    among such examples. Without any labelled row all scores are 0. Labelled
-    rows whose id's crc32 leaves 1 on division by 3 are never learned from.
-    Repeated rows each give a row; null labels and ids are not learned from.
+    ``evidence`` lists the nearest examples (id as text, cosine, label); cosines
+    are those of whole texts. Null, empty and other texts without a word of any
+    example score the rate of toxic ones among such examples. Without any
+    labelled row all scores are 0. Labelled rows whose id's crc32 leaves 1 on
+    division by 3 are never learned from. Repeated rows each give a row; null
+    labels and ids are not learned from.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, ~held_out(3, 1), per_class))
+    index, total = fit(docs, labels, ~held_out(3, 1), per_class)
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    other = pa.list_(pa.struct([("term", pa.binary()), ("weight", pa.float64())]))
 
-    def run(batches):
+    def search(batches):
+        index = shared.value
+        for batch in slices(batches):
+            squares, founds, dots, others = [], [], [], []
+            for raw in batch.column(3):
+                counts = Counter(alnum_words(raw.as_py()))
+                at, weight = index.numbered(counts)
+                square = float(weight @ weight)
+                found, cosines = index.nearest(at, weight / np.sqrt(square)) if len(at) else (at, weight)
+                squares.append(square)
+                founds.append(found)
+                dots.append(cosines)
+                others.append([(w, (1 + np.log(n)) ** 2) for w, n in counts.items() if w not in index.terms] if len(at) else [])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(squares, pa.float64()), pa.array(founds, pa.list_(pa.int64())), pa.array(dots, pa.list_(pa.float64())), pa.array(others, other)],
+                names=["place", "doc_id", "held_out", "square", "found", "cosines", "others"],
+            )
+
+    def vote(batches):
         index = shared.value
         for batch in slices(batches):
             scores, evidence = [], []
-            for raw in batch.column(2):
-                value, found, cosines = index.score(alnum_words(raw.as_py()))
-                scores.append(min(1.0, max(0.0, value)))
+            for square, more, found, cosines in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
+                found, cosines = np.array(found, np.int64), np.array(cosines, float)
+                # the search knew only the words that examples have
+                cosines = cosines * np.sqrt(square / (square + more)) if square else cosines
+                scores.append(min(1.0, max(0.0, index.score(found, cosines))))
                 evidence.append([{"id": str(index.ids[k]), "cosine": float(c), "toxic": int(index.labels[k])} for k, c in zip(found, cosines, strict=True)])
             kind = pa.list_(pa.struct([("id", pa.string()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=["doc_id", "held_out", "score", "evidence"])
 
-    rows = docs.select("doc_id", held_out(3, 1).alias("held_out"), as_bytes().alias("raw"))
+    rows = docs.select(F.monotonically_increasing_id().alias("place"), "doc_id", held_out(3, 1).alias("held_out"), as_bytes().alias("raw"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, evidence array<struct<id:string,cosine:double,toxic:int>>")
+    near = spool(rows.mapInArrow(search, f"place long, doc_id {kind}, held_out boolean, square double, found array<long>, cosines array<double>, others array<struct<term:binary,weight:double>>"), "nearest")
+    words = near.select("place", F.inline("others"))
+    counts = words.groupBy("term").agg(F.count("*").alias("n"))
+    idf = F.log(F.lit(total + 1.0) / (F.col("n") + 1)) + 1
+    more = words.join(counts, "term").groupBy("place").agg(F.sum(F.col("weight") * idf * idf).alias("more"))
+    whole = near.join(more, "place", "left").select("doc_id", "held_out", "square", F.coalesce("more", F.lit(0.0)).alias("more"), "found", "cosines")
+    scored = whole.mapInArrow(vote, f"doc_id {kind}, held_out boolean, score double, evidence array<struct<id:string,cosine:double,toxic:int>>")
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")

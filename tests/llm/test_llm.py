@@ -246,6 +246,24 @@ def test_toxicity(spark, tmp_path):
     assert toxicity.score(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_cosines_are_those_of_whole_texts(spark):
+    r = random.Random(11)
+    rare = lambda k: [f"own{k}x{j}" for j in range(r.randint(0, 4))]
+    words = {k: [r.choice(WORDS) for _ in range(r.randint(1, 25))] + rare(k) + rare(k // 4) + ["scumword"] * (k % 3 == 0) for k in range(160)}
+    truth = {k: int(k % 3 == 0) for k in range(120)}
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in words.items()], "doc_id long, text string")
+    got = {x.doc_id: x for x in toxicity.score(docs, spark.createDataFrame(list(truth.items()), "doc_id long, toxic int")).collect()}
+    count = Counter(w for ws in words.values() for w in set(ws))
+    vectors = {k: {w: (1 + np.log(n)) * (np.log((len(words) + 1) / (count[w] + 1)) + 1) for w, n in Counter(ws).items()} for k, ws in words.items()}
+    unit = {k: {w: x / np.sqrt(sum(y * y for y in v.values())) for w, x in v.items()} for k, v in vectors.items()}
+    learned = [k for k in truth if not got[k].held_out]
+    for k, x in got.items():
+        cosines = {e: sum(y * unit[e].get(w, 0) for w, y in unit[k].items()) for e in learned}
+        best = sorted((c for c in cosines.values() if c > 0), reverse=True)[: toxicity.NEIGHBOURS]
+        assert np.allclose([e.cosine for e in x.evidence], best)
+        assert all(abs(cosines[int(e.id)] - e.cosine) < 1e-9 and truth[int(e.id)] == e.toxic for e in x.evidence)
+
+
 def test_nearest_examples_are_exact(spark):
     rng = np.random.default_rng(1)
     n, terms = 300, 40
