@@ -22,7 +22,7 @@ from .spool import spool
 from .text import as_bytes, slices
 
 EDITS = 2
-#: Shorter lines (of normalised characters) are left alone.
+#: Shorter lines (of normalised characters) have no near-duplicates, only equal ones.
 MIN_CHARS = 20
 #: Lines of a bucket that one task compares at a time.
 BLOCK = 1 << 14
@@ -166,7 +166,7 @@ def forests(keys: np.ndarray, items: np.ndarray, raws: np.ndarray, edits: int =
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(place, id, line, hash) of every comparable line."""
+    """(place, id, line, hash) of every line that is not blank."""
     rows = docs.select(F.monotonically_increasing_id().alias("place"), "doc_id", as_bytes().alias("raw"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -176,7 +176,7 @@ def _lines(docs: DataFrame) -> DataFrame:
             for k, raw in enumerate(batch.column(2)):
                 for number, line in enumerate((raw.as_py() or b"").split(b"\n")):
                     line = normal(line)
-                    if comparable(line):
+                    if line:
                         rowsat.append(k)
                         numbers.append(number)
                         hashes.append(line_hash(line))
@@ -254,8 +254,9 @@ def report(docs: DataFrame) -> DataFrame:
 
     ``n_lines`` counts lines between line feeds (one for a null or empty text),
     ``dropped`` lists those removed, from 0. Lines are compared with white space
-    collapsed; lines under ``MIN_CHARS`` characters and blank ones stay. Near
-    classes are closed under links of ``EDITS`` edits. A repeated row is a copy:
+    collapsed; blank ones stay, and lines under ``MIN_CHARS`` characters go only
+    where they equal an earlier one. Near classes are closed under links of
+    ``EDITS`` edits. A repeated row is a copy:
     the later one loses its lines. Other columns are ignored. ``docs`` must be a
     table scan (places are those of the files).
     """

@@ -201,6 +201,15 @@ def test_line_dedup(spark, docs, rows, empty, tmp_path):
     assert lines.report(empty).count() == 0
 
 
+def test_short_lines_go_where_they_repeat(spark, tmp_path):
+    path = str(tmp_path / "d.parquet")
+    rows = [(1, "Home\nAbout us\n\nHome"), (2, " home\nAbout  us\n\nAbout uz"), (3, "Home")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(path)
+    df = spark.read.parquet(path)
+    assert {x.doc_id: x.dropped for x in lines.report(df).collect()} == {1: [3], 2: [1], 3: [0]}
+    assert {x.doc_id: x.text for x in lines.clean(df).collect()} == {1: "Home\nAbout us\n", 2: " home\n\nAbout uz", 3: ""}
+
+
 def test_decontamination(spark, docs, rows, empty):
     all_words = [alnum_words((t or "").encode()) for t in texts()]
     items = [(1, " ".join(w.decode() for w in all_words[2][4:24])), (2, "ALPHA beta"), (10, texts()[5]), (11, None), (12, "--"), (13, "never seen words in any text at all they are new here"), (1, "kappa")]
