@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .spool import spool
 from .text import as_bytes, slices
 
@@ -89,16 +90,25 @@ def lengths(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"place long, doc_id {kind}, source string, n_words long, cluster long")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
+def near_clusters(docs: DataFrame) -> DataFrame:
+    """``lengths`` with the SimHash class as cluster: it holds all copies of a text and its near copies."""
+    rows = lengths(docs)
+    prints = spool(simhash.fingerprints(docs.withColumn("place", F.monotonically_increasing_id()), "place"), "prints")
+    roots = prints.join(simhash.classes(prints), "fp").select("place", "root")
+    return rows.join(roots, "place").select("place", "doc_id", "source", "n_words", F.col("root").alias("cluster"))
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, near: bool = False) -> DataFrame:
     """(doc_id, piece, n_words, bin_id, start): where each piece of each document goes.
 
     A document of more than ``capacity`` words is cut into pieces; every word is
     placed once. Bins hold at most ``capacity`` words, and no two pieces of one
-    source or one duplicate cluster. Null, empty and blank texts give one piece
+    source or one duplicate cluster: exact copies or, where ``near`` is set,
+    near-duplicate classes under SimHash (``docs`` must be a table scan). Null, empty and blank texts give one piece
     of no words with null bin and start. Repeated rows are duplicates of each
     other and never share a bin. Other columns are ignored.
     """
-    rows = spool(lengths(docs), "lengths")
+    rows = spool(near_clusters(docs) if near else lengths(docs), "lengths")
     pieces = rows.filter("n_words > 0").select(
         "place", "doc_id", "source", "cluster", "n_words",
         F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_words - 1) div {capacity}"))).alias("piece"),

@@ -32,7 +32,7 @@ def op3_decontamination(spark, sf_dir):
 def op5_best_fit_packing(spark, sf_dir):
     from . import packing
 
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), near=True)
 
 
 def op8_url_filters(spark, sf_dir):

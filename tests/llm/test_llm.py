@@ -313,6 +313,22 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty).count() == 0 and packing.bins(empty).count() == 0
 
 
+def test_near_copies_never_share_a_bin(spark, tmp_path):
+    from silvan.llm.queries import op5_best_fit_packing
+
+    r = random.Random(9)
+    rows = []
+    for k in range(20):
+        words = [r.choice(WORDS) + str(r.randint(0, 50)) for _ in range(400)]
+        rows += [(2 * k, " ".join(words), f"a{k}"), (2 * k + 1, " ".join([*words[:-1], "other"]), f"b{k}")]
+    prints = [simhash.fingerprint(t.encode()) for _, t, _ in rows]
+    near = [k for k in range(20) if (prints[2 * k] ^ prints[2 * k + 1]).bit_count() <= simhash.MAX_BITS]
+    assert len(near) > 10
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    bins = {x.doc_id: x.bin_id for x in op5_best_fit_packing(spark, str(tmp_path)).collect()}
+    assert len(bins) == 40 and all(bins[2 * k] != bins[2 * k + 1] for k in near)
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     r = random.Random(2)
     sizes = sorted((r.randint(1, 50) for _ in range(300)), reverse=True)
