@@ -1,76 +1,52 @@
-"""Content-defined phrases of byte strings: rolling hashes and their triggers."""
+"""Prefix-free parsing of byte strings: rolling-hash triggers and the phrases between them."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
+import xxhash
 
 #: Length of the repeated strings looked for.
 LENGTH = 400
-#: Bytes of the rolling hash that sets triggers.
+#: Bytes of the rolling hash that sets triggers; neighbouring phrases share so many.
 TRIGGER = 16
-#: Triggers are least hashes among this many places in the middle of a string (a power of two).
-WINDOW = 128
-_LEAD = (LENGTH - WINDOW - TRIGGER) // 2
-#: Context of a trigger that lies in every string it stands for: a phrase.
-PHRASE = 256
-_BACK = _LEAD
-#: Starts handled at a time; a place within them takes the low bits of a packed value.
-CHUNK = 1 << 20
-_LOW = np.uint64((1 << 22) - 1)
-_BASE = 0x9E3779B97F4A7C15 | 1
+#: One place in so many is a trigger.
+SPACING = 48
 _TABLE = np.random.default_rng(20240101).integers(0, 1 << 64, 256, dtype=np.uint64)
+_LIMIT = np.uint64((1 << 64) // SPACING)
+#: Places whose hashes are held at a time.
+_CHUNK = 1 << 20
 
 
-def rolling(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all substrings of TRIGGER, PHRASE and LENGTH bytes, by doubling."""
-    h = {1: _TABLE[raw]}
-    power, size = _BASE, 1
-    powers = {1: _BASE}
-    while size < 256:
-        old = h[size]
-        h[2 * size] = old[: len(old) - size] + old[size:] * np.uint64(power)
-        if size not in (1, 16, 128):
-            del h[size]
-        power = power * power % (1 << 64)
-        size *= 2
-        powers[size] = power
-    n = len(raw) - LENGTH + 1
-    whole = h[256][:n] + np.uint64(powers[256]) * h[128][256 : 256 + n] + np.uint64(powers[256] * powers[128] % (1 << 64)) * h[16][384 : 384 + n]
-    return h[16], h[256], whole
-
-
-def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = (a ^ (a >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + b
-    return (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+def triggers(raw: bytes) -> np.ndarray:
+    """Places where a trigger string of TRIGGER bytes starts; they depend on those bytes alone."""
+    data = np.frombuffer(raw, np.uint8)
+    found = [np.zeros(0, np.int64)]
+    for at in range(0, len(data) - TRIGGER + 1, _CHUNK):
+        h = _TABLE[data[at : at + _CHUNK + TRIGGER - 1]]
+        power, size = 0x9E3779B97F4A7C15, 1
+        while size < TRIGGER:
+            h = h[: len(h) - size] + h[size:] * np.uint64(power)
+            power = power * power % (1 << 64)
+            size *= 2
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        found.append(np.flatnonzero((h ^ (h >> np.uint64(29))) < _LIMIT) + at)
+    return np.concatenate(found)
 
 
-def phrases(raw: bytes) -> Iterator[tuple[np.ndarray, ...]]:
-    """Arrays (first, last, phrase, span) of the runs of starts that share a trigger.
+def parse(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the phrases: from one trigger to the end of the next, the text's edges included.
 
-    Equal strings of LENGTH bytes have their trigger at the same offset, hence
-    the same phrase. ``first`` to ``last`` are the starts a trigger stands for,
-    ``phrase`` the hash of its context, ``span`` that of all their strings.
+    No suffix of a phrase that reaches over its last trigger's start is a proper
+    prefix of another such suffix, since a trigger stands at its end and nowhere
+    after its first byte before.
     """
-    data = np.frombuffer(raw, np.uint8)
-    for at in range(0, len(data) - LENGTH + 1, CHUNK):
-        part = data[at : at + CHUNK + LENGTH - 1]
-        n = len(part) - LENGTH + 1
-        trigger, phrase, whole = rolling(part)
-        least = (trigger[_LEAD : _LEAD + n + WINDOW - 1] & ~_LOW) | np.arange(_LEAD, _LEAD + n + WINDOW - 1, dtype=np.uint64)
-        size = 1
-        while size < WINDOW:
-            least = np.minimum(least[: len(least) - size], least[size:])
-            size *= 2
-        where = (least & _LOW).astype(np.int64)
-        cuts = np.flatnonzero(where[1:] != where[:-1]) + 1
-        first, last = np.concatenate([[0], cuts]), np.concatenate([cuts, [n]]) - 1
-        place = where[first]
-        edges = ((place - first) << 20 | (place - last)).astype(np.uint64)
-        yield first + at, last + at, phrase[place - _BACK], mix(mix(whole[first], whole[last]), edges)
+    found = triggers(raw)
+    found = found[found > 0]
+    return np.concatenate([[0], found]).astype(np.int64), np.concatenate([found + TRIGGER, [len(raw)]]).astype(np.int64)
 
 
-def string_hashes(raw: bytes, first: int, last: int) -> np.ndarray:
-    """Hashes of the strings that start at ``first`` to ``last``."""
-    return rolling(np.frombuffer(raw[first : last + LENGTH], np.uint8))[2]
+def hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128-bit hashes of substrings as rows of two signed 64-bit numbers."""
+    digest = xxhash.xxh3_128_digest
+    joined = b"".join([digest(raw[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.frombuffer(joined, ">i8").reshape(-1, 2).astype(np.int64)

@@ -1,13 +1,19 @@
-"""Removal of long repeated byte strings, after prefix-free parsing.
-
-Rolling-hash triggers cut every text into overlapping phrases whose places
-depend on content alone (see ``phrases``). The dictionary of distinct phrases
-is counted over the corpus; a string of 400 bytes that occurs twice contains a
-phrase that occurs twice, at the same offset, so all else is settled unread.
-Within a repeated phrase, the strings it stands for are compared: as a whole
-where all their surroundings agree, and one by one where they do not. Equal
-strings meet by hash instead of by neighbourhood in suffix order, since a fixed
-length asks only for equality: no order of the corpus is ever built.
+"""Removal of long repeated byte strings by prefix-free parsing.
+
+Rolling-hash triggers cut every distinct text into phrases (see ``phrases``).
+The dictionary of phrases is counted over the corpus: a string of 400 bytes that
+occurs twice holds only phrases that occur twice, so all else is left out. The
+parse is then put into order: the starts of phrases are sorted by the text that
+follows (the suffix array of the parse), and neighbours tell, byte by byte, how
+much of it occurs elsewhere. That settles every start that has its like at the
+same place of an equal phrase. Equal strings may also start in unlike phrases
+that end alike; only such starts are expanded, as suffixes of dictionary phrases:
+the order of (phrase suffix, order of the parse after it) is the order of the
+corpus, in which equal strings are neighbours.
+
+Sorts are by range over unique keys, so no group of equal strings has to fit a
+task; pairs of neighbours across the cuts are settled from the tables' edges,
+two rows a task.
 """
 
 from __future__ import annotations
@@ -17,160 +23,361 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .phrases import LENGTH, phrases, string_hashes
-from .spool import spool
-from .text import as_bytes, slices
+from .phrases import LENGTH, TRIGGER, hashes, parse
+from .spool import discard, spool
+from .text import as_bytes, slices, to_batch
 
-SURE, ASK, SHOW = 0, 1, 2
-_NONE = np.zeros(0, np.int64)
+#: Bytes after an anchor that tell its group; strings that start further back than LENGTH - GROUP always count as mixed.
+GROUP = 64
 
 
-def _batch(lists: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([_NONE, *x]).astype(np.int64)) for x in lists], names=names)
+def digest(raw: bytes) -> tuple[int, int]:
+    """128-bit hash of a text, as two signed numbers."""
+    h = xxhash.xxh3_128_intdigest(raw)
+    return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
 
 
-def _placed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("place"), "doc_id", as_bytes().alias("raw"))
+def _digests(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, d1, d2, whole) of every row: what identifies its text, and the digest of all of it."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in slices(batches):
+            raws = [raw.as_py() or b"" for raw in batch.column(1)]
+            ones, twos = zip(*map(digest, raws), strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(map(len, raws), pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array([hashlib.sha256(raw).hexdigest() for raw in raws], pa.string())],
+                names=["doc_id", "n_bytes", "d1", "d2", "whole"],
+            )
+
+    return docs.select("doc_id", as_bytes().alias("raw")).mapInArrow(run, f"doc_id {kind}, n_bytes long, d1 long, d2 long, whole string")
 
 
-def _runs(placed: DataFrame) -> DataFrame:
-    """(place, first, last, phrase, span): runs of string starts and their phrase."""
+def _texts(docs: DataFrame) -> DataFrame:
+    """(tid, d1, d2, copies, raw): the distinct texts of LENGTH bytes or more, numbered."""
 
     def run(batches):
-        for batch in slices(batches, 4 << 20):
-            out = [[], [], [], [], []]
-            for place, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for first, last, phrase, span in phrases(raw.as_py() or b""):
-                    for have, new in zip(out, (np.full(len(first), place), first, last, phrase.view(np.int64), span.view(np.int64)), strict=True):
-                        have.append(new)
-            yield _batch(out, ["place", "first", "last", "phrase", "span"])
+        for batch in slices(batches):
+            ones, twos = zip(*(digest(raw.as_py()) for raw in batch.column(0)), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), batch.column(0)], names=["d1", "d2", "raw"])
 
-    return placed.select("place", "raw").mapInArrow(run, "place long, first long, last long, phrase long, span long")
+    raws = docs.select(as_bytes().alias("raw")).filter(F.octet_length("raw") >= LENGTH)
+    distinct = raws.mapInArrow(run, "d1 long, d2 long, raw binary").groupBy("d1", "d2").agg(F.count("*").alias("copies"), F.first("raw").alias("raw"))
+    return spool(distinct.select(F.monotonically_increasing_id().alias("tid"), "d1", "d2", "copies", "raw"), "texts")
 
 
-def _settled(placed: DataFrame) -> DataFrame:
-    """(place, first, last, kind) of the runs under repeated phrases.
+def _live(texts: DataFrame) -> DataFrame:
+    """(tid, live): numbers of the inner phrases that occur more than once in the distinct texts."""
 
-    SURE: every string of the run occurs elsewhere. ASK: its strings must be
-    looked up one by one. SHOW: sure, and stands for its copies in the look-up.
+    def run(batches):
+        for batch in slices(batches, 2 << 20):
+            tids, numbers, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)]
+            for tid, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = raw.as_py()
+                starts, ends = parse(raw)
+                inner = np.arange(1, len(starts) - 1)
+                numbers.append(inner)
+                tids.append(np.full(len(inner), tid))
+                found.append(hashes(raw, starts[inner], ends[inner]))
+            both = np.ascontiguousarray(np.concatenate(found).T)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(np.concatenate(tids)), pa.array(np.concatenate(numbers).astype(np.int32))], names=["h1", "h2", "tid", "k"])
+
+    phrases = texts.select("tid", "raw").mapInArrow(run, "h1 long, h2 long, tid long, k int")
+    repeated = spool(phrases.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2"), "dictionary")
+    return phrases.join(repeated, ["h1", "h2"]).groupBy("tid").agg(F.collect_list("k").alias("live"))
+
+
+def candidates(size: int, starts: np.ndarray, ends: np.ndarray, live: np.ndarray) -> np.ndarray:
+    """Whether the string at each start holds no phrase that occurs once; ``live`` numbers the others."""
+    dead = np.ones(len(starts), bool)
+    dead[live] = False
+    dead[[0, -1]] = False  # the text's edges are parts of phrases
+    dead &= ends - starts <= LENGTH
+    n = size - LENGTH + 1
+    change = np.zeros(n + 1, np.int64)
+    low, high = np.maximum(ends[dead] - LENGTH, 0), np.minimum(starts[dead] + 1, n)
+    some = low < high
+    np.add.at(change, low[some], 1)
+    np.add.at(change, high[some], -1)
+    return np.cumsum(change[:-1]) == 0
+
+
+def _anchors(texts: DataFrame, live: DataFrame, every: bool = False) -> DataFrame:
+    """(tid, k, context, after, before): phrase starts near strings that may repeat.
+
+    ``context`` is the text from the phrase's start to LENGTH bytes past its
+    end's trigger, ``after`` a hash of its first bytes, ``before`` that of the
+    phrase before.
     """
-    counts = _runs(placed).groupBy("phrase").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high"))
-    repeated = spool(counts.filter("n > 1").select("phrase", (F.col("low") == F.col("high")).alias("uniform")), "phrases")
-    found = spool(_runs(placed).join(repeated, "phrase"), "runs")
-    mixed = found.filter("not uniform")
-    # a run spans less than 256 starts, so first and last fit one number that goes with the least place
-    code = F.col("first") * 256 + F.col("last") - F.col("first")
-    spans = mixed.groupBy("phrase", "span").agg(F.count("*").alias("n"), F.min("place").alias("place"), F.min_by(code, "place").alias("code"))
-    first = F.shiftright("code", 8)
-    picked = spans.select("n", "place", first.alias("first"), (first + F.col("code").bitwiseAND(F.lit(255))).alias("last"))
-    ask = picked.filter("n = 1").select("place", "first", "last", F.lit(ASK).alias("kind"))
-    show = picked.filter("n > 1").select("place", "first", "last", F.lit(SHOW).alias("kind"))
-    sure = found.join(ask.select("place", "first"), ["place", "first"], "left_anti").select("place", "first", "last", F.lit(SURE).alias("kind"))
-    return sure.union(ask).union(show)
-
-
-def _repeated_starts(texts: DataFrame) -> DataFrame:
-    """(place, start) of the ASK strings that occur again among the ASK and SHOW strings."""
-
-    def strings(batches):
+    schema = pa.schema([("tid", pa.int64()), ("k", pa.int32()), ("context", pa.binary()), ("after", pa.int64()), ("before", pa.int64())])
+
+    def run(batches):
         for batch in slices(batches, 1 << 20):
-            out = [[], [], [], []]
-            for place, raw, runs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            out = {f.name: [] for f in schema}
+            for tid, raw, known in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 raw = raw.as_py()
-                for r in runs:
-                    if r["kind"] != SURE:
-                        hashes = string_hashes(raw, r["first"], r["last"]).view(np.int64)
-                        n = len(hashes)
-                        for have, new in zip(out, (hashes, np.full(n, place), np.arange(r["first"], r["first"] + n), np.full(n, r["kind"] == ASK)), strict=True):
-                            have.append(new)
-            yield _batch(out, ["hash", "place", "start", "ask"])
-
-    rows = texts.mapInArrow(strings, "hash long, place long, start long, ask long")
-
-    def twice(batches):
-        held = None
+                starts, ends = parse(raw)
+                if every:
+                    known = np.arange(len(starts))
+                elif known is None:
+                    known = []
+                fits = candidates(len(raw), starts, ends, np.array(known, np.int64))
+                sums = np.concatenate([[0], np.cumsum(fits)])
+                cuts = np.minimum(np.concatenate([starts[:1], starts, [len(raw)]]), len(fits))
+                for k in np.flatnonzero(sums[cuts[2:]] > sums[cuts[:-2]]).tolist():
+                    start = int(starts[k])
+                    end = int(starts[k + 1]) + LENGTH if k + 1 < len(starts) else len(raw)
+                    out["tid"].append(tid)
+                    out["k"].append(k)
+                    out["context"].append(raw[start:end])
+                    out["after"].append(xxhash.xxh3_64_intdigest(raw[start : start + GROUP]) - (1 << 63))
+                    out["before"].append(xxhash.xxh3_64_intdigest(raw[starts[k - 1] : ends[k - 1]]) - (1 << 63) if k else None)
+            yield to_batch(out, schema)
+
+    return texts.select("tid", "raw").join(live, "tid", "left").select("tid", "raw", "live").mapInArrow(run, "tid long, k int, context binary, after long, before long")
+
+
+def common(a: bytes, b: bytes) -> int:
+    """Length of the longest common prefix."""
+    n = min(len(a), len(b))
+    unlike = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+    return n - (unlike.bit_length() + 7) // 8
+
+
+def _parse_order(anchors: DataFrame) -> tuple[DataFrame, dict]:
+    """(tid, k, rank, up, down, edge) in the order of the text that follows, and the edges between tasks.
+
+    ``up`` and ``down`` are the bytes in common with the neighbours in that
+    order; a task does not know those beyond its own rows, so the second value
+    has them by rank.
+    """
+    schema = pa.schema([("tid", pa.int64()), ("k", pa.int32()), ("rank", pa.int64()), ("up", pa.int32()), ("down", pa.int32()), ("edge", pa.binary())])
+
+    def run(batches):
+        held = None  # the last row so far and what it has in common with the one before
+
+        def row(r, up, down, edge):
+            return dict(zip(schema.names, (r[0], r[1], r[3], up, down, edge), strict=True))
+
         for batch in batches:
-            if batch.num_rows:
-                part = np.stack([c.to_numpy() for c in batch.columns])
-                part = part if held is None else np.concatenate([held, part], axis=1)
-                same = part[0, 1:] == part[0, :-1]
-                hit = np.zeros(part.shape[1], bool)
-                hit[1:] |= same
-                hit[:-1] |= same
-                if held is not None and seen:
-                    hit[0] = True
-                rest = part[:, :-1][:, hit[:-1] & (part[3, :-1] == 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(rest[1]), pa.array(rest[2])], names=["place", "start"])
-                held, seen = part[:, -1:], hit[-1]
-        if held is not None and seen and held[3, 0]:
-            yield pa.RecordBatch.from_arrays([pa.array(held[1]), pa.array(held[2])], names=["place", "start"])
-
-    return rows.repartition("hash").sortWithinPartitions("hash").mapInArrow(twice, "place long, start long")
+            out = []
+            for r in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if held is None:
+                    held = (r, 0, True)
+                    continue
+                last, up, first = held
+                same = common(last[2], r[2])
+                out.append(row(last, up, same, last[2] if first else None))
+                held = (r, same, False)
+            yield pa.RecordBatch.from_pylist(out, schema)
+        if held:
+            yield pa.RecordBatch.from_pylist([row(held[0], held[1], 0, held[0][2])], schema)
+
+    rows = anchors.select("tid", "k", "context").orderBy("context", "tid", "k").withColumn("rank", F.monotonically_increasing_id())
+    ordered = spool(rows.mapInArrow(run, "tid long, k int, rank long, up int, down int, edge binary"), "parse")
+    edges = ordered.filter("edge is not null").select("rank", "edge").orderBy("rank").collect()  # two rows a task at most
+    known: dict[int, list[int]] = {}
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if a.rank >> 33 != b.rank >> 33:
+            same = common(bytes(a.edge), bytes(b.edge))
+            known.setdefault(a.rank, [0, 0])[1] = same
+            known.setdefault(b.rank, [0, 0])[0] = same
+    return ordered, known
+
+
+_FOUND = pa.schema([("tid", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("tail", pa.binary()), ("rank", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("ask", pa.bool_())])
+
+
+def settle(tid: int, raw: bytes, known: list[dict], edges: dict, out: dict, every: bool = False) -> None:
+    """Adds the runs of one text that are sure, and the starts that wait for the order of the corpus, to ``out``."""
+    starts, _ = parse(raw)
+    m, n = len(starts), len(raw)
+    rank, up, down, mixed = np.full(m, -1), np.zeros(m, np.int64), np.zeros(m, np.int64), np.full(m, every)
+    for r in known:
+        if r["rank"] is None:
+            mixed[r["k"]] = True
+        else:
+            extra = edges.get(r["rank"], (0, 0))
+            rank[r["k"]], up[r["k"]], down[r["k"]] = r["rank"], max(r["up"], extra[0]), max(r["down"], extra[1])
+    most = np.maximum(up, down)
+    next_ = np.concatenate([starts[1:], [n]])
+    latest = n - LENGTH
+
+    def add(first, last, tail=None, order=None, strings=(None, None), ask=None):
+        for name, value in zip(_FOUND.names, (tid, first, last, tail, order, *strings, ask), strict=True):
+            out[name].append(value)
+
+    for k in np.flatnonzero(rank >= 0).tolist():
+        start, after = int(starts[k]), int(next_[k])
+        sure = min(after - 1, start + int(most[k]) - LENGTH, latest)
+        if sure >= start and not every:
+            add(start, sure)
+        # strings that hold no trigger past their first byte lie inside the phrase
+        inside = min(after + TRIGGER - LENGTH, latest + 1) if k + 1 < m else latest + 1
+        if inside > start:
+            seen: dict[tuple, list] = {}
+            for i in range(start, inside):
+                if every or i > sure or int(up[k]) < i - start + LENGTH:
+                    seen.setdefault(digest(raw[i : i + LENGTH]), []).append(i)
+            for strings, where in seen.items():
+                if every:
+                    for i in where:
+                        add(i, i, raw[i : i + LENGTH], 0, strings, True)
+                    continue
+                asked = [i for i in where if i > sure]
+                if len(where) > 1:
+                    for i in asked:
+                        add(i, i)
+                add(where[0], where[0], raw[where[0] : where[0] + LENGTH], 0, strings, bool(asked) and len(where) == 1)
+        if not k:
+            continue
+        # strings whose next trigger is this phrase's start
+        j, low = k - 1, max(int(starts[k - 1]), start + TRIGGER - LENGTH, 0)
+        high = min(start - 1, latest)
+        if not mixed[k]:
+            high = min(high, start - (LENGTH - GROUP) - 1)
+        begin = int(starts[j])
+        done = begin + int(most[j]) - LENGTH if rank[j] >= 0 else -1
+        for i in range(low, high + 1):
+            ask = i > done
+            if every or (i <= start + int(most[k]) - LENGTH if ask else int(up[j]) < i - begin + LENGTH):
+                add(i, i, raw[i : start + TRIGGER], int(rank[k]), digest(raw[i : i + LENGTH]), ask)
+
+
+def _settled(texts: DataFrame, every: bool = False) -> DataFrame:
+    """The rows of ``_FOUND``: sure runs (no tail) and starts to be put in the order of the corpus."""
+    live = _live(texts)
+    anchors = spool(_anchors(texts, live, every), "anchors")
+    groups = anchors.filter("before is not null").groupBy("after").agg(F.min("before").alias("low"), F.max("before").alias("high")).filter("low < high").select("after")
+    mixed = spool(anchors.select("tid", "k", "after").join(groups, "after", "left_semi").select("tid", "k"), "mixed")
+    ordered, edges = _parse_order(anchors)
+    discard(anchors)
+    none = F.lit(None)
+    info = ordered.select("tid", "k", "rank", "up", "down").union(mixed.select("tid", "k", none.cast("long"), none.cast("int"), none.cast("int")))
+    lists = info.groupBy("tid").agg(F.collect_list(F.struct("k", "rank", "up", "down")).alias("known"))
+
+    def run(batches):
+        for batch in slices(batches, 1 << 20):
+            out = {name: [] for name in _FOUND.names}
+            for tid, raw, known in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                settle(tid, raw.as_py(), known, edges, out, every)
+                if len(out["tid"]) > 1 << 15:
+                    yield to_batch(out, _FOUND)
+                    out = {name: [] for name in _FOUND.names}
+            yield to_batch(out, _FOUND)
+
+    rows = texts.select("tid", "raw").join(lists, "tid").select("tid", "raw", "known")
+    found = spool(rows.mapInArrow(run, "tid long, first long, last long, tail binary, rank long, s1 long, s2 long, ask boolean"), "settled")
+    discard(ordered, mixed)
+    return found
+
+
+def _corpus_order(found: DataFrame) -> DataFrame:
+    """The starts that wait, in the order of the corpus: by phrase suffix, then by the parse after it."""
+    return found.filter("tail is not null").select("tail", "rank", "tid", "first", "s1", "s2", "ask").orderBy("tail", "rank", "tid", "first")
+
+
+def _neighbours(found: DataFrame) -> DataFrame:
+    """(tid, first, last): starts that were asked for and whose string is a neighbour's in the order of the corpus."""
+    schema = pa.schema([("place", pa.int64()), ("tid", pa.int64()), ("start", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("hit", pa.bool_()), ("ask", pa.bool_()), ("edge", pa.bool_())])
+
+    def run(batches):
+        held, first = None, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held is None:
+                held = [c[:1] for c in part] + [np.zeros(1, bool)]
+                part = [c[1:] for c in part]
+            place, tid, start, s1, s2, ask, hit = (np.concatenate([a, b]) for a, b in zip(held, [*part, np.zeros(len(part[0]), bool)], strict=True))
+            same = (s1[1:] == s1[:-1]) & (s2[1:] == s2[:-1])
+            hit[1:] |= same
+            hit[:-1] |= same
+            edge = np.zeros(len(hit), bool)
+            edge[0] = first and len(hit) > 1
+            first = first and len(hit) == 1
+            out = np.flatnonzero(((hit & ask) | edge)[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in (place, tid, start, s1, s2, hit, ask, edge)], schema=schema)
+            held = [c[-1:] for c in (place, tid, start, s1, s2, ask, hit)]
+        if held is not None:
+            place, tid, start, s1, s2, ask, hit = held
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (place, tid, start, s1, s2, hit, ask, np.ones(1, bool))], schema=schema)
+
+    rows = _corpus_order(found).withColumn("place", F.monotonically_increasing_id()).select("place", "tid", F.col("first").alias("start"), "s1", "s2", "ask")
+    near = spool(rows.mapInArrow(run, "place long, tid long, start long, s1 long, s2 long, hit boolean, ask boolean, edge boolean"), "order")
+    edges = near.filter("edge").orderBy("place").collect()  # two rows a task at most
+    more = []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if a.place >> 33 != b.place >> 33 and (a.s1, a.s2) == (b.s1, b.s2):
+            more += [(r.tid, r.start, r.start) for r in (a, b) if r.ask]
+    hits = near.filter("hit and ask").select("tid", F.col("start").alias("first"), F.col("start").alias("last"))
+    return hits.union(near.sparkSession.createDataFrame(more, "tid long, first long, last long"))
 
 
 def covered(firsts: np.ndarray, lasts: np.ndarray, size: int = LENGTH) -> list[tuple[int, int]]:
     """Merged [start, end) of the bytes under strings that start at first to last; touching spans are one."""
-    out: list[list[int]] = []
-    for k in np.argsort(firsts, kind="stable"):
-        first, end = int(firsts[k]), int(lasts[k]) + size
-        if out and first <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([first, end])
-    return [tuple(x) for x in out]
+    order = np.argsort(firsts, kind="stable")
+    firsts, ends = firsts[order], np.maximum.accumulate(lasts[order] + size) if len(order) else lasts
+    fresh = np.concatenate([[True], firsts[1:] > ends[:-1]])[: len(firsts)]
+    return list(zip(firsts[fresh].tolist(), ends[np.concatenate([np.flatnonzero(fresh)[1:] - 1, [-1]])].tolist() if len(firsts) else [], strict=True))
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(place, doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row of ``docs``.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row of ``docs``.
 
     ``spans`` are the removed [start, end) byte ranges. A null text counts as
     empty; texts under 400 bytes lose nothing. A repeated row is a copy, so
-    both lose all they share. Other columns are ignored. ``docs`` must be a
-    table scan (``place`` is a row's place in the files).
+    both lose all they share. Rows are told apart by nothing but their text
+    (a 128-bit hash), so ids may be null or repeat, in any input, and a
+    changed split of it changes nothing. Other columns are ignored.
     """
-    placed = _placed(docs)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def plain(batches):
-        for batch in slices(batches):
-            raws = [raw.as_py() or b"" for raw in batch.column(2)]
-            digests = [hashlib.sha256(raw).hexdigest() for raw in raws]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(raw) for raw in raws], pa.int64()), pa.array(digests, pa.string())], names=["place", "doc_id", "n_bytes", "whole"])
-
-    every = placed.mapInArrow(plain, f"place long, doc_id {kind}, n_bytes long, whole string")
-    by_place = _settled(placed).groupBy("place").agg(F.collect_list(F.struct("first", "last", "kind")).alias("runs"))
-    texts = spool(placed.select("place", "raw").join(by_place, "place").select("place", "raw", "runs"), "texts")
+    spark = docs.sparkSession
+    rows = spool(_digests(docs), "digests")
+    texts = _texts(docs)
+    found = _settled(texts)
     gc.collect()
-    docs.sparkSession._jvm.System.gc()  # the tables above are written: their shuffle files may go
-    starts = _repeated_starts(texts).groupBy("place").agg(F.collect_list("start").alias("starts"))
+    spark._jvm.System.gc()  # the tables above are written: their shuffle files may go
+    runs = found.filter("tail is null").select("tid", "first", "last").union(_neighbours(found))
+    lists = runs.groupBy("tid").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
 
     def cut(batches):
         for batch in slices(batches):
-            out = [[], [], [], [], []]
-            for place, raw, runs, more in zip(*(batch.column(k) for k in range(4)), strict=True):
-                raw, more = raw.as_py(), np.array(more.as_py() or [], np.int64)
-                sure = [(r["first"], r["last"]) for r in runs.as_py() if r["kind"] != ASK]
-                firsts, lasts = np.array([x for x, _ in sure], np.int64), np.array([x for _, x in sure], np.int64)
-                spans = covered(np.concatenate([firsts, more]), np.concatenate([lasts, more]))
-                kept = hashlib.sha256()
-                at = 0
+            out = [[], [], [], []]
+            for raw, runs in zip(batch.column(2), batch.column(3), strict=True):
+                raw, runs = raw.as_py(), runs.values.flatten()
+                spans = covered(runs[0].to_numpy(), runs[1].to_numpy())
+                kept, at = hashlib.sha256(), 0
                 for start, end in spans:
                     kept.update(raw[at:start])
                     at = end
                 kept.update(raw[at:])
-                for have, new in zip(out, (place.as_py(), sum(e - s for s, e in spans), len(spans), kept.hexdigest(), [list(x) for x in spans]), strict=True):
+                for have, new in zip(out, (sum(e - s for s, e in spans), len(spans), kept.hexdigest(), [list(x) for x in spans]), strict=True):
                     have.append(new)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["place", "n_removed", "n_spans", "rest", "spans"])
-
-    cuts = texts.join(starts, "place", "left").select("place", "raw", "runs", "starts").mapInArrow(cut, "place long, n_removed long, n_spans long, rest string, spans array<array<long>>")
-    return every.join(cuts, "place", "left").select(
-        "place", "doc_id", "n_bytes",
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=["d1", "d2", "n_removed", "n_spans", "rest", "spans"])
+
+    alone = texts.filter("copies = 1").join(lists, "tid").select("d1", "d2", "raw", "runs").mapInArrow(cut, "d1 long, d2 long, n_removed long, n_spans long, rest string, spans array<array<long>>")
+    size = F.octet_length("raw").cast("long")
+    copied = texts.filter("copies > 1").select("d1", "d2", size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256().hexdigest()).alias("rest"), F.array(F.array(F.lit(0).cast("long"), size)).alias("spans"))
+    return rows.join(alone.union(copied), ["d1", "d2"], "left").select(
+        "doc_id", "n_bytes",
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
         F.coalesce("rest", "whole").alias("kept_sha256"),
         F.coalesce("spans", F.expr("cast(array() as array<array<bigint>>)")).alias("spans"),
     )
+
+
+def corpus_order(docs: DataFrame) -> DataFrame:
+    """(d1, d2, start, place): every start of a LENGTH-byte string of every distinct text, in the order of the corpus.
+
+    One row a byte: for small corpora and for tests of the order.
+    """
+    texts = _texts(docs)
+    rows = _corpus_order(_settled(texts, every=True)).withColumn("place", F.monotonically_increasing_id())
+    return rows.select("tid", F.col("first").alias("start"), "place").join(texts.select("tid", "d1", "d2"), "tid").select("d1", "d2", "start", "place")

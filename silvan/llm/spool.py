@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -9,25 +10,45 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), a folder of our own."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset and all runs in one process (tests), a temporary one.
+
+    On a cluster an unset folder is an error: other machines do not see a local one.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="silvan-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _own_dir()
+
+
+_OWN: list[str] = []
+
+
+def _own_dir() -> str:
+    if not _OWN:
+        folder = tempfile.TemporaryDirectory(prefix="silvan-")
+        atexit.register(folder.cleanup)
+        _OWN.append(folder.name)
+    return _OWN[0]
 
 
 def spool(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written as Parquet into the shared folder and reread. Its path is in ``spooled_at``."""
+    """``df``, written as Parquet into the shared folder and reread. Its path is in ``spooled_at``.
+
+    The rows are fixed from then on: whatever was numbered before (places, ranks)
+    stays so in every later job, however the input would be split by then.
+    """
     path = f"{shared_dir(df.sparkSession)}/silvan-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.spooled_at = path
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a spooled table that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df.spooled_at)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete spooled tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.spooled_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -367,6 +367,39 @@ def test_repeats(docs, rows, empty):
     assert repeats.removals(empty).count() == 0
 
 
+def test_corpus_order_is_that_of_the_strings(docs, rows):
+    """Suffixes of dictionary phrases and the order of the parse combine into the order of all strings."""
+    by_digest = {repeats.digest((r[1] or "").encode()): (r[1] or "").encode() for r in rows}
+    got = repeats.corpus_order(docs).orderBy("place").collect()
+    strings = [by_digest[r.d1, r.d2][r.start : r.start + phrases.LENGTH] for r in got]
+    assert strings == sorted(strings)
+    assert len(strings) == sum(max(0, len(b) - phrases.LENGTH + 1) for b in by_digest.values())
+
+
+def test_phrases_are_free_of_prefixes():
+    r = random.Random(3)
+    raw = bytes(r.randrange(256) for _ in range(20_000)) + b"abc" * 700
+    starts, ends = phrases.parse(raw)
+    assert starts[0] == 0 and ends[-1] == len(raw) and (ends[:-1] == starts[1:] + phrases.TRIGGER).all()
+    suffixes = sorted(raw[i:e] for s, e, n in zip(starts[:-1], ends[:-1], starts[1:]) for i in range(s, n))
+    assert not any(b.startswith(a) and a != b for a, b in zip(suffixes, suffixes[1:]))
+    # places depend on the bytes alone
+    assert [x - 7 for x in phrases.triggers(b"seventy"[:7] + raw) if x >= 7] == phrases.triggers(raw).tolist()
+
+
+def test_repeats_in_periodic_and_long_texts(spark):
+    r = random.Random(11)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    shared = word(2000)
+    texts = ["De " * 900, "De " * 700, "De " * 300 + "x" + "De " * 300, word(300) + shared[:700] + word(300), word(10) + shared[100:900], shared[399:], "x" * 401, "x" * 400, "y" * 400, shared[:399], "z" + "x" * 399]
+    raws = [t.encode() for t in texts]
+    size = phrases.LENGTH
+    counts = Counter(b[i : i + size] for b in raws for i in range(len(b) - size + 1))
+    want = {k: sum(any(counts[b[i : i + size]] > 1 for i in range(max(0, at - size + 1), min(at, len(b) - size) + 1)) for at in range(len(b))) for k, b in enumerate(raws)}
+    got = {x.doc_id: x.n_removed for x in repeats.removals(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_licenses(docs, rows, empty):
     def brute(t):
         w = alnum_words((t or "").encode())
