@@ -31,8 +31,12 @@ from .phrases import LENGTH, TRIGGER, hashes, parse
 from .spool import discard, spool
 from .text import as_bytes, slices, to_batch
 
-#: Bytes after an anchor that tell its group; strings that start further back than LENGTH - GROUP always count as mixed.
+#: Bytes after an anchor that tell its group; strings that start LENGTH - GROUP bytes back or more always count as mixed.
 GROUP = 64
+#: Bytes before an anchor that tell its group too, for strings that start so far back at least.
+BACK = (0, 8, 24)
+#: Bytes of a string without a trigger that put it in order; its hash does the rest.
+PREFIX = 64
 
 
 def digest(raw: bytes) -> tuple[int, int]:
@@ -107,13 +111,14 @@ def candidates(size: int, starts: np.ndarray, ends: np.ndarray, live: np.ndarray
 
 
 def _anchors(texts: DataFrame, live: DataFrame, every: bool = False) -> DataFrame:
-    """(tid, k, context, after, before): phrase starts near strings that may repeat.
+    """(tid, k, context, groups, before): phrase starts near strings that may repeat.
 
     ``context`` is the text from the phrase's start to LENGTH bytes past its
-    end's trigger, ``after`` a hash of its first bytes, ``before`` that of the
-    phrase before.
+    end's trigger, ``groups`` has a hash for each entry of ``BACK`` of the bytes
+    around the start, ``before`` is a hash of the phrase before.
     """
-    schema = pa.schema([("tid", pa.int64()), ("k", pa.int32()), ("context", pa.binary()), ("after", pa.int64()), ("before", pa.int64())])
+    schema = pa.schema([("tid", pa.int64()), ("k", pa.int32()), ("context", pa.binary()), ("groups", pa.list_(pa.int64())), ("before", pa.int64())])
+    number = lambda raw, seed=0: xxhash.xxh3_64_intdigest(raw, seed) - (1 << 63)
 
     def run(batches):
         for batch in slices(batches, 1 << 20):
@@ -134,11 +139,11 @@ def _anchors(texts: DataFrame, live: DataFrame, every: bool = False) -> DataFram
                     out["tid"].append(tid)
                     out["k"].append(k)
                     out["context"].append(raw[start:end])
-                    out["after"].append(xxhash.xxh3_64_intdigest(raw[start : start + GROUP]) - (1 << 63))
-                    out["before"].append(xxhash.xxh3_64_intdigest(raw[starts[k - 1] : ends[k - 1]]) - (1 << 63) if k else None)
+                    out["groups"].append([number(raw[max(0, start - back) : start + GROUP], back) for back in BACK])
+                    out["before"].append(number(raw[starts[k - 1] : ends[k - 1]]) if k else None)
             yield to_batch(out, schema)
 
-    return texts.select("tid", "raw").join(live, "tid", "left").select("tid", "raw", "live").mapInArrow(run, "tid long, k int, context binary, after long, before long")
+    return texts.select("tid", "raw").join(live, "tid", "left").select("tid", "raw", "live").mapInArrow(run, "tid long, k int, context binary, groups array<long>, before long")
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -196,10 +201,10 @@ def settle(tid: int, raw: bytes, known: list[dict], edges: dict, out: dict, ever
     """Adds the runs of one text that are sure, and the starts that wait for the order of the corpus, to ``out``."""
     starts, _ = parse(raw)
     m, n = len(starts), len(raw)
-    rank, up, down, mixed = np.full(m, -1), np.zeros(m, np.int64), np.zeros(m, np.int64), np.full(m, every)
+    rank, up, down, mixed = np.full(m, -1), np.zeros(m, np.int64), np.zeros(m, np.int64), np.full((m, len(BACK)), every)
     for r in known:
         if r["rank"] is None:
-            mixed[r["k"]] = True
+            mixed[r["k"], BACK.index(r["up"])] = True
         else:
             extra = edges.get(r["rank"], (0, 0))
             rank[r["k"]], up[r["k"]], down[r["k"]] = r["rank"], max(r["up"], extra[0]), max(r["down"], extra[1])
@@ -223,6 +228,7 @@ def settle(tid: int, raw: bytes, known: list[dict], edges: dict, out: dict, ever
             for i in range(start, inside):
                 if every or i > sure or int(up[k]) < i - start + LENGTH:
                     seen.setdefault(digest(raw[i : i + LENGTH]), []).append(i)
+            again = []
             for strings, where in seen.items():
                 if every:
                     for i in where:
@@ -230,19 +236,24 @@ def settle(tid: int, raw: bytes, known: list[dict], edges: dict, out: dict, ever
                     continue
                 asked = [i for i in where if i > sure]
                 if len(where) > 1:
-                    for i in asked:
-                        add(i, i)
-                add(where[0], where[0], raw[where[0] : where[0] + LENGTH], 0, strings, bool(asked) and len(where) == 1)
+                    again += asked
+                add(where[0], where[0], raw[where[0] : where[0] + PREFIX], 0, strings, bool(asked) and len(where) == 1)
+            again = np.sort(np.array(again, np.int64))
+            for run in np.split(again, np.flatnonzero(again[1:] > again[:-1] + 1) + 1):
+                if len(run):
+                    add(int(run[0]), int(run[-1]))
         if not k:
             continue
         # strings whose next trigger is this phrase's start
         j, low = k - 1, max(int(starts[k - 1]), start + TRIGGER - LENGTH, 0)
         high = min(start - 1, latest)
-        if not mixed[k]:
-            high = min(high, start - (LENGTH - GROUP) - 1)
         begin = int(starts[j])
         done = begin + int(most[j]) - LENGTH if rank[j] >= 0 else -1
-        for i in range(low, high + 1):
+        # starts by distance from the anchor: the further back, the more bytes before it must occur elsewhere too
+        bounds = [start - back for back in BACK] + [start - (LENGTH - GROUP), low]
+        wanted = [range(max(low, near + 1), min(high, far) + 1) for far, near, some in zip(bounds, bounds[1:], [*mixed[k]], strict=False) if some]
+        wanted.append(range(low, min(high, start - (LENGTH - GROUP)) + 1))
+        for i in (i for part in wanted for i in part):
             ask = i > done
             if every or (i <= start + int(most[k]) - LENGTH if ask else int(up[j]) < i - begin + LENGTH):
                 add(i, i, raw[i : start + TRIGGER], int(rank[k]), digest(raw[i : i + LENGTH]), ask)
@@ -252,12 +263,14 @@ def _settled(texts: DataFrame, every: bool = False) -> DataFrame:
     """The rows of ``_FOUND``: sure runs (no tail) and starts to be put in the order of the corpus."""
     live = _live(texts)
     anchors = spool(_anchors(texts, live, every), "anchors")
-    groups = anchors.filter("before is not null").groupBy("after").agg(F.min("before").alias("low"), F.max("before").alias("high")).filter("low < high").select("after")
-    mixed = spool(anchors.select("tid", "k", "after").join(groups, "after", "left_semi").select("tid", "k"), "mixed")
+    # phrases that begin alike, also with some bytes before, but follow unlike phrases: one row a group and task reaches the shuffle
+    around = anchors.filter("before is not null").select("tid", "k", "before", F.posexplode("groups").alias("level", "group"))
+    groups = spool(around.groupBy("group").agg(F.min("before").alias("low"), F.max("before").alias("high")).filter("low < high").select("group"), "groups")
+    mixed = spool(around.join(groups, "group", "left_semi").select("tid", "k", F.element_at(F.array(*map(F.lit, BACK)), F.col("level") + 1).alias("back")), "mixed")
     ordered, edges = _parse_order(anchors)
     discard(anchors)
     none = F.lit(None)
-    info = ordered.select("tid", "k", "rank", "up", "down").union(mixed.select("tid", "k", none.cast("long"), none.cast("int"), none.cast("int")))
+    info = ordered.select("tid", "k", "rank", "up", "down").union(mixed.select("tid", "k", none.cast("long"), "back", none.cast("int")))
     lists = info.groupBy("tid").agg(F.collect_list(F.struct("k", "rank", "up", "down")).alias("known"))
 
     def run(batches):
@@ -272,13 +285,17 @@ def _settled(texts: DataFrame, every: bool = False) -> DataFrame:
 
     rows = texts.select("tid", "raw").join(lists, "tid").select("tid", "raw", "known")
     found = spool(rows.mapInArrow(run, "tid long, first long, last long, tail binary, rank long, s1 long, s2 long, ask boolean"), "settled")
-    discard(ordered, mixed)
+    discard(ordered, mixed, groups)
     return found
 
 
 def _corpus_order(found: DataFrame) -> DataFrame:
-    """The starts that wait, in the order of the corpus: by phrase suffix, then by the parse after it."""
-    return found.filter("tail is not null").select("tail", "rank", "tid", "first", "s1", "s2", "ask").orderBy("tail", "rank", "tid", "first")
+    """The starts that wait, in the order of the corpus: by phrase suffix, then by the parse after it.
+
+    Strings without a trigger are no phrase suffixes; past their first bytes
+    their order is that of their hashes, so that equal ones meet.
+    """
+    return found.filter("tail is not null").select("tail", "rank", "tid", "first", "s1", "s2", "ask").orderBy("tail", "rank", "s1", "s2", "tid", "first")
 
 
 def _neighbours(found: DataFrame) -> DataFrame:

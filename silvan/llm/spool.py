@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes that go to a Python worker at once while a table is written; texts are long, and memory is shared with the JVM.
+_BATCH, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where that is unset and all runs in one process (tests), a temporary one.
 
@@ -39,8 +43,14 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     The rows are fixed from then on: whatever was numbered before (places, ranks)
     stays so in every later job, however the input would be split by then.
     """
+    conf = df.sparkSession.conf
     path = f"{shared_dir(df.sparkSession)}/silvan-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = conf.get(_BATCH)
+    conf.set(_BATCH, _BATCH_BYTES)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(_BATCH, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.spooled_at = path
     return out
