@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .phrases import LENGTH, TRIGGER, hashes, parse
+from .phrases import LENGTH, SIDE, TRIGGER, hashes, inner_runs, parse
 from .spool import discard, spool
 from .text import as_bytes, slices, to_batch
 
@@ -75,7 +75,11 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _live(texts: DataFrame) -> DataFrame:
-    """(tid, live): numbers of the inner phrases that occur more than once in the distinct texts."""
+    """(tid, live): numbers of the inner phrases that occur more than once in the distinct texts.
+
+    Negative numbers, from -1 down, are runs of starts inside long phrases
+    whose surroundings occur more than once (see ``inner_runs``).
+    """
 
     def run(batches):
         for batch in slices(batches, 2 << 20):
@@ -84,26 +88,35 @@ def _live(texts: DataFrame) -> DataFrame:
                 raw = raw.as_py()
                 starts, ends = parse(raw)
                 inner = np.arange(1, len(starts) - 1)
-                numbers.append(inner)
-                tids.append(np.full(len(inner), tid))
-                found.append(hashes(raw, starts[inner], ends[inner]))
+                _, _, places = inner_runs(raw, starts, ends)
+                numbers += [inner, -1 - np.arange(len(places))]
+                tids.append(np.full(len(inner) + len(places), tid))
+                found += [hashes(raw, starts[inner], ends[inner]), hashes(raw, places - SIDE, places + SIDE)]
             both = np.ascontiguousarray(np.concatenate(found).T)
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(np.concatenate(tids)), pa.array(np.concatenate(numbers).astype(np.int32))], names=["h1", "h2", "tid", "k"])
 
     phrases = texts.select("tid", "raw").mapInArrow(run, "h1 long, h2 long, tid long, k int")
     repeated = spool(phrases.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2"), "dictionary")
-    return phrases.join(repeated, ["h1", "h2"]).groupBy("tid").agg(F.collect_list("k").alias("live"))
+    live = spool(phrases.join(repeated, ["h1", "h2"]).groupBy("tid").agg(F.collect_list("k").alias("live")), "live")
+    discard(repeated)
+    return live
 
 
-def candidates(size: int, starts: np.ndarray, ends: np.ndarray, live: np.ndarray) -> np.ndarray:
-    """Whether the string at each start holds no phrase that occurs once; ``live`` numbers the others."""
+def candidates(size: int, starts: np.ndarray, ends: np.ndarray, live: np.ndarray, runs: tuple) -> np.ndarray:
+    """Whether the string at each start may repeat: it holds no phrase, and its run has no surroundings, that occur once.
+
+    ``live`` has the numbers of the others, ``runs`` the text's ``inner_runs``.
+    """
     dead = np.ones(len(starts), bool)
-    dead[live] = False
+    dead[live[live >= 0]] = False
     dead[[0, -1]] = False  # the text's edges are parts of phrases
     dead &= ends - starts <= LENGTH
+    lone = np.ones(len(runs[0]), bool)
+    lone[-1 - live[live < 0]] = False
     n = size - LENGTH + 1
     change = np.zeros(n + 1, np.int64)
-    low, high = np.maximum(ends[dead] - LENGTH, 0), np.minimum(starts[dead] + 1, n)
+    low, high = np.append(ends[dead] - LENGTH, runs[0][lone]), np.append(starts[dead], runs[1][lone]) + 1
+    low, high = np.maximum(low, 0), np.minimum(high, n)
     some = low < high
     np.add.at(change, low[some], 1)
     np.add.at(change, high[some], -1)
@@ -126,11 +139,10 @@ def _anchors(texts: DataFrame, live: DataFrame, every: bool = False) -> DataFram
             for tid, raw, known in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 raw = raw.as_py()
                 starts, ends = parse(raw)
+                runs = inner_runs(raw, starts, ends)
                 if every:
-                    known = np.arange(len(starts))
-                elif known is None:
-                    known = []
-                fits = candidates(len(raw), starts, ends, np.array(known, np.int64))
+                    known = np.arange(-len(runs[0]), len(starts))
+                fits = candidates(len(raw), starts, ends, np.array([] if known is None else known, np.int64), runs)
                 sums = np.concatenate([[0], np.cumsum(fits)])
                 cuts = np.minimum(np.concatenate([starts[:1], starts, [len(raw)]]), len(fits))
                 for k in np.flatnonzero(sums[cuts[2:]] > sums[cuts[:-2]]).tolist():
@@ -143,6 +155,7 @@ def _anchors(texts: DataFrame, live: DataFrame, every: bool = False) -> DataFram
                     out["before"].append(number(raw[starts[k - 1] : ends[k - 1]]) if k else None)
             yield to_batch(out, schema)
 
+    # a text without a repeated phrase or run has candidates only where neighbouring phrases are long
     return texts.select("tid", "raw").join(live, "tid", "left").select("tid", "raw", "live").mapInArrow(run, "tid long, k int, context binary, groups array<long>, before long")
 
 
@@ -197,66 +210,111 @@ def _parse_order(anchors: DataFrame) -> tuple[DataFrame, dict]:
 _FOUND = pa.schema([("tid", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("tail", pa.binary()), ("rank", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("ask", pa.bool_())])
 
 
-def settle(tid: int, raw: bytes, known: list[dict], edges: dict, out: dict, every: bool = False) -> None:
+class Found:
+    """Rows of ``_FOUND`` in the making: runs of starts that are sure, and starts that wait for the order of the corpus."""
+
+    def __init__(self):
+        self.runs: list[tuple[int, int, int]] = []
+        self.counts: list[int] = []
+        self.heads: list[tuple[int, int]] = []
+        self.starts: list[np.ndarray] = []
+        self.asks: list[np.ndarray] = []
+        self.tails: list[bytes] = []
+        self.strings: list[bytes] = []
+
+    def sure(self, tid: int, starts: np.ndarray) -> None:
+        """Adds the runs of neighbouring ``starts``, which rise."""
+        cuts = np.flatnonzero(starts[1:] > starts[:-1] + 1)
+        self.runs += zip([tid] * (len(cuts) + 1), starts[np.append(0, cuts + 1)].tolist(), starts[np.append(cuts, len(starts) - 1)].tolist(), strict=True)
+
+    def wait(self, tid: int, rank: int, starts: np.ndarray, asks: np.ndarray, tails: list[bytes], strings: list[bytes]) -> None:
+        self.counts.append(len(starts))
+        self.heads.append((tid, rank))
+        self.starts.append(starts)
+        self.asks.append(asks)
+        self.tails += tails
+        self.strings += strings
+
+    def __len__(self):
+        return len(self.runs) + len(self.tails)
+
+    def batch(self) -> pa.RecordBatch:
+        n, m = len(self.runs), len(self.tails)
+        runs = np.array(self.runs, np.int64).reshape(-1, 3).T
+        heads = np.repeat(np.array(self.heads, np.int64).reshape(-1, 2), self.counts, axis=0).T
+        starts = np.concatenate([np.zeros(0, np.int64), *self.starts])
+        digests = np.frombuffer(b"".join(self.strings), ">i8").reshape(-1, 2).astype(np.int64).T
+        after = lambda values, kind: pa.concat_arrays([pa.nulls(n, kind), pa.array(values, kind)])
+        columns = [
+            pa.array(np.append(runs[0], heads[0])), pa.array(np.append(runs[1], starts)), pa.array(np.append(runs[2], starts)), after(self.tails, pa.binary()),
+            after(heads[1], pa.int64()), after(digests[0], pa.int64()), after(digests[1], pa.int64()), after(np.concatenate([np.zeros(0, bool), *self.asks]), pa.bool_()),
+        ]
+        assert len(starts) == m
+        return pa.RecordBatch.from_arrays(columns, schema=_FOUND)
+
+
+def settle(tid: int, raw: bytes, known: list[dict], edges: dict, out: Found, every: bool = False) -> None:
     """Adds the runs of one text that are sure, and the starts that wait for the order of the corpus, to ``out``."""
-    starts, _ = parse(raw)
-    m, n = len(starts), len(raw)
+    starts, ends = parse(raw)
+    m, latest = len(starts), len(raw) - LENGTH
     rank, up, down, mixed = np.full(m, -1), np.zeros(m, np.int64), np.zeros(m, np.int64), np.full((m, len(BACK)), every)
+    firsts, lasts, _ = inner_runs(raw, starts, ends)
+    shown = np.full(len(firsts), every)
     for r in known:
-        if r["rank"] is None:
+        if r["k"] < 0:
+            shown[-1 - r["k"]] = True
+        elif r["rank"] is None:
             mixed[r["k"], BACK.index(r["up"])] = True
         else:
             extra = edges.get(r["rank"], (0, 0))
             rank[r["k"]], up[r["k"]], down[r["k"]] = r["rank"], max(r["up"], extra[0]), max(r["down"], extra[1])
     most = np.maximum(up, down)
-    next_ = np.concatenate([starts[1:], [n]])
-    latest = n - LENGTH
-
-    def add(first, last, tail=None, order=None, strings=(None, None), ask=None):
-        for name, value in zip(_FOUND.names, (tid, first, last, tail, order, *strings, ask), strict=True):
-            out[name].append(value)
-
-    for k in np.flatnonzero(rank >= 0).tolist():
-        start, after = int(starts[k]), int(next_[k])
-        sure = min(after - 1, start + int(most[k]) - LENGTH, latest)
-        if sure >= start and not every:
-            add(start, sure)
-        # strings that hold no trigger past their first byte lie inside the phrase
-        inside = min(after + TRIGGER - LENGTH, latest + 1) if k + 1 < m else latest + 1
-        if inside > start:
-            seen: dict[tuple, list] = {}
-            for i in range(start, inside):
-                if every or i > sure or int(up[k]) < i - start + LENGTH:
-                    seen.setdefault(digest(raw[i : i + LENGTH]), []).append(i)
-            again = []
-            for strings, where in seen.items():
-                if every:
-                    for i in where:
-                        add(i, i, raw[i : i + LENGTH], 0, strings, True)
-                    continue
-                asked = [i for i in where if i > sure]
-                if len(where) > 1:
-                    again += asked
-                add(where[0], where[0], raw[where[0] : where[0] + PREFIX], 0, strings, bool(asked) and len(where) == 1)
-            again = np.sort(np.array(again, np.int64))
-            for run in np.split(again, np.flatnonzero(again[1:] > again[:-1] + 1) + 1):
-                if len(run):
-                    add(int(run[0]), int(run[-1]))
-        if not k:
+    next_ = np.append(starts[1:], len(raw))
+    # the last start of each phrase that its like in another place settles, and the last that a row before it in order shows
+    done = np.where(rank >= 0, np.minimum(np.minimum(next_ - 1, starts + most - LENGTH), latest), -1)
+    shows = starts + up - LENGTH
+    digest = xxhash.xxh3_128_digest
+    for k in np.flatnonzero(done >= starts).tolist():
+        if not every:
+            out.runs.append((tid, int(starts[k]), int(done[k])))
+
+    # strings that hold no trigger past their first byte lie inside a phrase
+    owner = np.searchsorted(starts, firsts, "right") - 1
+    for k in np.unique(owner[shown]).tolist():
+        if rank[k] < 0:
+            continue
+        own = np.concatenate([np.arange(firsts[r], lasts[r] + 1) for r in np.flatnonzero(shown & (owner == k))])
+        if not every:
+            own = own[(own > done[k]) | (own > shows[k])]
+        if not len(own):
+            continue
+        strings = [digest(raw[i : i + LENGTH]) for i in own.tolist()]
+        asked = own > done[k]
+        if every:
+            out.wait(tid, 0, own, asked, [raw[i : i + LENGTH] for i in own.tolist()], strings)
             continue
-        # strings whose next trigger is this phrase's start
-        j, low = k - 1, max(int(starts[k - 1]), start + TRIGGER - LENGTH, 0)
-        high = min(start - 1, latest)
-        begin = int(starts[j])
-        done = begin + int(most[j]) - LENGTH if rank[j] >= 0 else -1
-        # starts by distance from the anchor: the further back, the more bytes before it must occur elsewhere too
-        bounds = [start - back for back in BACK] + [start - (LENGTH - GROUP), low]
-        wanted = [range(max(low, near + 1), min(high, far) + 1) for far, near, some in zip(bounds, bounds[1:], [*mixed[k]], strict=False) if some]
-        wanted.append(range(low, min(high, start - (LENGTH - GROUP)) + 1))
-        for i in (i for part in wanted for i in part):
-            ask = i > done
-            if every or (i <= start + int(most[k]) - LENGTH if ask else int(up[j]) < i - begin + LENGTH):
-                add(i, i, raw[i : start + TRIGGER], int(rank[k]), digest(raw[i : i + LENGTH]), ask)
+        _, first, inverse, count = np.unique(np.array(strings, "V16"), return_index=True, return_inverse=True, return_counts=True)
+        again = own[asked & (count[inverse] > 1)]
+        if len(again):
+            out.sure(tid, again)
+        first.sort()
+        out.wait(tid, 0, own[first], (asked & (count[inverse] == 1))[first], [raw[i : i + PREFIX] for i in own[first].tolist()], [strings[i] for i in first.tolist()])
+
+    # strings whose next trigger starts a phrase: by distance from it, the further back, the more bytes before it must occur elsewhere too
+    for k in np.flatnonzero(rank[1:] >= 0) + 1:
+        anchor, j = int(starts[k]), k - 1
+        low, high = max(int(starts[j]), anchor + TRIGGER - LENGTH, 0), min(anchor - 1, latest)
+        bounds = [anchor - back for back in BACK] + [anchor - (LENGTH - GROUP)]
+        bands = [(max(low, near + 1), min(high, far)) for far, near, some in zip(bounds[:-1], bounds[1:], mixed[k], strict=True) if some]
+        bands.append((low, min(high, bounds[-1])))
+        own = np.concatenate([np.arange(a, b + 1) for a, b in bands])
+        ask = own > done[j]
+        if not every:
+            stay = np.where(ask, own <= anchor + most[k] - LENGTH, own > shows[j])
+            own, ask = own[stay], ask[stay]
+        if len(own):
+            places = own.tolist()
+            out.wait(tid, int(rank[k]), own, ask, [raw[i : anchor + TRIGGER] for i in places], [digest(raw[i : i + LENGTH]) for i in places])
 
 
 def _settled(texts: DataFrame, every: bool = False) -> DataFrame:
@@ -270,22 +328,23 @@ def _settled(texts: DataFrame, every: bool = False) -> DataFrame:
     ordered, edges = _parse_order(anchors)
     discard(anchors)
     none = F.lit(None)
-    info = ordered.select("tid", "k", "rank", "up", "down").union(mixed.select("tid", "k", none.cast("long"), "back", none.cast("int")))
+    runs = live.select("tid", F.explode(F.filter("live", lambda k: k < 0)).alias("k"), none.cast("long"), none.cast("int"), none.cast("int"))
+    info = ordered.select("tid", "k", "rank", "up", "down").union(mixed.select("tid", "k", none.cast("long"), "back", none.cast("int"))).union(runs)
     lists = info.groupBy("tid").agg(F.collect_list(F.struct("k", "rank", "up", "down")).alias("known"))
 
     def run(batches):
         for batch in slices(batches, 1 << 20):
-            out = {name: [] for name in _FOUND.names}
+            out = Found()
             for tid, raw, known in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 settle(tid, raw.as_py(), known, edges, out, every)
-                if len(out["tid"]) > 1 << 15:
-                    yield to_batch(out, _FOUND)
-                    out = {name: [] for name in _FOUND.names}
-            yield to_batch(out, _FOUND)
+                if len(out) > 1 << 15:
+                    yield out.batch()
+                    out = Found()
+            yield out.batch()
 
     rows = texts.select("tid", "raw").join(lists, "tid").select("tid", "raw", "known")
     found = spool(rows.mapInArrow(run, "tid long, first long, last long, tail binary, rank long, s1 long, s2 long, ask boolean"), "settled")
-    discard(ordered, mixed, groups)
+    discard(ordered, mixed, groups, live)
     return found
 
 
