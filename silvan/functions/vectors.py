@@ -123,3 +123,15 @@ def hsv_to_rgb(h: Column, s: Column, v: Column) -> list[Column]:
             chosen = F.when(k == n, pick[channel]).otherwise(chosen)
         out.append(F.floor(chosen * 256).cast("int"))
     return out
+
+
+def trajectory_channels(trj: Column, frame: Column, points: int = 15) -> dict[str, Column]:
+    """x, y, v_x, v_y and t of interleaved positions that end at ``frame``; all but t leave out the first point."""
+    later = F.sequence(F.lit(1), F.lit(points - 1))
+    return {
+        "x": F.transform(later, lambda i: F.get(trj, 2 * i)),
+        "y": F.transform(later, lambda i: F.get(trj, 2 * i + 1)),
+        "v_x": F.transform(later, lambda i: F.get(trj, 2 * i) - F.get(trj, 2 * i - 2)),
+        "v_y": F.transform(later, lambda i: F.get(trj, 2 * i + 1) - F.get(trj, 2 * i - 1)),
+        "t": F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: (frame - F.lit(points - 1) + i).cast("double")),
+    }

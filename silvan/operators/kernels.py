@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
+
 
 def pairs(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
     """Pairs i <= j of (video_id, v) rows, or all pairs with a second table; the kernel's own size."""
@@ -27,23 +31,63 @@ def edge_counts(edges: DataFrame) -> DataFrame:
     return edges.select("video_id", "node_id").distinct().groupBy("video_id").agg(F.count("*").alias("e"))
 
 
-def sparse_intersection(edges: DataFrame) -> DataFrame:
-    """(i, j, k), i <= j: mean over edge pairs of sum min(x, y), joined on the shared words only.
+#: Videos of one side of a block of pairs, about.
+VIDEO_BLOCK = 64
+
+
+def sparse_intersection(edges: DataFrame, block: int = VIDEO_BLOCK) -> DataFrame:
+    """(i, j, k), i <= j: mean over edge pairs of sum min(x, y), on the shared words only.
 
     For a word, the sum over all edge pairs of min(x, y) needs only the values,
-    so edges of one video with equal value are counted together first.
+    so edges of one video with equal value are counted together first. Videos
+    are dealt to blocks by hash; a task takes a pair of blocks and finds all
+    sums of a word from sorted values and prefix sums, without their pairs.
     """
+    edges = stored(edges)  # read three times below
     values = edges.groupBy("video_id", "word_id", "x").agg(F.count("*").alias("m"))
-    a = values.select(F.col("video_id").alias("i"), "word_id", F.col("x").alias("xa"), F.col("m").alias("ma"))
-    b = values.select(F.col("video_id").alias("j"), "word_id", F.col("x").alias("xb"), F.col("m").alias("mb"))
-    met = a.join(b, "word_id").filter("i <= j").groupBy("i", "j").agg(F.sum(F.least("xa", "xb") * F.col("ma") * F.col("mb")).alias("s"))
-    n = edge_counts(edges)
-    every = n.select(F.col("video_id").alias("i"), F.col("e").alias("ei")).join(n.select(F.col("video_id").alias("j"), F.col("e").alias("ej")), F.col("i") <= F.col("j"))
-    return every.join(met, ["i", "j"], "left").select("i", "j", (F.coalesce("s", F.lit(0.0)) / (F.col("ei") * F.col("ej"))).alias("k"))
+    nodes = edges.groupBy("video_id", "node_id").agg(F.lit(1).alias("one")).groupBy("video_id").agg(F.count("*").alias("e"))
+    videos = edges.agg(F.approx_count_distinct("video_id").alias("n")).head()["n"]
+    blocks = max(4, -(-videos // block))
+    rows = values.join(nodes, "video_id").withColumn("own", F.pmod(F.xxhash64("video_id"), F.lit(blocks)).cast("int"))
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = met.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other")
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        low, high = key[0].as_py(), key[1].as_py()
+        video, word, x, m, e, own = (table[c].to_numpy() for c in ("video_id", "word_id", "x", "m", "e", "own"))
+        left, right = np.unique(video[own == low]), np.unique(video[own == high])
+        sizes = dict(zip(video.tolist(), e.tolist(), strict=True))
+        total = np.zeros((len(left), len(right)))
+        order = np.lexsort((x, video, word))
+        video, word, x, m, own = video[order], word[order], x[order], m[order], own[order]
+        cuts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1], [True]]))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            part = own[a:b] == low
+            at, xs, ms = np.searchsorted(left, video[a:b][part]), x[a:b][part], m[a:b][part]
+            other = np.flatnonzero(own[a:b] == high) + a
+            if not len(at) or not len(other):
+                continue
+            ends = np.flatnonzero(np.concatenate([[True], video[other][1:] != video[other][:-1], [True]]))
+            for s, t in zip(ends[:-1], ends[1:], strict=True):
+                mine = other[s:t]
+                below = np.concatenate([[0], np.cumsum(x[mine] * m[mine])])
+                count = np.concatenate([[0], np.cumsum(m[mine])])
+                k = np.searchsorted(x[mine], xs)
+                least = below[k] + xs * (count[-1] - count[k])
+                total[:, np.searchsorted(right, video[mine[0]])] += np.bincount(at, least * ms, len(left))
+        i, j = np.meshgrid(left, right, indexing="ij")
+        stay = i <= j if low == high else np.ones(i.shape, bool)
+        k = total / np.outer([sizes[v] for v in left.tolist()], [sizes[v] for v in right.tolist()]) if total.size else total
+        i, j, k = i[stay], j[stay], k[stay]
+        return pa.table({"i": np.minimum(i, j), "j": np.maximum(i, j), "k": k})
+
+    kind = edges.schema["video_id"].dataType.simpleString()
+    return dealt.select("low", "high", "video_id", "word_id", "x", "m", "e", "own").groupBy("low", "high").applyInArrow(run, f"i {kind}, j {kind}, k double")
 
 
 def factored_linear(edges: DataFrame) -> DataFrame:
     """(i, j, k), i <= j: the mean over edge pairs of dot products is the dot product of the mean edges."""
+    edges = stored(edges)  # read twice below
     n = edge_counts(edges)
     mean = edges.groupBy("video_id", "word_id").agg(F.sum("x").alias("s")).join(n, "video_id").select("video_id", "word_id", (F.col("s") / F.col("e")).alias("x"))
     a = mean.select(F.col("video_id").alias("i"), "word_id", F.col("x").alias("xa"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.store import dropped, stored
+from .nearest import PART, nearest_lists
+
 
 def digest(seed: str, *parts: Column | str) -> Column:
     """A reproducible sort key in place of a random draw."""
@@ -57,27 +61,29 @@ def grid_sample(rows: DataFrame, group: str, key: str, rate: float, cells: int,
     return counted.withColumn("in_sample", chosen).drop("_n", "_k")
 
 
-def band_pairs(rows: DataFrame, group: str, key: str, radius: int) -> DataFrame:
-    """Pairs of different rows of a group with frames at most ``radius`` apart.
+#: Frames of one block of the band search.
+BAND_BLOCK = 16
+
+
+def band_neighbours(rows: DataFrame, group: str, key: str, radius: int = 5, k: int = 30, part: int = PART) -> DataFrame:
+    """(group, key, near): the k nearest rows in (x, y) among those of the group at most ``radius`` frames apart.
 
-    Frames are bucketed by radius + 1 and each row looks into three buckets, so
-    the band is an equi-join with a residual filter and can be split by skew.
+    ``near`` has (d, other) structs, squared distances with ties by key. Blocks
+    are runs of ``BAND_BLOCK`` frames with the frames around them, so that a row
+    goes to two blocks at most where the radius is no larger than a block.
     """
-    width = radius + 1
-    right = rows.select(*[F.col(c).alias(f"r_{c}") for c in rows.columns]).withColumn("bucket", F.floor(F.col("r_frame") / width))
-    left = rows.withColumn("bucket", F.explode(F.array(*[F.floor(F.col("frame") / width) + d for d in (-1, 0, 1)])))
-    same = (F.col(group) == F.col(f"r_{group}")) & (left.bucket == right.bucket)
-    near = (F.abs(F.col("frame") - F.col("r_frame")) <= radius) & (F.col(key) != F.col(f"r_{key}"))
-    return left.join(right, same & near).drop("bucket")
+    p = F.array(F.col("frame").cast("double"), F.col("x").cast("double"), F.col("y").cast("double")).alias("p")
+    block = lambda c: F.floor(c / F.lit(BAND_BLOCK)).alias("_block")
+    queries = rows.select(group, key, block(F.col("frame")), p)
+    around = F.explode(F.sequence(F.floor((F.col("frame") - radius) / F.lit(BAND_BLOCK)), F.floor((F.col("frame") + radius) / F.lit(BAND_BLOCK)))).alias("_block")
+    candidates = rows.select(group, key, around, p)
 
+    def distances(a, b):
+        d = (a[:, None, 1] - b[None, :, 1]) ** 2 + (a[:, None, 2] - b[None, :, 2]) ** 2
+        d[np.abs(a[:, None, 0] - b[None, :, 0]) > radius] = np.inf
+        return d
 
-def band_neighbours(rows: DataFrame, group: str, key: str, radius: int = 5, k: int = 30) -> DataFrame:
-    """The k nearest rows in (x, y) within the frame band: (group, key, r_key, distance)."""
-    pairs = band_pairs(rows.select(group, key, "frame", "x", "y"), group, key, radius)
-    far = F.pow(F.col("x") - F.col("r_x"), 2) + F.pow(F.col("y") - F.col("r_y"), 2)
-    order = Window.partitionBy(key).orderBy("far", f"r_{key}")
-    ranked = pairs.withColumn("far", far).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select(group, key, f"r_{key}", F.sqrt("far").alias("distance"))
+    return nearest_lists(queries, candidates, [group, "_block"], key, k, distances, part).drop("_block")
 
 
 def density_inliers(rows: DataFrame, group: str, key: str, radius: int = 5, k: int = 30) -> DataFrame:
@@ -85,22 +91,32 @@ def density_inliers(rows: DataFrame, group: str, key: str, radius: int = 5, k: i
 
     Rows alone in their band have no distance and are dropped.
     """
-    near = band_neighbours(rows, group, key, radius, k)
-    sums = near.groupBy(group, key).agg(F.sum("distance").alias("s"), F.sum(F.col("distance") * F.col("distance")).alias("q"), F.count("*").alias("n"))
+    near = F.transform("near", lambda x: F.sqrt(x["d"]))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    sums = band_neighbours(rows, group, key, radius, k).select(
+        group, key, total(near).alias("s"), total(F.transform("near", lambda x: x["d"])).alias("q"), F.size("near").alias("n")
+    )
     whole = sums.groupBy(group).agg((F.sum("s") / F.sum("n")).alias("mu"), (F.sum("q") / F.sum("n")).alias("q2"))
     limit = F.col("mu") + F.sqrt(F.col("q2") - F.col("mu") * F.col("mu"))
-    return sums.join(F.broadcast(whole), group).withColumn("sparsity", F.col("s") / F.col("n")).filter(F.col("sparsity") <= limit).select(group, key, "sparsity")
+    # one row a group: adaptive execution sends it to all tasks if it is small
+    return sums.join(whole, group).withColumn("sparsity", F.col("s") / F.col("n")).filter(F.col("sparsity") <= limit).select(group, key, "sparsity")
 
 
-def knn_edges(rows: DataFrame, group: str, key: str, distance: Column, k: int) -> DataFrame:
-    """Exact k nearest rows within a group, made symmetric: distinct (group, src, dst)."""
-    left = rows.select(*[F.col(c).alias(f"a_{c}") for c in rows.columns])
-    right = rows.select(*[F.col(c).alias(f"b_{c}") for c in rows.columns])
-    pairs = left.join(right, (F.col(f"a_{group}") == F.col(f"b_{group}")) & (F.col(f"a_{key}") != F.col(f"b_{key}")))
-    order = Window.partitionBy(f"a_{key}").orderBy("d", f"b_{key}")
-    near = pairs.withColumn("d", distance).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    edges = near.select(F.col(f"a_{group}").alias(group), F.col(f"a_{key}").alias("src"), F.col(f"b_{key}").alias("dst"))
-    return symmetric(edges, group)
+def knn_edges(rows: DataFrame, group: str, key: str, vector: str, k: int, part: int = PART) -> DataFrame:
+    """Exact k nearest rows within a group by squared distance of ``vector``, made symmetric: distinct (group, src, dst).
+
+    Distances are compared to twelve digits, ties go to the lower key.
+    """
+    points = rows.select(group, key, F.col(vector).cast("array<double>").alias("p"))
+
+    def distances(a, b):
+        d = np.zeros((len(a), len(b)))
+        for x, y in zip(a.T, b.T, strict=True):
+            d += (x[:, None] - y[None, :]) ** 2
+        return np.round(d, 12)
+
+    near = nearest_lists(points, points, [group], key, k, distances, part)
+    return symmetric(near.select(group, F.col(key).alias("src"), F.explode("near.other").alias("dst")), group)
 
 
 def symmetric(edges: DataFrame, *group: str) -> DataFrame:
@@ -164,19 +180,18 @@ def merge_tagged(**frames: DataFrame) -> DataFrame:
     return out
 
 
-def connected_components(edges: DataFrame, checkpoint) -> DataFrame:
-    """(node, component): the least node that can be reached, by repeated least-neighbour steps and jumps.
-
-    ``checkpoint`` writes a table to reliable storage and rereads it.
-    """
-    both = checkpoint(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    labels = checkpoint(both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("component")))
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, component): the least node that can be reached, by repeated least-neighbour steps and jumps."""
+    both = stored(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
+    labels = stored(both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("component")))
     while True:
         near = both.join(labels, both.dst == labels.node).groupBy("src").agg(F.min("component").alias("near"))
         met = labels.join(near, labels.node == near.src).select("node", F.least("component", "near").alias("component"))
         far = met.select(F.col("node").alias("j"), F.col("component").alias("jump"))
-        new = checkpoint(met.join(far, met.component == far.j).select("node", F.least("component", "jump").alias("component")))
+        new = stored(met.join(far, met.component == far.j).select("node", F.least("component", "jump").alias("component")))
         changed = new.join(labels.withColumnRenamed("component", "old"), "node").filter("component <> old").limit(1).count()
+        dropped(labels)
         labels = new
         if not changed:
+            dropped(both)
             return labels

@@ -83,9 +83,48 @@ def component_count(links: list[np.ndarray], members: np.ndarray) -> int:
     return count
 
 
-def spectral_tree(embedding: np.ndarray, geometry: np.ndarray, min_leaf: int = 100, max_leaf: int = 2000, max_depth: int = 62, k_range: tuple[int, int] = (10, 100)) -> np.ndarray:
+def candidate_thresholds(x: np.ndarray, n: int = 10, min_gap: float = 0.01) -> list[float]:
+    """Order statistics at even steps from the tenth to the ninetieth percent; the first, and those well above the last kept."""
+    out: list[float] = []
+    for t in np.sort(x)[np.floor(np.linspace(0.1, 0.9, n) * (len(x) - 1)).astype(int)]:
+        if not out or t - out[-1] > min_gap:
+            out.append(float(t))
+    return out
+
+
+def two_means(x: np.ndarray, starts: int = 5, rounds: int = 100, seed: int = 0) -> np.ndarray | None:
+    """0 or 1 for each row by the best of several two-means runs; None where all rows are alike."""
+    if np.allclose(x, x[0]):
+        return None
+    rng, best = np.random.default_rng(seed), None
+    for _ in range(starts):
+        first = x[rng.integers(len(x))]
+        far = ((x - first) ** 2).sum(axis=1)
+        centres = np.stack([first, x[rng.choice(len(x), p=far / far.sum())]]) if far.sum() > 0 else None
+        if centres is None:
+            continue
+        labels = None
+        for _ in range(rounds):
+            d = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2)
+            new = d.argmin(axis=1)
+            if labels is not None and (new == labels).all() or len(np.unique(new)) < 2:
+                break
+            labels = new
+            centres = np.stack([x[labels == k].mean(axis=0) for k in (0, 1)])
+        if labels is not None:
+            cost = float(((x - centres[labels]) ** 2).sum())
+            if best is None or cost < best[0]:
+                best = (cost, labels)
+    return None if best is None else best[1]
+
+
+def spectral_tree(embedding: np.ndarray, geometry: np.ndarray, min_leaf: int = 100, max_leaf: int = 2000, max_depth: int = 62, k_range: tuple[int, int] = (10, 100), method: str = "threshold") -> np.ndarray:
     """Heap-coded leaf of each point by best-first division of the embedding.
 
+    With ``method`` kmeans a cluster is split by two-means on all columns; sides
+    below ``min_leaf`` points are peeled off as outliers (leaf 0) until both are
+    large enough, at most ``min_leaf`` points unless the split is forced.
+
     A cluster scores sqrt(1 / components) in the geometry graph. It is split at a
     threshold on one embedding column if both sides keep ``min_leaf`` points and
     the worse child beats it; the first cluster and those above ``max_leaf`` are
@@ -109,9 +148,8 @@ def spectral_tree(embedding: np.ndarray, geometry: np.ndarray, min_leaf: int = 1
         best = None
         for column in range(scaled.shape[1]):
             x = scaled[members, column]
-            order = np.sort(x)
-            for t in order[np.floor(np.linspace(0.1, 0.9, 10) * (len(x) - 1)).astype(int)]:
-                left, right = members[x <= t], members[x > t]
+            for t in candidate_thresholds(x):
+                left, right = members[x < t], members[x >= t]
                 if min(len(left), len(right)) >= min_leaf:
                     found = min(score(left), score(right))
                     if (best is None and forced) or found > (own if best is None else best[0]):
@@ -123,13 +161,35 @@ def spectral_tree(embedding: np.ndarray, geometry: np.ndarray, min_leaf: int = 1
             best = (0.0, order[: len(order) // 2], order[len(order) // 2 :])
         return best
 
+    peeled: list[np.ndarray] = []
+
+    def split_means(members, own, forced):
+        lost = 0
+        while forced or lost < min_leaf:
+            labels = two_means(scaled[members]) if len(members) > 1 else None
+            if labels is None:
+                return None
+            left, right = members[labels == 0], members[labels == 1]
+            if min(len(left), len(right)) >= min_leaf:
+                found = min(score(left), score(right))
+                return (found, left, right) if forced or found > own else None
+            if max(len(left), len(right)) < min_leaf:
+                return None
+            small, members = (left, right) if len(left) < min_leaf else (right, left)
+            peeled.append(small)
+            lost += len(small)
+        return None
+
+    if method not in ("threshold", "kmeans"):
+        raise ValueError(f"unknown method {method!r}")
+    divide = split if method == "threshold" else split_means
     queue, leaves, serial = [(0.0, -n, 0, "1", everyone)], [], 1
     while queue:
         own, _, _, name, members = heapq.heappop(queue)
         clusters = len(queue) + len(leaves) + 1
         found = None
         if clusters < 2 or not (len(members) <= 2 * min_leaf or len(name) > max_depth):
-            found = split(members, own, clusters < 2 or len(members) > max_leaf)
+            found = divide(members, own, clusters < 2 or len(members) > max_leaf)
         if found is None:
             leaves.append((name, members))
             continue
@@ -139,6 +199,8 @@ def spectral_tree(embedding: np.ndarray, geometry: np.ndarray, min_leaf: int = 1
     out = np.zeros(n, np.int64)
     for name, members in leaves:
         out[members] = int(name, 2)
+    for members in peeled:
+        out[members] = 0
     return out
 
 
@@ -226,6 +288,13 @@ def balanced_accuracy(y: np.ndarray, predicted: np.ndarray) -> float:
     return float(np.mean(rates)) if rates else float("nan")
 
 
+def shares(parts: np.ndarray, weights: np.ndarray, mu: np.ndarray, var: np.ndarray) -> np.ndarray:
+    """Posterior shares of the components of a diagonal mixture for each point."""
+    log = np.log(weights) - 0.5 * (np.log(var).sum(axis=1) + (((parts[:, None, :] - mu[None]) ** 2) / var[None]).sum(axis=2))
+    p = np.exp(log - log.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
 def diagonal_em(parts: np.ndarray, weights: np.ndarray, mu: np.ndarray, var: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Sums (q, q x, q x^2) and log-likelihood of points under a diagonal mixture."""
     log = np.log(weights) - 0.5 * (np.log(2 * np.pi * var).sum(axis=1) + (((parts[:, None, :] - mu[None]) ** 2) / var[None]).sum(axis=2))

@@ -55,19 +55,29 @@ def dense_histogram(counts: DataFrame, words: int) -> DataFrame:
     return grid.join(counts, ["video_id", "word_id"], "left").na.fill(0, ["n"])
 
 
-def edges(nodes: DataFrame) -> DataFrame:
-    """(video_id, node_id, word_id, x): child and parent histograms side by side, L1-normalised together.
+def edges(nodes: DataFrame, norm: str = "l1", power: bool = False) -> DataFrame:
+    """(video_id, node_id, word_id, x): child and parent histograms side by side, normalised together.
 
     ``nodes`` has (video_id, node_id, word_id, n). Parent words come as -1 - word,
-    so that the edge vector stays sparse. Root and outliers (ids to 1) have no edge.
+    so that the edge vector stays sparse. ``power`` takes signed square roots
+    first, ``norm`` is l1 or l2. Root and outliers (ids to 1) have no edge.
     """
-    child = nodes.filter("node_id > 1").select("video_id", "node_id", "word_id", "n")
+    value = V.signed_sqrt(F.col("n").cast("double")) if power else F.col("n").cast("double")
+    valued = nodes.select("video_id", "node_id", "word_id", value.alias("n"))
+    child = valued.filter("node_id > 1")
     ids = child.select("video_id", "node_id").distinct().withColumn("parent", V.parent(F.col("node_id")))
-    above = nodes.select(F.col("video_id").alias("v"), F.col("node_id").alias("p"), (-1 - F.col("word_id")).alias("word_id"), "n")
+    above = valued.select(F.col("video_id").alias("v"), F.col("node_id").alias("p"), (-1 - F.col("word_id")).alias("word_id"), "n")
     up = ids.join(above, (F.col("video_id") == F.col("v")) & (F.col("parent") == F.col("p"))).select("video_id", "node_id", "word_id", "n")
     both = child.union(up)
-    size = both.groupBy("video_id", "node_id").agg(F.sum("n").alias("size"))
-    return both.join(size, ["video_id", "node_id"]).select("video_id", "node_id", "word_id", (F.col("n") / F.col("size")).alias("x"))
+    size = F.sum(F.abs("n")) if norm == "l1" else F.sqrt(F.sum(F.col("n") * F.col("n")))
+    sizes = both.groupBy("video_id", "node_id").agg(size.alias("size"))
+    return both.join(sizes, ["video_id", "node_id"]).select("video_id", "node_id", "word_id", (F.col("n") / F.col("size")).alias("x"))
+
+
+def root_vectors(rows: DataFrame) -> DataFrame:
+    """(video_id, v): the mean descriptor of each whole bag, from sums that are merged before the shuffle."""
+    means = rows.select("video_id", F.posexplode("v").alias("dim", "x")).groupBy("video_id", "dim").agg(F.avg("x").alias("x"))
+    return means.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("dim", "x")))["x"].alias("v"))
 
 
 def mean_vectors(rows: DataFrame) -> DataFrame:

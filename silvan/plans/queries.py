@@ -60,8 +60,8 @@ def _edges(spark, sf):
     return T.edges(T.bovw_tree(_assigned(spark, sf)))
 
 
-def _firsts(spark, sf):
-    return S.descriptors(spark, sf).filter("t = 1").select("video_id", "v")
+def _roots(spark, sf):
+    return T.root_vectors(S.descriptors(spark, sf))
 
 
 # --- vector functions -------------------------------------------------------------------------
@@ -111,6 +111,18 @@ def hsv_to_rgb(spark, sf):
     return S.table(spark, sf, "events").select("event_id", r.alias("r"), g.alias("g"), b.alias("b"))
 
 
+@query(f"""WITH {BAGS}, p AS (SELECT vec_id, dim // 2 AS i, dim % 2 AS odd, x FROM c WHERE dim < 30), m AS (
+SELECT vec_id, CASE odd WHEN 0 THEN 'x' ELSE 'y' END AS channel, i - 1 AS place, x FROM p WHERE i > 0
+UNION ALL SELECT b.vec_id, CASE b.odd WHEN 0 THEN 'v_x' ELSE 'v_y' END, b.i - 1, b.x - a.x FROM p a JOIN p b ON a.vec_id = b.vec_id AND a.odd = b.odd AND b.i = a.i + 1
+UNION ALL SELECT vec_id, 't', i, CAST(t - 14 + i AS DOUBLE) FROM (SELECT vec_id, t, unnest(range(15)) AS i FROM d))
+SELECT vec_id, channel, CAST(place AS INTEGER) AS place, round(x, 6) + 0.0 AS x FROM m""")
+def trajectory_channels(spark, sf):
+    channels = V.trajectory_channels(F.slice("v", 1, 30), F.col("t"))
+    parts = F.array(*[F.struct(F.lit(name).alias("channel"), values.alias("v")) for name, values in channels.items()])
+    rows = S.descriptors(spark, sf).select("vec_id", F.explode(parts).alias("c")).select("vec_id", "c.channel", F.posexplode("c.v").alias("place", "x"))
+    return rows.select("vec_id", "channel", "place", _r(F.col("x")).alias("x"))
+
+
 # --- relations ---------------------------------------------------------------------------------
 
 
@@ -199,7 +211,7 @@ g AS (SELECT * FROM k UNION SELECT video_id, dst, src FROM k)"""
 
 def _knn(spark, sf):
     rows = S.descriptors(spark, sf).select("video_id", "vec_id", "v")
-    return R.knn_edges(rows, "video_id", "vec_id", F.round(V.squared_distance(F.col("a_v"), F.col("b_v")), 12), 2)
+    return R.knn_edges(rows, "video_id", "vec_id", "v", 2)
 
 
 @query(f"WITH {BAGS}, {KNN} SELECT video_id, src, dst FROM g")
@@ -209,7 +221,7 @@ def knn_graph(spark, sf):
 
 @query(f"WITH RECURSIVE {BAGS}, {KNN}, z(node, seen) AS (SELECT src, src FROM g UNION SELECT g.dst, z.seen FROM z JOIN g ON g.src = z.node) SELECT node, min(seen) AS component FROM z GROUP BY 1")
 def connected_components(spark, sf):
-    return R.connected_components(_knn(spark, sf), stored)
+    return R.connected_components(_knn(spark, sf))
 
 
 @query("SELECT l_partkey AS src, l_suppkey AS dst FROM lineitem UNION SELECT l_suppkey, l_partkey FROM lineitem")
@@ -287,10 +299,10 @@ def tube_density(spark, sf):
     return g.groupBy("video_id", "leaf").agg(F.count("*").alias("links"), F.count(F.when(F.col("leaf") == F.col("to"), 1)).alias("inside"))
 
 
-@query(f"WITH {BAGS} SELECT vec_id, dim, round((x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w), 6) + 0.0 AS scaled, round(x - avg(x) OVER w, 6) + 0.0 AS centred FROM c WHERE video_id < 10 WINDOW w AS (PARTITION BY video_id, dim)")
+@query(f"WITH {BAGS} SELECT vec_id, dim, round((x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w), 6) + 0.0 AS scaled, round(x - avg(x) OVER w, 6) + 0.0 AS centred FROM c WINDOW w AS (PARTITION BY video_id, dim)")
 def rescale_and_centre(spark, sf):
     w = Window.partitionBy("video_id", "dim")
-    rows = S.descriptors(spark, sf).filter("video_id < 10").select("video_id", "vec_id", F.posexplode("v").alias("dim", "x"))
+    rows = S.descriptors(spark, sf).select("video_id", "vec_id", F.posexplode("v").alias("dim", "x"))
     low, high = F.min("x").over(w), F.max("x").over(w)
     return rows.select("vec_id", "dim", _r((F.col("x") - low) / (high - low)).alias("scaled"), _r(F.col("x") - F.avg("x").over(w)).alias("centred"))
 
@@ -298,12 +310,17 @@ def rescale_and_centre(spark, sf):
 # --- datasets and reports ------------------------------------------------------------------------
 
 
-@query()
+TRAINING = ", ".join(f"('{c}', {n})" for c, ns in S.INTERACTION_TRAINING.items() for n in ns)
+SPORTS = " ".join(f"WHEN video_id < {high} THEN '{name}'" for name, _, high in S.sports_ranges())
+
+
+@query(f"""WITH k(class, number) AS (VALUES {TRAINING}), n AS (SELECT class, CAST(unnest(range(1, CASE WHEN class = 'negative' THEN 101 ELSE 51 END)) AS INTEGER) AS number FROM (SELECT DISTINCT class FROM k))
+SELECT class, number, class || '_' || lpad(CAST(number AS VARCHAR), 4, '0') AS name, NOT EXISTS (SELECT 1 FROM k WHERE k.class = n.class AND k.number = n.number) AS is_test FROM n""")
 def interaction_split(spark, sf):
     return S.dataset("interactions")(spark)
 
 
-@query()
+@query(f"SELECT CAST(video_id AS BIGINT) AS video_id, CASE {SPORTS} END AS class, video_id + 1 IN ({', '.join(map(str, S.SPORTS_TEST))}) AS is_test FROM range(150) AS r(video_id)")
 def sports_split(spark, sf):
     return S.dataset("sports")(spark)
 
@@ -379,37 +396,49 @@ def node_means(spark, sf):
     return T.mean_vectors(S.descriptors(spark, sf)).withColumn("x", _r(F.col("x")))
 
 
+POWER = """b AS (SELECT video_id, node_id, word_id, n FROM n WHERE node_id > 1
+  UNION ALL SELECT k.video_id, k.node_id, -1 - p.word_id, p.n FROM (SELECT DISTINCT video_id, node_id FROM n WHERE node_id > 1) k
+  JOIN n p ON p.video_id = k.video_id AND p.node_id = k.node_id // 2)"""
+
+
+@query(f"WITH {BAGS}, {WORDS}, {NODES}, {POWER} SELECT video_id, node_id, word_id, round(sqrt(n) / sqrt(sum(n) OVER (PARTITION BY video_id, node_id)), 6) AS x FROM b")
+def power_l2_edges(spark, sf):
+    """Edge vectors after signed square roots, of unit length."""
+    return T.edges(T.bovw_tree(_assigned(spark, sf)), "l2", True).withColumn("x", F.round("x", 6))
+
+
 # --- kernels -------------------------------------------------------------------------------------
 
-MET = "FROM c a JOIN c b ON a.dim = b.dim AND a.t = 1 AND b.t = 1 AND a.video_id <= b.video_id GROUP BY ALL"
+ROOTS = "o AS (SELECT video_id, dim, avg(x) AS x FROM c GROUP BY ALL)"
+MET = "FROM o a JOIN o b ON a.dim = b.dim AND a.video_id <= b.video_id GROUP BY ALL"
 
 
-@query(f"WITH {BAGS} SELECT a.video_id AS i, b.video_id AS j, round(sum(a.x * b.x), 6) + 0.0 AS k {MET}")
+@query(f"WITH {BAGS}, {ROOTS} SELECT a.video_id AS i, b.video_id AS j, round(sum(a.x * b.x), 6) + 0.0 AS k {MET}")
 def kernel_linear(spark, sf):
-    return K.kernel(_firsts(spark, sf), V.dot).withColumn("k", _r(F.col("k")))
+    return K.kernel(_roots(spark, sf), V.dot).withColumn("k", _r(F.col("k")))
 
 
-@query(f"WITH {BAGS} SELECT a.video_id AS i, b.video_id AS j, round(sum(least(abs(a.x), abs(b.x))), 6) AS k {MET}")
+@query(f"WITH {BAGS}, {ROOTS} SELECT a.video_id AS i, b.video_id AS j, round(sum(least(abs(a.x), abs(b.x))), 6) AS k {MET}")
 def kernel_intersection(spark, sf):
-    return K.kernel(_firsts(spark, sf), V.intersection).withColumn("k", _r(F.col("k")))
+    return K.kernel(_roots(spark, sf), V.intersection).withColumn("k", _r(F.col("k")))
 
 
-@query(f"WITH {BAGS} SELECT a.video_id AS i, b.video_id AS j, round(sum(pow(abs(a.x) - abs(b.x), 2) / CASE WHEN abs(a.x) + abs(b.x) < 1e-7 THEN 1 ELSE abs(a.x) + abs(b.x) END), 6) AS k {MET}")
+@query(f"WITH {BAGS}, {ROOTS} SELECT a.video_id AS i, b.video_id AS j, round(sum(pow(abs(a.x) - abs(b.x), 2) / CASE WHEN abs(a.x) + abs(b.x) < 1e-7 THEN 1 ELSE abs(a.x) + abs(b.x) END), 6) AS k {MET}")
 def kernel_chi2(spark, sf):
-    return K.kernel(_firsts(spark, sf), V.chi_square).withColumn("k", _r(F.col("k")))
+    return K.kernel(_roots(spark, sf), V.chi_square).withColumn("k", _r(F.col("k")))
 
 
-LINEAR = f"q AS (SELECT a.video_id AS i, b.video_id AS j, sum(a.x * b.x) AS k {MET})"
+LINEAR = f"{ROOTS}, q AS (SELECT a.video_id AS i, b.video_id AS j, sum(a.x * b.x) AS k {MET})"
 
 
 @query(f"WITH {BAGS}, {LINEAR} SELECT i, j, round(sign(k) * sqrt(abs(k)), 6) + 0.0 AS k FROM q UNION ALL SELECT j, i, round(sign(k) * sqrt(abs(k)), 6) + 0.0 FROM q WHERE i < j")
 def signed_sqrt_kernel(spark, sf):
-    return K.mirror(K.kernel(_firsts(spark, sf), V.dot).withColumn("k", _r(V.signed_sqrt(F.col("k")))))
+    return K.mirror(K.kernel(_roots(spark, sf), V.dot).withColumn("k", _r(V.signed_sqrt(F.col("k")))))
 
 
 @query(f"WITH {BAGS}, {LINEAR} SELECT i, j, round(k / (SELECT quantile_cont(k, 0.5) FROM q WHERE k <> 0), 5) + 0.0 AS k FROM q")
 def median_normalized_kernel(spark, sf):
-    return K.median_normalised(K.kernel(_firsts(spark, sf), V.dot)).withColumn("k", _r(F.col("k"), 5))
+    return K.median_normalised(K.kernel(_roots(spark, sf), V.dot)).withColumn("k", _r(F.col("k"), 5))
 
 
 INTER = """i AS (SELECT x.i, x.j, coalesce(s, 0.0) / (x.ei * x.ej) AS k FROM (SELECT a.video_id AS i, b.video_id AS j, a.e AS ei, b.e AS ej FROM ne a JOIN ne b ON a.video_id <= b.video_id) x LEFT JOIN (
@@ -438,18 +467,35 @@ def kernel_fusion_weighted(spark, sf):
 
 @query(f"WITH {BAGS}, {WORDS}, {NODES}, {EDGES}, {INTER}, {LINEAR} SELECT q.i, q.j, round(CASE WHEN (SELECT sum(k) FROM q) > 0 THEN q.k ELSE i.k END, 6) + 0.0 AS k FROM q JOIN i ON i.i = q.i AND i.j = q.j")
 def root_substitution(spark, sf):
-    root = K.kernel(_firsts(spark, sf), V.dot)
+    root = K.kernel(_roots(spark, sf), V.dot)
     return K.root_or_nodes(root, K.sparse_intersection(_edges(spark, sf))).withColumn("k", _r(F.col("k")))
 
 
-@query(f"""WITH {BAGS}, s AS (SELECT a.vec_id AS i, b.vec_id AS j, CAST(a.dim >= 32 AS INTEGER) AS ch, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS dist FROM c a JOIN c b ON a.dim = b.dim WHERE a.vec_id < 8 GROUP BY a.vec_id, b.vec_id, a.dim >= 32),
-g AS (SELECT ch, quantile_cont(dist, 0.5) FILTER (WHERE dist > 0) AS med FROM s GROUP BY 1) SELECT i, j, round(exp(sum(-dist * dist / (2 * med))), 6) AS k FROM s JOIN g USING (ch) GROUP BY ALL""")
+SAMPLED = """g AS (SELECT label, vec_id, CAST(floor((v[2] + 1) / 2 * 3) * 3 + floor((v[1] + 1) / 2 * 3) AS BIGINT) AS cell FROM d WHERE (v[1] + 1) / 2 >= 0 AND (v[1] + 1) / 2 < 1 AND (v[2] + 1) / 2 >= 0 AND (v[2] + 1) / 2 < 1),
+k AS (SELECT *, count(*) OVER (PARTITION BY label, cell) AS n, row_number() OVER (PARTITION BY label, cell ORDER BY md5('9:' || vec_id), vec_id) AS k FROM g),
+s AS (SELECT *, sum(CAST(k <= ceil(n * 0.01::DOUBLE / 9) AS INTEGER)) OVER (PARTITION BY label) AS s1, sum(CAST(k <= ceil(n * 0.1::DOUBLE / 9) AS INTEGER)) OVER (PARTITION BY label) AS s2 FROM k),
+u AS (SELECT label, vec_id, CASE WHEN s1 > 2 THEN k <= ceil(n * 0.01::DOUBLE / 9) WHEN s2 > 2 THEN k <= ceil(n * 0.1::DOUBLE / 9) ELSE k <= ceil(n * 1.0::DOUBLE / 9) END AS in_sample FROM s)"""
+
+
+def _sampled(spark, sf):
+    """Descriptors of each class with their place in the unit square and the stratified sample marked."""
+    unit = lambda k: (F.get("v", F.lit(k)) + 1) / 2
+    rows = S.descriptors(spark, sf).withColumns({"x": unit(0), "y": unit(1)})
+    return R.grid_sample(rows, "label", "vec_id", 0.01, 3, "9")
+
+
+@query(f"""WITH {BAGS}, {SAMPLED}, q AS (SELECT x.label, c.vec_id, c.dim, c.x, x.in_sample FROM u x JOIN c USING (vec_id)),
+z AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j, CAST(a.dim >= 32 AS INTEGER) AS ch, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS dist FROM q a JOIN q b ON a.label = b.label AND a.dim = b.dim WHERE a.in_sample GROUP BY a.label, a.vec_id, b.vec_id, a.dim >= 32),
+w AS (SELECT label, ch, quantile_cont(dist, 0.5) FILTER (WHERE dist > 0) AS med FROM z GROUP BY ALL) SELECT i, j, round(exp(sum(-dist * dist / (2 * med))), 6) AS k FROM z JOIN w USING (label, ch) GROUP BY ALL""")
 def multimodal_product_kernel(spark, sf):
-    d = S.descriptors(spark, sf).select("vec_id", F.explode(F.array(*[F.struct(F.lit(n).alias("ch"), F.slice("v", 32 * n + 1, 32).alias("v")) for n in (0, 1)])).alias("c")).select("vec_id", "c.ch", "c.v")
-    a = d.filter("vec_id < 8").select(F.col("vec_id").alias("i"), "ch", F.col("v").alias("a"))
-    rows = d.select(F.col("vec_id").alias("j"), "ch", F.col("v").alias("b")).join(F.broadcast(a), "ch").select("i", "j", "ch", F.sqrt(V.squared_distance(F.col("a"), F.col("b"))).alias("d"))
-    med = rows.filter("d > 0").groupBy("ch").agg(F.percentile("d", F.lit(0.5)).alias("med"))
-    return rows.join(F.broadcast(med), "ch").groupBy("i", "j").agg(F.round(F.exp(F.sum(F.log(V.rbf(F.col("d"), F.col("med"))))), 6).alias("k"))
+    """Similarity of each class's sampled rows to all its rows: a product of one RBF for each channel."""
+    parts = F.array(*[F.struct(F.lit(n).alias("ch"), F.slice("v", 32 * n + 1, 32).alias("p")) for n in (0, 1)])
+    d = _sampled(spark, sf).select("label", "vec_id", "in_sample", F.explode(parts).alias("c")).select("label", "vec_id", "in_sample", "c.ch", "c.p")
+    a = d.filter("in_sample").select("label", "ch", F.col("vec_id").alias("i"), F.col("p").alias("a"))
+    b = d.select("label", "ch", F.col("vec_id").alias("j"), F.col("p").alias("b"))
+    rows = b.join(a, ["label", "ch"]).select("label", "ch", "i", "j", F.sqrt(V.squared_distance(F.col("a"), F.col("b"))).alias("d"))
+    med = rows.filter("d > 0").groupBy("label", "ch").agg(F.percentile("d", F.lit(0.5)).alias("med"))
+    return rows.join(med, ["label", "ch"]).groupBy("i", "j").agg(F.round(F.exp(F.sum(F.log(V.rbf(F.col("d"), F.col("med"))))), 6).alias("k"))
 
 
 def _fixed_gmm(spark, sf):
@@ -459,12 +505,17 @@ def _fixed_gmm(spark, sf):
 @query(f"""WITH {BAGS}, g AS (SELECT CAST(vec_id AS INTEGER) AS k, unnest(CAST(embedding AS DOUBLE[])) AS m, unnest(range(64)) AS dim FROM embeddings WHERE vec_id < 4),
 l AS (SELECT vec_id, k, -0.5 * sum((x - m) * (x - m)) / 0.1 AS lp FROM c JOIN g USING (dim) GROUP BY ALL), q AS (SELECT vec_id, k, exp(lp - max(lp) OVER w) / sum(exp(lp)) OVER w * exp(max(lp) OVER w) AS q FROM l WINDOW w AS (PARTITION BY vec_id)),
 s AS (SELECT video_id, node_id, k, dim, sum(q) AS s0, sum(q * x) AS s1, sum(q * x * x) AS s2, count(*) AS n FROM (SELECT vec_id, video_id, dim, x, unnest([leaf, leaf // 2, leaf // 4, leaf // 8]) AS node_id FROM c) JOIN q USING (vec_id) GROUP BY ALL)
-SELECT video_id, node_id, k, CAST(dim AS INTEGER) AS dim, round((s1 - m * s0) / (n * 0.5 * sqrt(0.1)), 5) + 0.0 AS mu_part, round((s2 - 2 * m * s1 + (m * m - 0.1) * s0) / (n * sqrt(0.5) * 0.1), 5) + 0.0 AS var_part FROM s JOIN g USING (k, dim) WHERE node_id < 4""")
+SELECT video_id, node_id, k, CAST(dim AS INTEGER) AS dim, round((s1 - m * s0) / (n * 0.5 * sqrt(0.1)), 5) + 0.0 AS mu_part, round((s2 - 2 * m * s1 + (m * m - 0.1) * s0) / (n * sqrt(0.5) * 0.1), 5) + 0.0 AS var_part FROM s JOIN g USING (k, dim)""")
 def fisher_fixed_gmm(spark, sf):
-    f = L.fisher(S.descriptors(spark, sf), _fixed_gmm(spark, sf)).filter("node_id < 4")
+    f = L.fisher(S.descriptors(spark, sf), _fixed_gmm(spark, sf))
     return f.select("video_id", "node_id", "k", "dim", _r(F.col("mu_part"), 5).alias("mu_part"), _r(F.col("var_part"), 5).alias("var_part"))
 
 
+#: The machines' C, and the shares of the root kernel.
+CS = [1e-4, 1e-3, 1e-2, 1e-1, 1.0]
+ALPHAS = [k / 20 for k in range(21)]
+
+
 # --- solvers: rows only ----------------------------------------------------------------------------
 
 
@@ -480,7 +531,7 @@ def pca_half(spark, sf):
 
 @query()
 def diagonal_gmm(spark, sf):
-    return L.diagonal_gmm(S.descriptors(spark, sf), S.codebook(spark, sf, 4), 5)
+    return L.diagonal_gmm(S.descriptors(spark, sf), S.codebook(spark, sf, 4))
 
 
 @query()
@@ -505,8 +556,20 @@ def atnbep_kernel(spark, sf):
 
 @query()
 def spectral_tree(spark, sf):
-    rows = S.descriptors(spark, sf).withColumns({"x": F.get("v", F.lit(0)), "y": F.get("v", F.lit(1))})
-    return L.spectral_trees(rows, "label", "vec_id", ["x", "y"])
+    return L.spectral_trees(_sampled(spark, sf), "label", "vec_id", ["x", "y", "t"], "t", [(0, 32), (32, 64)])
+
+
+@query()
+def kmeans_tree(spark, sf):
+    """The tree whose clusters are split by two-means, with outliers under leaf 0."""
+    return L.spectral_trees(_sampled(spark, sf), "label", "vec_id", ["x", "y", "t"], "t", [(0, 32), (32, 64)], "kmeans")
+
+
+@query()
+def fisher_video_darwin(spark, sf):
+    """Fisher vectors of each tree node's frames, in order, rank-pooled."""
+    frames = S.descriptors(spark, sf).withColumn("frame", F.floor((F.col("t") - 1) / 4))
+    return L.fisher_darwin(frames, _fixed_gmm(spark, sf), "frame")
 
 
 @query()
@@ -519,14 +582,14 @@ def svm_kernel_cv(spark, sf):
 def svm_grid_search(spark, sf):
     """Cross-validated balanced accuracy of each C, and the best C of each class."""
     k = K.mirror(K.sparse_intersection(_edges(spark, sf)))
-    scores = L.svm_scores(k, _labels(spark, sf), [0.01, 0.1, 1.0, 10.0])
+    scores = L.svm_scores(k, _labels(spark, sf), CS)
     fold = L.balanced_accuracy(scores.withColumn("pred", F.when(F.col("decision") > 0, 1).otherwise(-1)), "class_id", "c", "fold")
     return R.argmax(fold.groupBy("class_id", "c").agg(F.avg("acc").alias("acc")), "class_id", "acc", "c")
 
 
-@query(f"WITH {BAGS} SELECT a.video_id AS i, b.video_id AS j, round(sum(a.x * b.x), 6) + 0.0 AS k FROM c a JOIN c b ON a.dim = b.dim AND a.t = 1 AND b.t = 1 AND a.video_id % 5 = 0 AND b.video_id % 5 <> 0 GROUP BY ALL")
+@query(f"WITH {BAGS}, {ROOTS} SELECT a.video_id AS i, b.video_id AS j, round(sum(a.x * b.x), 6) + 0.0 AS k FROM o a JOIN o b ON a.dim = b.dim AND a.video_id % 5 = 0 AND b.video_id % 5 <> 0 GROUP BY ALL")
 def kernel_test_train(spark, sf):
-    rows = _firsts(spark, sf)
+    rows = _roots(spark, sf)
     return K.kernel(rows.filter("video_id % 5 = 0"), V.dot, rows.filter("video_id % 5 <> 0")).withColumn("k", _r(F.col("k")))
 
 
@@ -534,12 +597,34 @@ def _marked(spark, sf):
     return _labels(spark, sf).withColumn("is_test", F.col("video_id") % 5 == 0)
 
 
+def _methods(spark, sf):
+    """Root and node kernels of two methods: edge pairs, and branch evolutions in two channels."""
+    edges = _edges(spark, sf)
+    roots = K.mirror(K.kernel(_roots(spark, sf), V.dot))
+    branches = L.atnbep_kernel(L.branch_evolutions(_node_vectors(spark, sf)))
+    channel = lambda n: K.mirror(branches.filter(F.col("channel") == n).select("i", "j", "k"))
+    return {"root": K.mirror(K.factored_linear(edges)), "n0": K.mirror(K.sparse_intersection(edges))}, {"root": roots, "n0": channel(0), "n1": channel(1)}
+
+
 @query()
 def fusion_grid_search(spark, sf):
-    """The whole fusion: two kernels, grid over the mixture and C, cross-validation, test metrics of the best."""
-    edges = _edges(spark, sf)
-    root, nodes = K.mirror(K.factored_linear(edges)), K.mirror(K.sparse_intersection(edges))
-    return L.fusion_search(root, nodes, _marked(spark, sf), [0.0, 0.25, 0.5, 0.75, 1.0], [0.01, 1.0])
+    """One method: grid over the root's share and C, cross-validation, test metrics of the best."""
+    edge_pairs, _ = _methods(spark, sf)
+    return L.fusion_search([[edge_pairs]], _marked(spark, sf), [L.Mixture(a) for a in ALPHAS], CS)
+
+
+@query()
+def fusion_two_methods(spark, sf):
+    """Two methods: grid over their weights, with node channels mixed evenly."""
+    grid = [L.Mixture(a, (w / 10, 1 - w / 10), (1.0, 0.5)) for w in range(11) for a in (0.0, 0.5, 1.0)]
+    return L.classify("kernel_fusion", [list(_methods(spark, sf))], _marked(spark, sf), grid, CS, criterion="map")
+
+
+@query()
+def simple_voting(spark, sf):
+    """Majority of the machines of two kernels."""
+    edge_pairs, evolutions = _methods(spark, sf)
+    return L.classify("simple_voting", [L.svm_scores(k, _labels(spark, sf), [1.0]) for k in (edge_pairs["n0"], evolutions["n0"])])
 
 
 @query()
@@ -549,13 +634,22 @@ def fusion_report(spark, sf):
     return best.rollup("class_id").agg(F.avg("acc").alias("acc"), F.avg("ap").alias("ap"))
 
 
+def _bags(spark, sf):
+    counts = T.dense_histogram(T.bovw(_assigned(spark, sf)), 16)
+    bags = counts.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("word_id", F.col("n").cast("double").alias("n"))))["n"].alias("v"))
+    return bags.select("video_id", V.l2(F.col("v")).alias("v"))
+
+
 @query()
 def flat_bovw_svm(spark, sf):
     """The flat baseline: L2-normalised whole-bag histograms under a linear kernel SVM."""
-    counts = T.dense_histogram(T.bovw(_assigned(spark, sf)), 16)
-    bags = counts.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("word_id", F.col("n").cast("double").alias("n"))))["n"].alias("v"))
-    kernel = K.mirror(K.kernel(bags.select("video_id", V.l2(F.col("v")).alias("v")), V.dot))
-    return L.svm_scores(kernel, _labels(spark, sf), [1.0])
+    return L.svm_scores(K.mirror(K.kernel(_bags(spark, sf), V.dot)), _labels(spark, sf), [1.0])
+
+
+@query()
+def flat_bovw_search(spark, sf):
+    """The flat baseline under an RBF machine, best C and gamma by cross-validation."""
+    return L.flat_search(_bags(spark, sf), _labels(spark, sf), CS, [0.1, 1.0, 10.0])
 
 
 @query()
@@ -564,14 +658,3 @@ def stacked_fusion(spark, sf):
     edges = _edges(spark, sf)
     first = [L.svm_scores(K.mirror(k), _labels(spark, sf), [1.0]) for k in (K.factored_linear(edges), K.sparse_intersection(edges))]
     return L.stacked_scores(first, _labels(spark, sf))
-
-
-def stored(df):
-    """A table written to the folder of ``spark.checkpoint.dir`` and reread, to cut lineage."""
-    import tempfile
-    import uuid
-
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{base}/silvan-graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

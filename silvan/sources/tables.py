@@ -93,12 +93,19 @@ def interactions(spark: SparkSession) -> DataFrame:
     return marked.select("class", "number", name.alias("name"), F.col("train").isNull().alias("is_test"))
 
 
+def sports_ranges() -> list[tuple[str, int, int]]:
+    """(class, first video, video after the last) by running counts."""
+    out, at = [], 0
+    for name, size in sorted(SPORTS_SIZES.items()):
+        out.append((name, at, at + size))
+        at += size
+    return out
+
+
 @register("sports")
 def sports(spark: SparkSession) -> DataFrame:
     """(video_id, class, is_test): sorted files fall into classes by running counts, a range join."""
-    sizes = spark.createDataFrame(sorted(SPORTS_SIZES.items()), "class string, n int")
-    upto = F.sum("n").over(Window.orderBy("class"))
-    ranges = sizes.select("class", (upto - F.col("n")).alias("low"), upto.alias("high"))
+    ranges = spark.createDataFrame(sports_ranges(), "class string, low int, high int")
     videos = spark.range(sum(SPORTS_SIZES.values())).withColumnRenamed("id", "video_id")
     inside = (F.col("video_id") >= F.col("low")) & (F.col("video_id") < F.col("high"))
     return videos.join(F.broadcast(ranges), inside).select("video_id", "class", F.expr("video_id + 1").isin(SPORTS_TEST).alias("is_test"))
@@ -122,8 +129,24 @@ def indexed_split(spark: SparkSession, path: str) -> DataFrame:
 def listing(spark: SparkSession, path: str, suffix: str = ".avi") -> DataFrame:
     """(video_id, name) of the files with a suffix, in order of their names; contents are not read."""
     files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"))
-    files = files.filter(F.col("name").endswith(suffix))
-    return files.withColumn("video_id", F.row_number().over(Window.orderBy("name")) - 1)
+    return numbered(files.filter(F.col("name").endswith(suffix)), "video_id", "name")
+
+
+def sports_listing(spark: SparkSession, path: str) -> DataFrame:
+    """(video_id, name, class, is_test): the files of a folder with the classes and split of their places."""
+    return listing(spark, path).join(sports(spark), "video_id").select("video_id", "name", "class", "is_test")
+
+
+def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """``rows`` with their place in the order, from 0: a sort by range, and the counts of its parts (one row a task)."""
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = rows.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_k": within})
+    at, offsets = 0, [(-1, 0)]
+    for r in placed.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect():
+        offsets.append((r["_part"], at))
+        at += r["n"]
+    parts = rows.sparkSession.createDataFrame(offsets, "_part int, _at long")
+    return placed.join(F.broadcast(parts), "_part").select((F.col("_at") + F.col("_k")).alias(name), *rows.columns)
 
 
 def descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
