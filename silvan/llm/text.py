@@ -16,6 +16,14 @@ ALNUM = bytes(
 #: ASCII white space, as the character class of the word definitions.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: The words of ``alnum_words``, as a pattern over the lower-cased text.
+ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def quoted(value: str) -> str:
+    """``value`` as a SQL string."""
+    return "'" + value.replace("'", "''") + "'"
 
 
 def alnum_words(raw: bytes | None) -> list[bytes]:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+from .text import LOWER, UPPER, quoted
 
 #: (action, host and path) of the path rules: fixed values.
 PATH_RULES = (
@@ -39,8 +39,8 @@ PATTERNS = (
     (("exe",), r"\.exe([?#]|$)"),
 )
 
-#: The rules are a stated set; above this many they would have to be joined in blocks.
-MAX_RULES = 100_000
+#: An index of so many rules is sent to every task; a larger one is joined by its tokens.
+MAX_BROADCAST = 100_000
 
 
 @dataclass(frozen=True)
@@ -77,32 +77,37 @@ def judge(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     The longest path rule that fits decides; ties cannot be, as equal texts are
     one rule. Without one, the verdict is the method's: block if one of its
     patterns matches the A-Z lower-cased url or the host is empty (so for null
-    urls), else allow. Equal urls are judged once; repeated rows each give a
-    row, and other columns are ignored.
+    urls), else allow. A rule that names no token is tried on every url. Equal
+    urls are judged once; repeated rows each give a row, and other columns are
+    ignored.
     """
     rules = default_rules() if rules is None else rules
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} fit one index")
+    sent = F.broadcast if len(rules) <= MAX_BROADCAST else (lambda df: df)
     spark = pages.sparkSession
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"))
     urls = parts(rows.filter("url is not null").select("url").distinct())
     urls = urls.withColumns({"low": F.translate("url", UPPER, LOWER), "place": F.concat("host", "path")})
-    tokens = urls.select("url", F.explode(F.array_distinct(F.split("low", "[^a-z0-9]+"))).alias("token"))
+    # every url has the empty token, for rules that name none
+    tokens = F.array_distinct(F.concat(F.split("low", "[^a-z0-9]+"), F.array(F.lit(""))))
+    found = urls.withColumn("token", F.explode(tokens))
 
     every = sorted({t for r in rules for t in r.tokens})
     known = spark.createDataFrame([(t,) for t in every], "token string")
-    counts = {r.token: r.n for r in tokens.join(F.broadcast(known), "token").groupBy("token").agg(F.count("*").alias("n")).collect()}
+    counts = {r.token: r.n for r in found.join(sent(known), "token").groupBy("token").agg(F.count("*").alias("n")).collect()}
     index = spark.createDataFrame(
-        [(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), r.name, r.action, r.pattern, r.rank) for r in rules],
+        [(min(r.tokens, key=lambda t: (counts.get(t, 0), t), default=""), r.name, r.action, r.pattern, r.rank) for r in rules],
         "token string, rule string, action string, pattern string, rank int",
     )
     at = F.when(F.col("rule").isNull(), F.col("low")).otherwise(F.col("place"))
-    candidates = urls.withColumn("token", F.explode(F.array_distinct(F.split("low", "[^a-z0-9]+")))).join(F.broadcast(index), "token")
+    candidates = found.join(sent(index), "token")
     matched = candidates.filter(F.regexp(at, F.col("pattern")))
     best = matched.groupBy("url").agg(F.max(F.struct("rank", "rule", "action")).alias("best"))
+    # null urls match nothing and need no join, which would bring them all to one task
+    nulls = parts(rows.filter("url is null")).withColumn("best", F.lit(None).cast(best.schema["best"].dataType))
     return (
-        parts(rows)
+        parts(rows.filter("url is not null"))
         .join(best, "url", "left")
+        .unionByName(nulls)
         .select(
             "page_id",
             "host",
@@ -115,12 +120,11 @@ def judge(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
 
 def duckdb_sql() -> str:
     """The same verdicts in DuckDB SQL over ``pages``, each rule tried on each url."""
-    quote = lambda s: "'" + s.replace("'", "''") + "'"
     longest = sorted(PATH_RULES, key=lambda r: -len(r[1]))
-    fits = {t: f"regexp_matches(host || path, {quote(path_rule(a, t).pattern)})" for a, t in longest}
-    rule = "CASE " + " ".join(f"WHEN {fits[t]} THEN {quote(t)}" for _, t in longest) + " END"
-    action = "CASE rule " + " ".join(f"WHEN {quote(t)} THEN {quote(a)}" for a, t in longest)
-    bad = " OR ".join(f"regexp_matches(low, {quote(p)})" for _, p in PATTERNS)
+    fits = {t: f"regexp_matches(host || path, {quoted(path_rule(a, t).pattern)})" for a, t in longest}
+    rule = "CASE " + " ".join(f"WHEN {fits[t]} THEN {quoted(t)}" for _, t in longest) + " END"
+    action = "CASE rule " + " ".join(f"WHEN {quoted(t)} THEN {quoted(a)}" for a, t in longest)
+    bad = " OR ".join(f"regexp_matches(low, {quoted(p)})" for _, p in PATTERNS)
     return f"""
 WITH u AS (
   SELECT page_id, translate(coalesce(url, ''), '{UPPER}', '{LOWER}') AS low,
