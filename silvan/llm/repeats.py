@@ -97,7 +97,8 @@ def _live(texts: DataFrame) -> DataFrame:
 
     phrases = texts.select("tid", "raw").mapInArrow(run, "h1 long, h2 long, tid long, k int")
     repeated = spool(phrases.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2"), "dictionary")
-    live = spool(phrases.join(repeated, ["h1", "h2"]).groupBy("tid").agg(F.collect_list("k").alias("live")), "live")
+    # texts are long: the other side of a join is the one that is hashed, so that they need no sort
+    live = spool(phrases.join(repeated.hint("shuffle_hash"), ["h1", "h2"]).groupBy("tid").agg(F.collect_list("k").alias("live")), "live")
     discard(repeated)
     return live
 
@@ -156,7 +157,7 @@ def _anchors(texts: DataFrame, live: DataFrame, every: bool = False) -> DataFram
             yield to_batch(out, schema)
 
     # a text without a repeated phrase or run has candidates only where neighbouring phrases are long
-    return texts.select("tid", "raw").join(live, "tid", "left").select("tid", "raw", "live").mapInArrow(run, "tid long, k int, context binary, groups array<long>, before long")
+    return texts.select("tid", "raw").join(live.hint("shuffle_hash"), "tid", "left").select("tid", "raw", "live").mapInArrow(run, "tid long, k int, context binary, groups array<long>, before long")
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -342,7 +343,7 @@ def _settled(texts: DataFrame, every: bool = False) -> DataFrame:
                     out = Found()
             yield out.batch()
 
-    rows = texts.select("tid", "raw").join(lists, "tid").select("tid", "raw", "known")
+    rows = texts.select("tid", "raw").join(lists.hint("shuffle_hash"), "tid").select("tid", "raw", "known")
     found = spool(rows.mapInArrow(run, "tid long, first long, last long, tail binary, rank long, s1 long, s2 long, ask boolean"), "settled")
     discard(ordered, mixed, groups, live)
     return found
@@ -437,7 +438,7 @@ def removals(docs: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=["d1", "d2", "n_removed", "n_spans", "rest", "spans"])
 
-    alone = texts.filter("copies = 1").join(lists, "tid").select("d1", "d2", "raw", "runs").mapInArrow(cut, "d1 long, d2 long, n_removed long, n_spans long, rest string, spans array<array<long>>")
+    alone = texts.filter("copies = 1").join(lists.hint("shuffle_hash"), "tid").select("d1", "d2", "raw", "runs").mapInArrow(cut, "d1 long, d2 long, n_removed long, n_spans long, rest string, spans array<array<long>>")
     size = F.octet_length("raw").cast("long")
     copied = texts.filter("copies > 1").select("d1", "d2", size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256().hexdigest()).alias("rest"), F.array(F.array(F.lit(0).cast("long"), size)).alias("spans"))
     return rows.join(alone.union(copied), ["d1", "d2"], "left").select(
