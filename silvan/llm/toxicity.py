@@ -1,15 +1,16 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-A bounded sample of labelled examples is indexed over all of its terms. Terms of
-many examples make up an inverted index cut into blocks of examples, with the
-largest weight of each term in each block; those of few examples keep short
-lists, which are added up first. A query bounds every block by the sum of these
-maxima and the largest sum of its lists, visits blocks from the highest bound
-down and stops when no bound reaches its k-th best cosine, so the neighbours are
-exact. Words of a document that no example has share nothing with any example
-but lengthen the document, so their document counts are joined to it. The
-neighbours' distance-weighted votes, corrected for the sampling of the classes,
-are calibrated by isotonic regression on leave-one-out votes.
+A bounded sample of labelled texts is indexed over all of their terms. A few
+words make a text toxic, and whole texts resemble others by all the rest, so a
+text is scored by its passages: each one, of ``PASSAGE`` words, looks for its
+nearest examples. Terms of many examples make up an inverted index cut into
+blocks of examples, with the largest weight of each term in each block; those of
+few examples keep short lists, which are added up first. A passage's cosines
+with a block are bounded by the sum of these maxima and the largest sum of its
+lists; the blocks with the best bounds give a threshold, and of the others only
+those whose bound reaches it are looked at, so the neighbours are exact. They
+vote with their cosines; a text's vote is that of its most toxic passage,
+calibrated by isotonic regression on leave-one-out votes of the examples.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from pyspark.sql import functions as F
 
 from .langid import held_out
 from .sampling import bounded_sample
-from .spool import spool
 from .text import alnum_words, as_bytes, slices
 
 #: Labelled examples of each class that are indexed at most (chosen by id hash).
@@ -33,104 +33,173 @@ EXAMPLES_PER_CLASS = 1000
 RARE = 16
 #: Words that a task counts before it passes them on.
 COUNTED = 1 << 20
-NEIGHBOURS = 15
+#: Words of a passage; the last one of a text may be shorter.
+PASSAGE = 12
+NEIGHBOURS = 60
 BLOCK = 64
-#: Vote for no label, in near-identical toxic examples: neighbours that are all far away prove little.
-DOUBT = 0.5
+#: Blocks that are looked at first.
+FIRST = 4
+#: Passages that are looked up at a time.
+BATCH = 256
+#: Neighbours that the evidence of a text lists at most.
+SHOWN = 10
 THRESHOLD = 0.7
 
 
+@dataclass
+class Passages:
+    """Sparse vectors: rows sorted, a term and its weight each; ``norms`` of whole passages, unknown words included."""
+
+    rows: np.ndarray
+    terms: np.ndarray
+    weights: np.ndarray
+    norms: np.ndarray
+
+    def part(self, low: int, high: int) -> Passages:
+        a, b = np.searchsorted(self.rows, [low, high])
+        return Passages(self.rows[a:b] - low, self.terms[a:b], self.weights[a:b], self.norms[low:high])
+
+    def take(self, picked: np.ndarray) -> Passages:
+        """The passages ``picked``, in that order (rising)."""
+        place = np.full(len(self.norms), -1)
+        place[picked] = np.arange(len(picked))
+        own = place[self.rows]
+        return Passages(own[own >= 0], self.terms[own >= 0], self.weights[own >= 0], self.norms[picked])
+
+
 @dataclass
 class Index:
-    """Block-max inverted index of unit vectors, with labels and class weights of the examples."""
+    """Block-max inverted index of unit vectors, with the labels of the examples."""
 
     terms: dict[bytes, int]
     idf: np.ndarray
+    #: weight of a word that no example has, for the length of a passage
+    unknown: float
+    #: ids and labels by place in the index, and the place of each example as given
     ids: np.ndarray
     labels: np.ndarray
-    weights: np.ndarray
-    #: postings of each term by block: weights of the block's examples, a row each
+    places: np.ndarray
+    #: postings by block: weights of the block's examples, a row each dense term
     postings: np.ndarray
     #: largest weight of each term in each block of examples
     block_max: np.ndarray
-    has_terms: np.ndarray
     #: terms from number ``len(block_max)`` on: start of each list, its examples and weights
-    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    listed: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    listed_weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    steps: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
+    starts: np.ndarray
+    listed: np.ndarray
+    listed_weights: np.ndarray
+    steps: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(1), np.zeros(1)))
+    #: score of a text without a term
     bare: float = 0.0
 
-    def numbered(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and TF-IDF weights of the words that are terms."""
-        known = [(self.terms[w], n) for w, n in counts.items() if w in self.terms]
-        at, n = np.array(known, np.int64).reshape(-1, 2).T
-        return at, (1 + np.log(n)) * self.idf[at]
-
-    def vector(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and TF-IDF weights of unit length, of a text whose words are all terms."""
-        at, weight = self.numbered(Counter(words))
-        return at, weight / np.sqrt(weight @ weight) if len(at) else weight
-
-    def nearest(self, at: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Examples and cosines of the k nearest with a common term; equal cosines by example number."""
-        rare = at >= len(self.block_max)
-        base = self._listed(at[rare] - len(self.block_max), weight[rare])
-        at, weight = at[~rare], weight[~rare]
-        bounds = weight @ self.block_max[at] + base.max(axis=1)
-        order = np.argsort(-bounds, kind="stable")
-        found, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for block in order:
-            if bounds[block] <= 0 or (len(found) == k and bounds[block] < least - 1e-12):
-                break
-            low = block * BLOCK
-            scores = weight @ self.postings[block][at] + base[block]
-            if low <= skip < low + BLOCK:
-                scores[skip - low] = 0
-            hit = np.flatnonzero((scores > 0) & (scores >= least - 2e-12) if len(found) == k else scores > 0)
-            if not len(hit):
-                continue
-            found, cosines = np.concatenate([found, hit + low]), np.concatenate([cosines, scores[hit]])
-            best = np.lexsort((found, -np.round(cosines, 12)))[:k]
-            found, cosines = found[best], cosines[best]
-            least = cosines[-1] if len(cosines) else 0.0
-        return found, cosines
-
-    def _listed(self, lists: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Sums over the lists of rare terms, a row for each block."""
-        size = self.starts[lists + 1] - self.starts[lists] if len(lists) else np.zeros(0, np.int64)
-        ends = np.cumsum(size)
-        places = np.arange(size.sum()) + np.repeat(self.starts[lists] - ends + size, size)
-        sums = np.bincount(self.listed[places], np.repeat(weight, size) * self.listed_weights[places], len(self.postings) * BLOCK)
-        return sums.reshape(-1, BLOCK)
-
-    def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
-        share = cosines**4 * self.weights[found]
-        return float(share @ self.labels[found] / (share.sum() + DOUBT)) if len(found) else -1.0
-
-    def calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> Index:
-        """Isotonic steps from leave-one-out votes of the examples; texts without a term get the rate of such examples."""
-        prior = float(np.average(self.labels, weights=self.weights)) if len(self.labels) else 0.0
-        bare = ~self.has_terms
-        self.bare = float(np.average(self.labels[bare], weights=self.weights[bare])) if bare.any() else prior
-        votes, truth, weight = [], [], []
-        for k, (at, w) in enumerate(vectors):
-            if len(at):
-                vote = self.vote(*self.nearest(at, w, skip=k))
-                if vote >= 0:
-                    votes.append(vote)
-                    truth.append(self.labels[k])
-                    weight.append(self.weights[k])
-        self.steps = isotonic(np.array(votes), np.array(truth, float), np.array(weight))
-        return self
-
-    def score(self, found: np.ndarray, cosines: np.ndarray) -> float:
-        vote = self.vote(found, cosines)
-        return float(np.interp(vote, *self.steps)) if vote >= 0 else self.bare
+    def passages(self, texts: list[list[bytes]], size: int = PASSAGE) -> tuple[Passages, np.ndarray]:
+        """TF-IDF vectors of the passages of all texts, and the number of passages of each text."""
+        known, new = self.terms, {}
+        v = len(self.idf)
+        numbers = np.fromiter((known[w] if w in known else new.setdefault(w, v + len(new)) for words in texts for w in words), np.int64)
+        sizes = np.array([len(words) for words in texts], np.int64)
+        counts = -(-sizes // size)
+        within = np.arange(len(numbers)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        rows = within // size + np.repeat(np.cumsum(counts) - counts, sizes)
+        width = v + len(new) + 1
+        pairs, n = np.unique(rows * width + numbers, return_counts=True)
+        rows, numbers = pairs // width, pairs % width
+        old = numbers < v
+        weights = (1 + np.log(n)) * np.where(old, self.idf[np.minimum(numbers, v - 1)] if v else 0.0, self.unknown)
+        norms = np.sqrt(np.bincount(rows, weights * weights, minlength=int(counts.sum())).astype(float))
+        return Passages(rows[old], numbers[old], weights[old], norms), counts
+
+    def products(self, p: Passages, k: int = NEIGHBOURS, skip: np.ndarray | None = None) -> np.ndarray:
+        """Products of each passage with the examples: exact wherever an example may be among the k nearest, else 0."""
+        n, blocks, dense = len(p.norms), len(self.postings), len(self.block_max)
+        width = blocks * BLOCK
+        rare = p.terms >= dense
+        lists = p.terms[rare] - dense
+        length = self.starts[lists + 1] - self.starts[lists]
+        ends = np.cumsum(length)
+        places = np.arange(int(length.sum())) + np.repeat(self.starts[lists] - ends + length, length)
+        base = np.bincount(np.repeat(p.rows[rare] * width, length) + self.listed[places], np.repeat(p.weights[rare], length) * self.listed_weights[places], n * width)
+        base = base.astype(float).reshape(n, blocks, BLOCK)
+        rows, terms, weights = p.rows[~rare], p.terms[~rare], p.weights[~rare, None]
+        bounds = base.max(axis=2)
+        _add_rows(bounds, rows, self.block_max[terms] * weights)
+        out = np.zeros((n, blocks, BLOCK))
+        picked = np.zeros((n, blocks), bool)
+        first = np.argpartition(-bounds, min(FIRST, blocks) - 1, axis=1)[:, :FIRST]
+        np.put_along_axis(picked, first, True, axis=1)
+        everyone = np.arange(n)
+
+        def look(wanted):
+            for block in np.flatnonzero(wanted.any(axis=0)):
+                own = np.flatnonzero(wanted[:, block])
+                have = wanted[rows, block]
+                found = base[own, block]
+                place = np.cumsum(wanted[:, block]) - 1
+                _add_rows(found, place[rows[have]], self.postings[block][terms[have]] * weights[have])
+                out[own, block] = found
+            if skip is not None:
+                out[everyone[skip >= 0], skip[skip >= 0] // BLOCK, skip[skip >= 0] % BLOCK] = 0
+
+        look(picked)
+        seen = out[everyone[:, None], first].reshape(n, -1)
+        least = np.partition(seen, -k, axis=1)[:, -k] if seen.shape[1] > k else np.zeros(n)
+        # rounding may put a bound a little below a product
+        look(~picked & (bounds > 0) & (bounds >= least[:, None] * (1 - 1e-12)))
+        return out.reshape(n, width)
+
+    def nearest(self, products: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
+        """Which examples are among the k nearest of each passage; all that tie with the k-th, none without a common term."""
+        if products.shape[1] <= k:
+            return products > 0
+        return products >= np.maximum(np.partition(products, -k, axis=1)[:, -k], 1e-300)[:, None]
+
+    def votes(self, p: Passages, k: int = NEIGHBOURS, skip: np.ndarray | None = None) -> np.ndarray:
+        """Share of toxic examples among the neighbours of each passage, by cosine; missing neighbours count as not toxic, -1: no neighbour."""
+        out = np.full(len(p.norms), -1.0)
+        need = max(1, min(k, len(self.ids)))
+        for at in range(0, len(out), BATCH):
+            part = p.part(at, min(at + BATCH, len(out)))
+            products = self.products(part, k, None if skip is None else skip[at : at + BATCH])
+            near = self.nearest(products, k)
+            products[~near] = 0
+            total, count = products.sum(axis=1), near.sum(axis=1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                vote = products @ self.labels / total * np.minimum(1, count / need)
+            out[at : at + BATCH] = np.where(count > 0, vote, -1.0)
+        return out
+
+    def text_votes(self, texts: list[list[bytes]], skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, Passages]:
+        """Vote of each text (-1: no neighbour), and which of the passages cast it (-1: there is none)."""
+        p, counts = self.passages(texts)
+        votes = self.votes(p, skip=None if skip is None else np.repeat(skip, counts))
+        ends = np.cumsum(counts)
+        best = np.array([e - c + int(np.argmax(votes[e - c : e])) if c else -1 for e, c in zip(ends.tolist(), counts.tolist(), strict=True)], np.int64)
+        return np.where(best >= 0, votes[best] if len(votes) else -1.0, -1.0), best, p
+
+    def scores(self, votes: np.ndarray) -> np.ndarray:
+        return np.clip(np.where(votes >= 0, np.interp(votes, *self.steps), self.bare), 0.0, 1.0)
+
+    def evidence(self, p: Passages, best: np.ndarray) -> list[list[dict]]:
+        """The nearest examples of the passages ``best`` with their cosines."""
+        out: list[list[dict]] = [[] for _ in best]
+        have = np.flatnonzero(best >= 0)
+        for at in range(0, len(have), BATCH):
+            own = have[at : at + BATCH]
+            part = p.take(best[own])
+            for k, row in zip(own, self.products(part) / np.maximum(part.norms, 1e-300)[:, None], strict=True):
+                top = [x for x in np.lexsort((np.arange(len(row)), -row))[:SHOWN] if row[x] > 0]
+                out[k] = [{"id": str(self.ids[x]), "cosine": float(row[x]), "toxic": int(self.labels[x])} for x in top]
+        return out
+
+
+def _add_rows(total: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Adds to ``total`` the sums of ``values`` by row number; the numbers rise."""
+    if len(rows):
+        cuts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        total[rows[cuts]] += np.add.reduceat(values, cuts, axis=0)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Increasing fit of y by x (pool adjacent violators); one point for each x, smoothed by one example at its mean."""
+    """Increasing fit of y by x (pool adjacent violators), as points to interpolate between."""
     if not len(x):
         return np.array([0.0, 1.0]), np.array([0.0, 1.0])
     pools: list[list[float]] = []
@@ -148,30 +217,58 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array(xs), np.array(ys)
 
 
-def _per_document(rows: DataFrame, terms=None) -> DataFrame:
-    """(term, n): documents that hold each word, or each of the broadcast ``terms``; summed within each task first."""
+def build(examples: list[tuple[object, int, list[bytes]]], idf: dict[bytes, float], unknown: float) -> Index:
+    """Index of (id, label, words) over all terms of ``idf``; those of many examples have the first numbers."""
+    counts = [Counter(words) for _, _, words in examples]
+    have = Counter(w for c in counts for w in c)
+    many = len(examples) / RARE
+    order = sorted(have, key=lambda w: (have[w] < many, -have[w], w))
+    dense = sum(n >= many for n in have.values())
+    numbers = {w: k for k, w in enumerate(order)}
+    weights = np.array([idf[w] for w in order])
+    # examples with like terms stand together, so that block maxima are tight: the commonest terms tell the languages apart
+    sign = [(tuple(w not in c for w in order[: min(dense, 48)]), str(examples[k][0])) for k, c in enumerate(counts)]
+    ranks = sorted(range(len(examples)), key=sign.__getitem__)
+    blocks = -(-max(1, len(examples)) // BLOCK)
+    postings = np.zeros((blocks, dense, BLOCK))
+    lists, listed, listed_weights = [], [], []
+    for place, k in enumerate(ranks):
+        if counts[k]:
+            at = np.array([numbers[w] for w in counts[k]])
+            own = (1 + np.log(np.array(list(counts[k].values())))) * weights[at]
+            own /= np.sqrt(own @ own)
+            rare = at >= dense
+            postings[place // BLOCK, at[~rare], place % BLOCK] = own[~rare]
+            lists.append(at[rare] - dense)
+            listed.append(np.full(int(rare.sum()), place))
+            listed_weights.append(own[rare])
+    whole = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+    at = whole(lists, np.int64)
+    by_term = np.argsort(at, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(order) - dense))]).astype(np.int64)
+    labels = np.zeros(blocks * BLOCK)
+    labels[: len(ranks)] = [examples[k][1] for k in ranks]
+    ids = np.array([examples[k][0] for k in ranks] or [None], object)[: len(ranks)]
+    return Index(numbers, weights, unknown, ids, labels, np.argsort(ranks), postings, postings.max(axis=2).T, starts, whole(listed, np.int64)[by_term], whole(listed_weights, float)[by_term])
+
+
+def _document_counts(rows: DataFrame, terms) -> dict[bytes, int]:
+    """Documents that hold each of the broadcast ``terms``; summed within each task first."""
 
     def run(batches):
-        known = None if terms is None else terms.value
+        known = terms.value
         totals: Counter = Counter()
-
-        def counted():
-            return pa.RecordBatch.from_arrays([pa.array(totals, pa.binary()), pa.array(totals.values(), pa.int64())], names=["term", "n"])
-
         for batch in slices(batches):
             for raw in batch.column(0):
-                words = set(alnum_words(raw.as_py()))
-                totals.update(words if known is None else filter(known.__contains__, words))
-                if len(totals) > COUNTED:
-                    yield counted()
-                    totals.clear()
-        yield counted()
+                totals.update(known.intersection(alnum_words(raw.as_py())))
+        yield pa.RecordBatch.from_arrays([pa.array(totals, pa.binary()), pa.array(totals.values(), pa.int64())], names=["term", "n"])
 
-    return rows.mapInArrow(run, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    # one row a term of the bounded sample
+    return {bytes(r.term): r.n for r in rows.mapInArrow(run, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = EXAMPLES_PER_CLASS) -> tuple[Index, int]:
-    """Index of at most ``per_class`` examples of each label, and the number of documents; counts come from all documents."""
+def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = EXAMPLES_PER_CLASS) -> Index:
+    """Calibrated index of at most ``per_class`` examples of each label; document counts come from all documents."""
     context = docs.sparkSession.sparkContext
     known = labels.filter(train & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     totals = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -179,105 +276,62 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = EXAM
     # two classes of at most `per_class` ids: a bounded side
     sample = docs.select("doc_id", as_bytes().alias("raw")).join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "raw")
     # copies of one text are one example, else they would crowd out the other neighbours
-    sample = spool(sample.withColumn("raw", F.coalesce("raw", F.lit(b""))).groupBy("raw", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic", "raw"), "examples")
-
-    size = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    many = sum(size.values()) / RARE
-    # terms of many examples have the first numbers
-    terms = sorted(((bytes(t), n) for t, n in _per_document(sample.select("raw")).collect()), key=lambda x: (x[1] < many, x[0]))
-    dense = sum(n >= many for _, n in terms)
-    numbers = {t: k for k, (t, _) in enumerate(terms)}
-    shared = context.broadcast(numbers)
-    have = {bytes(r.term): r.n for r in _per_document(docs.select(as_bytes().alias("raw")), shared).collect()}
+    sample = sample.withColumn("raw", F.coalesce("raw", F.lit(b""))).groupBy("raw", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic", "raw")
+    examples = [(r.doc_id, r.toxic, alnum_words(bytes(r.raw))) for r in sample.orderBy("doc_id", "toxic", "raw").collect()]  # two classes of `per_class` at most
+    have = _document_counts(docs.select(as_bytes().alias("raw")), context.broadcast({w for *_, words in examples for w in words}))
     total = docs.count()
-    idf = np.array([np.log((total + 1) / (have.get(t, 0) + 1)) + 1 for t in numbers])
+    idf = {w: float(np.log((total + 1) / (have.get(w, 0) + 1))) + 1 for *_, words in examples for w in words}
+    index = build(examples, idf, float(np.log(total + 1)) + 1)
+    return calibrate(index, docs, examples, totals)
 
-    def vectors(batches):
-        index = Index(shared.value, idf, *[np.zeros(0)] * 6)
+
+def calibrate(index: Index, docs: DataFrame, examples: list, totals: dict[int, int]) -> Index:
+    """Isotonic steps from leave-one-out votes, each class weighed by how many rows an example stands for."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(index)
+    rows = [(int(place), t, b" ".join(words)) for place, (_, t, words) in zip(index.places, examples, strict=True)]
+
+    def run(batches):
+        index = shared.value
         for batch in slices(batches):
-            found = [index.vector(alnum_words(raw.as_py())) for raw in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.string()), batch.column(1), pa.array([x.tolist() for x, _ in found], pa.list_(pa.int64())), pa.array([w.tolist() for _, w in found], pa.list_(pa.float64()))],
-                names=["doc_id", "toxic", "at", "weight"],
-            )
-
-    examples = sample.mapInArrow(vectors, "doc_id string, toxic int, at array<long>, weight array<double>").toArrow().to_pylist()
-    # examples with like terms stand together, so that block maxima are tight
-    examples.sort(key=lambda r: (sorted(((w, a) for w, a in zip(r["weight"], r["at"], strict=True) if a < dense), reverse=True)[:2], r["doc_id"]))
-    truth = np.array([r["toxic"] for r in examples], np.int64)
-    scale = {c: totals.get(c, 0) / max(1, size.get(c, 0)) for c in (0, 1)}
-    scale = {c: x / (scale[1] or 1) for c, x in scale.items()}
-    blocks = -(-max(1, len(examples)) // BLOCK)
-    postings = np.zeros((blocks, dense, BLOCK))
-    pairs, own = [], []
-    for k, r in enumerate(examples):
-        at, weight = np.array(r["at"], np.int64), np.array(r["weight"])
-        own.append((at, weight))
-        rare = at >= dense
-        postings[k // BLOCK, at[~rare], k % BLOCK] = weight[~rare]
-        pairs.append((at[rare] - dense, np.full(rare.sum(), k), weight[rare]))
-    lists, listed, weights = (np.concatenate([np.zeros(0, kind), *x]) for x, kind in zip(list(zip(*pairs, strict=True)) or [[], [], []], (np.int64, np.int64, float), strict=True))
-    order = np.argsort(lists, kind="stable")
-    starts = np.concatenate([[0], np.cumsum(np.bincount(lists, minlength=len(terms) - dense))]).astype(np.int64)
-    index = Index(
-        numbers, idf, np.array([r["doc_id"] for r in examples], object), truth, np.array([scale[c] for c in truth]),
-        postings, postings.max(axis=2).T, np.array([bool(r["at"]) for r in examples], bool), starts, listed[order], weights[order],
-    )
-    return index.calibrate(own), total
+            votes, _, _ = index.text_votes([x.as_py().split() for x in batch.column(2)], batch.column(0).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(votes)], names=["toxic", "vote"])
+
+    table = spark.createDataFrame(rows, "place long, toxic int, words binary").repartition(max(1, min(64, len(rows) // 32)))
+    found = table.mapInArrow(run, "toxic int, vote double").collect()
+    truth, votes = np.array([r.toxic for r in found], float), np.array([r.vote for r in found], float)
+    size = {c: max(1, int((truth == c).sum())) for c in (0, 1)}
+    weight = np.array([totals.get(int(c), 0) / size[int(c)] for c in truth])
+    prior = float(np.average(truth, weights=weight)) if len(truth) else 0.0
+    bare = votes < 0
+    index.bare = float(np.average(truth[bare], weights=weight[bare])) if bare.any() else prior
+    index.steps = isotonic(votes[~bare], truth[~bare], weight[~bare])
+    return index
 
 
 def score(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES_PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) of every row of ``docs``.
 
-    ``evidence`` lists the nearest examples (id as text, cosine, label); cosines
-    are those of whole texts. Null, empty and other texts without a word of any
-    example score the rate of toxic ones among such examples. Without any
-    labelled row all scores are 0. Labelled rows whose id's crc32 leaves 1 on
-    division by 3 are never learned from. Repeated rows each give a row; null
-    labels and ids are not learned from.
+    ``evidence`` lists the nearest examples of the text's most toxic passage (id
+    as text, cosine, label). A word that no example has lengthens a passage as
+    one of no document would. Null, empty and other texts without a word of any
+    example score the rate of toxic ones among such examples (all examples if
+    there are none). Without any labelled row all scores are 0. Labelled rows
+    whose id's crc32 leaves 1 on division by 3 are never learned from. Repeated
+    rows each give a row; examples that tie with the last neighbour all vote;
+    an id labelled both ways is an example of both; null labels and ids are not
+    learned from. Other columns are ignored.
     """
-    index, total = fit(docs, labels, ~held_out(3, 1), per_class)
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-    other = pa.list_(pa.struct([("term", pa.binary()), ("weight", pa.float64())]))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, ~held_out(3, 1), per_class))
 
-    def search(batches):
-        index = shared.value
-        for batch in slices(batches):
-            squares, founds, dots, others = [], [], [], []
-            for raw in batch.column(3):
-                counts = Counter(alnum_words(raw.as_py()))
-                at, weight = index.numbered(counts)
-                square = float(weight @ weight)
-                found, cosines = index.nearest(at, weight / np.sqrt(square)) if len(at) else (at, weight)
-                squares.append(square)
-                founds.append(found)
-                dots.append(cosines)
-                others.append([(w, (1 + np.log(n)) ** 2) for w, n in counts.items() if w not in index.terms] if len(at) else [])
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(squares, pa.float64()), pa.array(founds, pa.list_(pa.int64())), pa.array(dots, pa.list_(pa.float64())), pa.array(others, other)],
-                names=["place", "doc_id", "held_out", "square", "found", "cosines", "others"],
-            )
-
-    def vote(batches):
+    def run(batches):
         index = shared.value
-        for batch in slices(batches):
-            scores, evidence = [], []
-            for square, more, found, cosines in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
-                found, cosines = np.array(found, np.int64), np.array(cosines, float)
-                # the search knew only the words that examples have
-                cosines = cosines * np.sqrt(square / (square + more)) if square else cosines
-                scores.append(min(1.0, max(0.0, index.score(found, cosines))))
-                evidence.append([{"id": str(index.ids[k]), "cosine": float(c), "toxic": int(index.labels[k])} for k, c in zip(found, cosines, strict=True)])
-            kind = pa.list_(pa.struct([("id", pa.string()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=["doc_id", "held_out", "score", "evidence"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("place"), "doc_id", held_out(3, 1).alias("held_out"), as_bytes().alias("raw"))
+        kind = pa.list_(pa.struct([("id", pa.string()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
+        for batch in slices(batches, 1 << 20):
+            votes, best, p = index.text_votes([alnum_words(raw.as_py()) for raw in batch.column(2)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(index.scores(votes)), pa.array(index.evidence(p, best), kind)], names=["doc_id", "held_out", "score", "evidence"])
+
+    rows = docs.select("doc_id", held_out(3, 1).alias("held_out"), as_bytes().alias("raw"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    near = spool(rows.mapInArrow(search, f"place long, doc_id {kind}, held_out boolean, square double, found array<long>, cosines array<double>, others array<struct<term:binary,weight:double>>"), "nearest")
-    words = near.select("place", F.inline("others"))
-    counts = words.groupBy("term").agg(F.count("*").alias("n"))
-    idf = F.log(F.lit(total + 1.0) / (F.col("n") + 1)) + 1
-    more = words.join(counts, "term").groupBy("place").agg(F.sum(F.col("weight") * idf * idf).alias("more"))
-    whole = near.join(more, "place", "left").select("doc_id", "held_out", "square", F.coalesce("more", F.lit(0.0)).alias("more"), "found", "cosines")
-    scored = whole.mapInArrow(vote, f"doc_id {kind}, held_out boolean, score double, evidence array<struct<id:string,cosine:double,toxic:int>>")
+    scored = rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, evidence array<struct<id:string,cosine:double,toxic:int>>")
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
