@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from .spool import discard, spool
 
 
+#: Parts that a node's edges are dealt out to where they meet its least neighbour.
+SALTS = 16
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges`` joined to (u, m) on u; a node with very many edges is spread over ``SALTS`` tasks."""
+    salt = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int").alias("salt")
+    copies = least.select("u", "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return edges.select("u", "v", salt).join(copies, ["u", "salt"])
+
+
 def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
 
@@ -16,13 +27,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of u is linked to u's smallest neighbour (or u itself)."""
     both = edges.union(edges.select("v", "u"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _with_least(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """u and its smaller neighbours are linked to the smallest of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = _with_least(edges, least).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return least.select("u", F.col("m").alias("v")).union(moved).distinct()
 
 

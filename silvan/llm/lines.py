@@ -1,11 +1,13 @@
 """Line dedup by a segment-partition edit join.
 
-Two lines are near-duplicates at ``EDITS`` character edits or fewer. A line is
-cut into EDITS + 1 even segments; a line within EDITS edits contains one of them
-unchanged, not far from its place. Every line is indexed by its segments and
-probes, for each length it could match, the substrings that the lengths allow
-(multi-match-aware selection). Lines that share a key are verified by a banded
-bit-parallel edit distance. Equal lines are one item throughout.
+An edit inserts, deletes or replaces one word. Two lines are near-duplicates at
+so many edits as the shorter one's length allows (``EDITS``): one from 5 words,
+two from 10. A line is cut into threshold-plus-one even segments; a line within
+the threshold contains one of them unchanged, not far from its place. Every line
+is indexed by its segments and probes, for each length it could match, the runs
+of words that the lengths allow (multi-match-aware selection). Lines that share
+a key are verified by a banded bit-parallel edit distance. Equal lines, of any
+length, are one item throughout.
 """
 
 from __future__ import annotations
@@ -18,31 +20,33 @@ from pyspark.sql import functions as F
 
 from .buckets import link_buckets, shared_keys
 from .components import components
-from .spool import spool
-from .text import as_bytes, slices
+from .spool import discard, spool
+from .text import as_bytes, slices, to_batch
 
-EDITS = 2
-#: Shorter lines (of normalised characters) have no near-duplicates, only equal ones.
-MIN_CHARS = 20
+#: (words of the shorter line at least, edits allowed); shorter lines have no near-duplicates, only equal ones.
+EDITS = ((10, 2), (5, 1))
 #: Lines of a bucket that one task compares at a time.
 BLOCK = 1 << 14
-#: Line hashes that a task remembers, so as not to emit a repeated line's keys again.
-REMEMBERED = 1 << 20
+#: Line hashes that a task remembers, so as not to pass a repeated line's text on again.
+REMEMBERED = 1 << 19
 
 
 def normal(line: bytes) -> bytes:
     return b" ".join(line.split())
 
 
-def line_hash(line: bytes) -> int:
-    return xxhash.xxh64_intdigest(line) - (1 << 63)
+def line_hash(line: bytes) -> tuple[int, int]:
+    """128-bit hash as two signed numbers."""
+    h = xxhash.xxh3_128_intdigest(line)
+    return (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)
 
 
-def comparable(line: bytes) -> bool:
-    return len(line) >= MIN_CHARS and len(line.decode("utf-8", "replace")) >= MIN_CHARS
+def edits_of(words: int) -> int:
+    """Edits that a line of so many words may differ by."""
+    return next((edits for least, edits in EDITS if words >= least), 0)
 
 
-def segments(length: int, edits: int = EDITS) -> list[tuple[int, int]]:
+def segments(length: int, edits: int) -> list[tuple[int, int]]:
     """(start, size) of the even segments of a line; the last ones are longer."""
     size, more = divmod(length, edits + 1)
     out, at = [], 0
@@ -53,23 +57,25 @@ def segments(length: int, edits: int = EDITS) -> list[tuple[int, int]]:
     return out
 
 
-def keys_of(text: str, edits: int = EDITS) -> set[int]:
-    """Keys of a line's segments and of the substrings that may be a shorter or equal line's segment."""
-    n = len(text)
+def keys_of(words: list[bytes]) -> set[int]:
+    """Keys of a line's segments and of the runs of words that may be a shorter or equal line's segment."""
+    n = len(words)
     out = set()
-    for length in range(max(MIN_CHARS, n - edits), n + 1):
-        more = n - length
+    for length in range(max(1, n - edits_of(n)), n + 1):
+        edits, more = edits_of(length), n - length
+        if not edits or more > edits:
+            continue
         for k, (at, size) in enumerate(segments(length, edits)):
             low = max(0, at - k, at + more - (edits - k))
             high = min(n - size, at + k, at + more + (edits - k))
             seed = length * 64 + k
             for start in range(low, high + 1):
-                out.add(xxhash.xxh64_intdigest(text[start : start + size].encode("utf-8", "surrogatepass"), seed) - (1 << 63))
+                out.add(xxhash.xxh64_intdigest(b" ".join(words[start : start + size]), seed) - (1 << 63))
     return out
 
 
-def within(a: str, b: str, edits: int = EDITS) -> bool:
-    """Whether the edit distance is ``edits`` at most."""
+def within(a: tuple, b: tuple, edits: int) -> bool:
+    """Whether the edit distance of two sequences is ``edits`` at most."""
     if abs(len(a) - len(b)) > edits:
         return False
     if a == b:
@@ -82,7 +88,13 @@ def within(a: str, b: str, edits: int = EDITS) -> bool:
     return len(a) <= edits if not b else _banded(a, b, edits) <= edits
 
 
-def _trim(a: str, b: str) -> tuple[str, str]:
+def near(a: tuple, b: tuple) -> bool:
+    """Whether two lines, as words, are near-duplicates."""
+    edits = edits_of(min(len(a), len(b)))
+    return edits > 0 and within(a, b, edits)
+
+
+def _trim(a: tuple, b: tuple) -> tuple[tuple, tuple]:
     """Both without their common prefix."""
     low, high = 0, min(len(a), len(b))
     while low < high:
@@ -94,23 +106,23 @@ def _trim(a: str, b: str) -> tuple[str, str]:
     return a[low:], b[low:]
 
 
-def _banded(a: str, b: str, edits: int) -> int:
+def _banded(a: tuple, b: tuple, edits: int) -> int:
     """Edit distance of a and the shorter b, if ``edits`` at most; else a larger number.
 
     One word holds the vertical differences of a band of 2 * edits + 1 diagonals
-    and moves down a row with each character of b.
+    and moves down a row with each item of b.
     """
     band = 2 * edits + 2
     full = (1 << band) - 1
     top, side = 1 << band - 1, 1 << band - 2
-    places: dict[str, int] = {}
-    for k, char in enumerate(a):
-        places[char] = places.get(char, 0) | 1 << k
+    places: dict = {}
+    for k, item in enumerate(a):
+        places[item] = places.get(item, 0) | 1 << k
     plus, minus, distance = full << band - edits - 1 & full, 0, edits
     shift = edits + 1 - band
     limit = edits + min(len(b), len(a) - edits) - len(a) + len(b) + edits
-    for k, char in enumerate(b):
-        at = places.get(char, 0)
+    for k, item in enumerate(b):
+        at = places.get(item, 0)
         match = (at >> shift if shift >= 0 else at << -shift) & full
         diagonal = (((match & plus) + plus) ^ plus | match | minus) & full
         across = (minus | ~(diagonal | plus)) & full
@@ -128,28 +140,29 @@ def _banded(a: str, b: str, edits: int) -> int:
     return distance
 
 
-def forest(items: np.ndarray, raws: np.ndarray, edits: int = EDITS) -> tuple[np.ndarray, np.ndarray]:
+def forest(items: np.ndarray, raws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (member, first found) of the components of one bucket of lines.
 
-    A search compares a line with those not reached so far. Character counts
-    differ by two for each edit at most, which rules out almost all others at once.
+    A search compares a line with those not reached so far. Word counts differ
+    by two for each edit at most, which rules out almost all others at once.
     """
     items, at = np.unique(items, return_index=True)
     a, b = [], []
     if len(items) > 1:
-        texts = [raws[k].decode("utf-8", "replace") for k in at]
+        lines = [tuple(raws[k].split(b" ")) for k in at]
         if len(items) == 2:
-            left, right = ([items[1]], [items[0]]) if within(*texts, edits) else ([], [])
+            left, right = ([items[1]], [items[0]]) if near(*lines) else ([], [])
             return np.array(left, np.int64), np.array(right, np.int64)
-        counts = np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) & 63, minlength=64) for t in texts]).astype(np.int32)
+        counts = np.stack([np.bincount([xxhash.xxh32_intdigest(w) & 63 for w in line], minlength=64) for line in lines]).astype(np.int32)
+        most = 2 * max(edits for _, edits in EDITS)
         left = np.arange(len(items))
         while len(left) > 1:
             seed, left = left[0], left[1:]
             queue = [seed]
             while queue and len(left):
                 x = queue.pop()
-                near = np.abs(counts[left] - counts[x]).sum(axis=1) <= 2 * edits
-                new = [k for k in left[near] if within(texts[x], texts[k], edits)]
+                like = np.abs(counts[left] - counts[x]).sum(axis=1) <= most
+                new = [k for k in left[like] if near(lines[x], lines[k])]
                 if new:
                     left = left[~np.isin(left, new)]
                     a.extend(items[new])
@@ -158,123 +171,153 @@ def forest(items: np.ndarray, raws: np.ndarray, edits: int = EDITS) -> tuple[np.
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def forests(keys: np.ndarray, items: np.ndarray, raws: np.ndarray, edits: int = EDITS):
+def forests(keys: np.ndarray, items: np.ndarray, raws: np.ndarray):
     cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
-    found = [forest(items[x:y], raws[x:y], edits) for x, y in zip(cuts[:-1], cuts[1:], strict=True) if y - x > 1]
+    found = [forest(items[x:y], raws[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True) if y - x > 1]
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *(x for x, _ in found)]), np.concatenate([none, *(y for _, y in found)])
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(place, id, line, hash) of every line that is not blank."""
-    rows = docs.select(F.monotonically_increasing_id().alias("place"), "doc_id", as_bytes().alias("raw"))
+def _lines(rows: DataFrame) -> DataFrame:
+    """(place, doc_id, line, h1, h2) of every line that is not blank, and for each row one with the count of its lines.
+
+    In the latter ``line`` is -1 and ``h1`` the count. ``rows`` has place, doc_id and raw.
+    """
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in slices(batches):
-            rowsat, numbers, hashes = [], [], []
+            rowsat, numbers, ones, twos = [], [], [], []
             for k, raw in enumerate(batch.column(2)):
-                for number, line in enumerate((raw.as_py() or b"").split(b"\n")):
-                    line = normal(line)
-                    if line:
-                        rowsat.append(k)
-                        numbers.append(number)
-                        hashes.append(line_hash(line))
+                own = (raw.as_py() or b"").split(b"\n")
+                found = [(-1, len(own), 0), *((number, *line_hash(line)) for number, line in enumerate(map(normal, own)) if line)]
+                for have, new in zip((numbers, ones, twos), zip(*found, strict=True), strict=True):
+                    have.extend(new)
+                rowsat.extend([k] * len(found))
             at = pa.array(rowsat, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(hashes, pa.int64())], names=["place", "doc_id", "line", "hash"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64())], names=["place", "doc_id", "line", "h1", "h2"])
 
-    return rows.mapInArrow(run, f"place long, doc_id {kind}, line int, hash long")
+    return rows.mapInArrow(run, f"place long, doc_id {kind}, line int, h1 long, h2 long")
 
 
-def _distinct_in_task(batches):
-    """Normalised comparable lines of raw texts with their hashes, without most repeats."""
-    seen: set[int] = set()
-    for batch in slices(batches):
-        for raw in batch.column(0):
-            for line in (raw.as_py() or b"").split(b"\n"):
-                line = normal(line)
-                if comparable(line):
-                    h = line_hash(line)
-                    if h not in seen:
-                        if len(seen) >= REMEMBERED:
-                            seen.clear()
-                        seen.add(h)
-                        yield h, line
+def _distinct(raws: DataFrame) -> DataFrame:
+    """(item, h1, h2, text): the distinct lines that may have near-duplicates, numbered once for all."""
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("text", pa.binary())])
+    least = min(words for words, _ in EDITS)
+
+    def run(batches):
+        seen: set = set()
+        for batch in slices(batches, 4 << 20):
+            out = {f.name: [] for f in schema}
+            for raw in batch.column(0):
+                for line in (raw.as_py() or b"").split(b"\n"):
+                    words = line.split()
+                    if len(words) >= least:
+                        line = b" ".join(words)
+                        h = line_hash(line)
+                        if h not in seen:
+                            if len(seen) >= REMEMBERED:
+                                seen.clear()
+                            seen.add(h)
+                            for have, new in zip(out.values(), (*h, line), strict=True):
+                                have.append(new)
+            yield to_batch(out, schema)
+
+    lines = raws.mapInArrow(run, "h1 long, h2 long, text binary").groupBy("h1", "h2").agg(F.first("text").alias("text"))
+    return spool(lines.select(F.monotonically_increasing_id().alias("item"), "h1", "h2", "text"), "lines")
 
 
 def _keyed(batches):
-    keys, items = [], []
-    for h, line in _distinct_in_task(batches):
-        own = keys_of(line.decode("utf-8", "replace"))
-        keys.extend(own)
-        items.extend([h] * len(own))
-        if len(keys) > 1 << 16:
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(items, pa.int64())], names=["key", "item"])
-            keys, items = [], []
-    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(items, pa.int64())], names=["key", "item"])
-
-
-def _texts(batches):
-    hashes, lines, size = [], [], 0
-    for h, line in _distinct_in_task(batches):
-        hashes.append(h)
-        lines.append(line)
-        size += len(line)
-        if size > 4 << 20:
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(lines, pa.binary())], names=["item", "extra"])
-            hashes, lines, size = [], [], 0
-    yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(lines, pa.binary())], names=["item", "extra"])
-
-
-def line_classes(docs: DataFrame) -> DataFrame:
-    """(node, root) of every line hash that has a near-duplicate of other text."""
-    raws = docs.select(as_bytes().alias("raw"))
-    pairs = spool(shared_keys(raws.mapInArrow(_keyed, "key long, item long")), "keys")
-    wanted = pairs.select("item").distinct()
-    texts = raws.mapInArrow(_texts, "item long, extra binary").join(wanted, "item", "left_semi").groupBy("item").agg(F.first("extra").alias("extra"))
-    return components(link_buckets(pairs.join(texts, "item").select("key", "item", "extra"), forests, forest, BLOCK), "a", "b")
-
-
-def repeats(docs: DataFrame) -> DataFrame:
-    """(place, line) of every line that repeats, exactly or nearly, an earlier one.
-
-    Lines come in the order of doc_id (null ids last), place and line number.
-    """
-    lines = spool(_lines(docs), "lines")
-    roots = line_classes(docs)
-    classed = lines.join(roots, lines.hash == roots.node, "left").select("place", "doc_id", "line", F.coalesce("root", "hash").alias("class"))
+    names = ["key", "item"]
+    for batch in slices(batches, 4 << 20):
+        keys, items = [], []
+        for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own = keys_of(text.as_py().split(b" "))
+            keys.extend(own)
+            items.extend([item] * len(own))
+            if len(keys) > 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(items, pa.int64())], names=names)
+                keys, items = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(items, pa.int64())], names=names)
+
+
+def line_classes(rows: DataFrame) -> DataFrame:
+    """(h1, h2, root) of every line that has a near-duplicate of other text; ``rows`` has the texts as ``raw``."""
+    lines = _distinct(rows.select("raw"))
+    pairs = spool(shared_keys(lines.select("item", "text").mapInArrow(_keyed, "key long, item long")), "keys")
+    texts = pairs.join(lines.select("item", F.col("text").alias("extra")), "item").select("key", "item", "extra")
+    roots = components(link_buckets(texts, forests, forest, BLOCK), "a", "b")
+    out = spool(lines.join(roots, lines.item == roots.node).select("h1", "h2", "root"), "roots")
+    discard(pairs, lines)
+    return out
+
+
+def _classed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Line table with each line's class (c1, c2, near), and the classes of more than one line: their size and first line."""
+    lines = spool(_lines(rows), "places")
+    roots = line_classes(rows)
+    none = F.lit(0).cast("long")
+    named = lines.join(roots, ["h1", "h2"], "left").select(
+        "place", "doc_id", "line", F.coalesce("root", "h1").alias("c1"), F.when(F.col("root").isNull(), F.col("h2")).otherwise(none).alias("c2"), F.col("root").isNotNull().alias("near")
+    )
+    classed = spool(named, "classed")
+    discard(lines)
     order = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "place", "line")
-    first = classed.groupBy("class").agg(F.count("*").alias("n"), F.min(order).alias("first")).filter("n > 1")
+    first = classed.filter("line >= 0").groupBy("c1", "c2", "near").agg(F.count("*").alias("n"), F.min(order).alias("first")).filter("n > 1")
+    # written, so that the join after it reads both sides from their own shuffles and a hot class can be split
+    return classed, spool(first, "classes")
+
+
+def repeats(rows: DataFrame) -> DataFrame:
+    """(place, n_lines, n_links, class_id, dropped, kept_in) of every row of ``rows`` (place, doc_id, raw).
+
+    Lines come in the order of doc_id (null ids last), place and line number;
+    of each class the first one stays.
+    """
+    classed, classes = _classed(rows)
     again = (F.col("first.place") != F.col("place")) | (F.col("first.line") != F.col("line"))
-    return classed.join(first, "class").filter(again).select("place", "line")
+    linked = classed.filter("line >= 0").join(classes, ["c1", "c2", "near"]).select(
+        "place", (F.col("n") - 1).alias("links"), F.col("first.doc_id").alias("kept"), F.when(again, F.struct("line", F.col("first.doc_id").alias("kept"))).alias("gone"), F.lit(None).cast("long").alias("n_lines")
+    )
+    heads = classed.filter("line < 0").select("place", F.lit(0).cast("long").alias("links"), F.lit(None).alias("kept"), F.lit(None).alias("gone"), F.col("c1").alias("n_lines"))
+    # a row's list is no longer than its lines
+    per_row = linked.unionByName(heads).groupBy("place").agg(F.max("n_lines").alias("n_lines"), F.sum("links").alias("n_links"), F.min("kept").alias("class_id"), F.sort_array(F.collect_list("gone")).alias("gone"))
+    return per_row.select("place", "n_lines", "n_links", "class_id", F.col("gone.line").alias("dropped"), F.col("gone.kept").alias("kept_in"))
+
+
+def _numbered(docs: DataFrame, *more) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("place"), "doc_id", as_bytes().alias("raw"), *more)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, dropped) of every row of ``docs``.
+    """(doc_id, n_lines, n_dropped, dropped, kept_in, n_links, class_id) of every row of ``docs``.
 
     ``n_lines`` counts lines between line feeds (one for a null or empty text),
-    ``dropped`` lists those removed, from 0. Lines are compared with white space
-    collapsed; blank ones stay, and lines under ``MIN_CHARS`` characters go only
-    where they equal an earlier one. Near classes are closed under links of
-    ``EDITS`` edits. A repeated row is a copy:
-    the later one loses its lines. Other columns are ignored. ``docs`` must be a
-    table scan (places are those of the files).
+    ``dropped`` lists those removed, from 0, and ``kept_in`` the documents that
+    keep the first line of their classes. ``n_links`` counts, over all lines of
+    the row, the other lines of their classes; ``class_id`` is the least
+    document that keeps one of them, null without a link. Lines are compared
+    with white space collapsed; blank ones stay, and those of fewer than five
+    words go only where they equal an earlier one. Near classes are closed under
+    links. A repeated row is a copy: the later one loses its lines. Rows are
+    numbered once, in a table that all later steps read. Other columns are ignored.
     """
-    gone = repeats(docs).groupBy("place").agg(F.sort_array(F.collect_list("line")).alias("dropped"))
-    rows = docs.select(F.monotonically_increasing_id().alias("place"), "doc_id", F.size(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).cast("long").alias("n_lines"))
-    return rows.join(gone, "place", "left").select(
-        "doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("dropped", F.expr("cast(array() as array<int>)")).alias("dropped")
+    rows = spool(_numbered(docs), "rows")
+    ids = rows.select("place", "doc_id")
+    return ids.join(repeats(rows), "place").select(
+        "doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), "dropped", "kept_in", "n_links", "class_id"
     )
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """``docs`` without repeated lines; every row stays, all columns of the input in order.
 
-    ``n_chars``, where the input has it, is recomputed for changed texts.
+    ``n_chars``, where the input has it, is recomputed for changed texts. Nulls,
+    ties and repeated rows are as in ``report``.
     """
-    gone = repeats(docs).groupBy("place").agg(F.collect_set("line").alias("dropped"))
-    placed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), F.monotonically_increasing_id().alias("place"))
-    joined = placed.join(gone, "place", "left")
+    rows = spool(_numbered(docs, F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row")), "rows")
+    gone = repeats(rows.select("place", "doc_id", "raw")).filter(F.size("dropped") > 0).select("place", "dropped")
+    joined = rows.select("place", "_row").join(gone, "place", "left")
     text = F.col("_row.text")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, k: ~F.array_contains("dropped", k)), "\n")
     new = joined.withColumn("_new", F.when(F.col("dropped").isNull(), text).otherwise(kept))
