@@ -9,6 +9,8 @@ hash into shards of bounded size that pack on their own, so only lengths move.
 
 from __future__ import annotations
 
+from typing import Any
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -73,29 +75,32 @@ def best_fit(lengths, sources, clusters, capacity: int = CAPACITY) -> np.ndarray
     return out
 
 
-def lengths(docs: DataFrame) -> DataFrame:
-    """(place, doc_id, source, n_words, cluster) of every row; the cluster is a hash of the lower-cased words."""
+def lengths(docs: DataFrame, near: bool = False) -> DataFrame:
+    """(place, doc_id, source, n_words, cluster) of every row, written once: places stay what they are.
+
+    The cluster is a hash of the lower-cased words or, where ``near`` is set,
+    the SimHash class, which holds all copies of a text and its near copies.
+    """
     rows = docs.select(F.monotonically_increasing_id().alias("place"), "doc_id", F.col("source").cast("string").alias("source"), as_bytes().alias("raw"))
 
     def run(batches):
         for batch in slices(batches):
             counts, clusters = [], []
             for raw in batch.column(3):
-                words = (raw.as_py() or b"").lower().split()
+                raw = raw.as_py() or b""
+                words = raw.lower().split()
                 counts.append(len(words))
-                clusters.append(xxhash.xxh64_intdigest(b" ".join(words)) - (1 << 63))
+                own = simhash.fingerprint(raw) if near else xxhash.xxh64_intdigest(b" ".join(words))
+                clusters.append(own - (1 << 64) if own >> 63 else own)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts, pa.int64()), pa.array(clusters, pa.int64())], names=["place", "doc_id", "source", "n_words", "cluster"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"place long, doc_id {kind}, source string, n_words long, cluster long")
-
-
-def near_clusters(docs: DataFrame) -> DataFrame:
-    """``lengths`` with the SimHash class as cluster: it holds all copies of a text and its near copies."""
-    rows = lengths(docs)
-    prints = spool(simhash.fingerprints(docs.withColumn("place", F.monotonically_increasing_id()), "place"), "prints")
-    roots = prints.join(simhash.classes(prints), "fp").select("place", "root")
-    return rows.join(roots, "place").select("place", "doc_id", "source", "n_words", F.col("root").alias("cluster"))
+    found = spool(rows.mapInArrow(run, f"place long, doc_id {kind}, source string, n_words long, cluster long"), "lengths")
+    if not near:
+        return found
+    roots = simhash.classes(found.select(F.col("cluster").alias("fp")))
+    joined = found.join(roots, found.cluster == roots.fp).select("place", "doc_id", "source", "n_words", F.col("root").alias("cluster"))
+    return spool(joined, "clusters")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, near: bool = False) -> DataFrame:
@@ -104,11 +109,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, near: bo
     A document of more than ``capacity`` words is cut into pieces; every word is
     placed once. Bins hold at most ``capacity`` words, and no two pieces of one
     source or one duplicate cluster: exact copies or, where ``near`` is set,
-    near-duplicate classes under SimHash (``docs`` must be a table scan). Null, empty and blank texts give one piece
+    near-duplicate classes under SimHash. Null, empty and blank texts give one piece
     of no words with null bin and start. Repeated rows are duplicates of each
     other and never share a bin. Other columns are ignored.
     """
-    rows = spool(near_clusters(docs) if near else lengths(docs), "lengths")
+    rows = lengths(docs, near)
     pieces = rows.filter("n_words > 0").select(
         "place", "doc_id", "source", "cluster", "n_words",
         F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n_words - 1) div {capacity}"))).alias("piece"),
@@ -117,7 +122,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, near: bo
     shards = max(1, -(-total // shard))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["n_words", "place", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         bins = best_fit(group.n_words.tolist(), group.source.tolist(), group.cluster.tolist(), capacity)
         start = group.n_words.groupby(bins).cumsum() - group.n_words

@@ -194,15 +194,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each class the row with the least doc_id stays.
 
-    Rows are told apart by their place in the table, so repeated rows and null
-    ids are safe: among equal ids the first place stays, a null id only where
-    no other is. ``docs`` must be a table scan (places are those of the files).
+    Rows are numbered once, in a table that all later steps read, so repeated
+    rows and null ids are safe: among equal ids the first place stays, a null
+    id only where no other is. Null, empty and blank texts are one class.
     """
-    placed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), F.monotonically_increasing_id().alias("_place"))
-    source = placed.select(F.col("_row.doc_id").alias("_id"), "_place", F.col("_row.text").alias("text"))
+    rows = spool(docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), F.monotonically_increasing_id().alias("_place")), "rows")
+    source = rows.select(F.col("_row.doc_id").alias("_id"), "_place", F.col("_row.text").alias("text"))
     prints = spool(fingerprints(source, "_id", "_place"), "prints")
     order = F.struct(F.col("_id").isNull().alias("x"), "_id", "_place")
     first = prints.groupBy("fp").agg(F.min(order).alias("least"))
     stay = classes(prints).join(first, "fp").groupBy("root").agg(F.min("least").alias("least")).select(F.col("least._place").alias("_place"))
-    kept = placed.join(stay, "_place", "left_semi")
+    kept = rows.join(stay, "_place", "left_semi")
     return kept.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
