@@ -3,18 +3,20 @@
 All rolling word pairs of all documents are joined, by hash, to their places in
 the templates. A match votes for the diagonal (document place minus template
 place). An exact phrase fills its diagonal; a longer template may be edited, so
-neighbouring diagonals are merged and the span verified by the share of the
-template's pairs that it holds, on a second hash of each pair.
+neighbouring diagonals are merged into bands of bounded width, which bounds the
+span too. A band is verified by its longest chain of matches that rise in both
+the document and the template: the share of the template's pairs it holds.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .text import alnum_words, as_bytes, slices
 
@@ -38,7 +40,7 @@ TEMPLATES = (
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
 )
 
-#: Diagonals this far apart belong together (words added or left out in between).
+#: Diagonals this far apart at most make up a band (words added or left out in between).
 MAX_SHIFT = 3
 #: Share of a template's pairs that a span must hold.
 MIN_COVERAGE = 0.7
@@ -57,87 +59,119 @@ def pair_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _template_rows(spark, phrases, templates) -> DataFrame:
-    """(h, check, tid, tpos, pairs, label, base) for each pair of each template: a stated, small set."""
-    rows = []
-    for base, texts in ((True, [(label, text) for text, label in phrases]), (False, templates)):
-        for label, text in texts:
-            first, second = pair_hashes(alnum_words(text.encode()))
-            rows += [(int(h), int(c), 2 * texts.index((label, text)) + base, k, len(first), label, base) for k, (h, c) in enumerate(zip(first, second, strict=True))]
-    return spark.createDataFrame(rows, "h long, check long, tid int, tpos int, pairs int, label string, base boolean")
+    """(h, check, tid, tpos) for each pair of each template, a stated, small set, and one row that rows' heads meet."""
+    rows = [(0, 0, -1, 0)]
+    for tid, (text, _, _) in enumerate(_numbered(phrases, templates)):
+        first, second = pair_hashes(alnum_words(text.encode()))
+        rows += [(int(h), int(c), tid, k) for k, (h, c) in enumerate(zip(first, second, strict=True))]
+    return spark.createDataFrame(rows, "h long, check long, tid int, tpos int")
+
+
+def _numbered(phrases, templates) -> list[tuple[str, str, bool]]:
+    """(text, label, whether it must stand there word by word) of each template."""
+    return [(text, label, True) for text, label in phrases] + [(text, label, False) for label, text in templates]
 
 
-def spans(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
-    """(place, tid, label, base, first, last, coverage): every verified span.
+def chain(matches: list[tuple[int, int]]) -> int:
+    """Length of the longest chain of (document place, template place) that rises in both."""
+    least: list[int] = []
+    for _, place in sorted(matches, key=lambda m: (m[0], -m[1])):
+        at = bisect_left(least, place)
+        least[at : at + 1] = [place]
+    return len(least)
 
-    ``place`` is the row's place in the table. ``first`` and ``last`` are the
-    words where the span starts and where its last pair starts.
+
+def bands(diagonals: dict[int, list[int]], pairs: int) -> list[tuple[int, int, float]]:
+    """(first, last, coverage) of the verified spans of one template; ``diagonals`` has the template places matched on each.
+
+    Every diagonal starts a band of it and the next ``MAX_SHIFT``. Of bands
+    that share a diagonal the one with the best coverage stays, then the first.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("place"), as_bytes().alias("raw"))
+    found = []
+    for low in diagonals:
+        own = [(d + t, t) for d in range(low, low + MAX_SHIFT + 1) for t in diagonals.get(d, ())]
+        if len(own) >= MIN_COVERAGE * pairs:
+            coverage = chain(own) / pairs
+            if coverage >= MIN_COVERAGE:
+                found.append((-coverage, low, min(own)[0], max(own)[0]))
+    out, taken = [], []
+    for less, low, first, last in sorted(found):
+        if all(abs(low - other) > MAX_SHIFT for other in taken):
+            taken.append(low)
+            out.append((first, last, -less))
+    return sorted(out)
+
+
+def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
+    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans) of every row of ``docs``.
+
+    ``spans`` lists (label, base, first, last, coverage): the words where a
+    span's first and last pairs start. A null text counts as empty. Without a
+    base place, ``n_base`` is 0, the words null and ``base_labels`` the empty
+    string. ``labels`` adds those of the templates; ``score`` is the best
+    coverage, 0 without any span. Repeated rows each give a row; other columns
+    are ignored. Rows are numbered in the one pass that reads them.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("place"), "doc_id", as_bytes().alias("raw"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    every = _numbered(phrases, templates)
+    sizes = [len(alnum_words(text.encode())) - 1 for text, _, _ in every]
 
-    def run(batches):
+    def hashed(batches):
+        """Rows of pair hashes, for long texts several; before them each text's head, with pair 0 at place -1."""
         for batch in slices(batches, 2 << 20):
-            places, starts, firsts, seconds = [], [], [], []
-            for place, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                first, second = pair_hashes(alnum_words(raw.as_py()))
-                for at in range(0, len(first), 1 << 16):  # long texts: several rows, so that none is huge
-                    places.append(place)
+            owners, words, starts, firsts, seconds = [], [], [], [], []
+            for k, raw in enumerate(batch.column(2)):
+                found = alnum_words(raw.as_py())
+                first, second = pair_hashes(found)
+                zero = np.zeros(1, np.int64)
+                parts = [(-1, zero, zero)] + [(at, first[at : at + (1 << 16)], second[at : at + (1 << 16)]) for at in range(0, len(first), 1 << 16)]
+                for at, one, two in parts:
+                    owners.append(k)
+                    words.append(len(found) if at < 0 else None)
                     starts.append(at)
-                    firsts.append(first[at : at + (1 << 16)])
-                    seconds.append(second[at : at + (1 << 16)])
-            pairs = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)]).astype(np.int32), np.concatenate([np.zeros(0, np.int64), *x])) for x in (firsts, seconds)]
-            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(starts, pa.int64()), *pairs], names=["place", "at", "h", "c"])
-
-    arrays = rows.mapInArrow(run, "place long, at long, h array<long>, c array<long>")
-    grams = arrays.select("place", "at", F.posexplode(F.arrays_zip("h", "c")).alias("k", "g")).select("place", (F.col("at") + F.col("k")).alias("pos"), F.col("g.h").alias("h"), F.col("g.c").alias("c"))
+                    firsts.append(one)
+                    seconds.append(two)
+            lists = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)]).astype(np.int32), np.concatenate([np.zeros(0, np.int64), *x])) for x in (firsts, seconds)]
+            at = pa.array(owners, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(words, pa.int64()), pa.array(starts, pa.int64()), *lists], names=["place", "doc_id", "n_words", "at", "h", "c"])
+
+    arrays = rows.mapInArrow(hashed, f"place long, doc_id {kind}, n_words long, at long, h array<long>, c array<long>")
+    grams = arrays.select("place", "doc_id", "n_words", "at", F.posexplode(F.arrays_zip("h", "c")).alias("k", "g")).select("place", "doc_id", "n_words", (F.col("at") + F.col("k")).alias("pos"), F.col("g.h").alias("h"), F.col("g.c").alias("c"))
     known = F.broadcast(_template_rows(docs.sparkSession, phrases, templates))
     votes = (
         grams.join(known, "h")
         .filter("c = check")
-        .groupBy("place", "tid", "label", "base", "pairs", (F.col("pos") - F.col("tpos")).alias("diagonal"))
-        .agg(F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set("tpos").alias("held"))
+        .groupBy("place", "tid", (F.col("pos") - F.col("tpos")).alias("diagonal"))
+        .agg(F.collect_set("tpos").alias("held"), F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"))
     )
-    exact = votes.filter("base and votes = pairs").select("place", "tid", "label", "base", "first", "last", F.lit(1.0).alias("coverage"))
-    along = Window.partitionBy("place", "tid").orderBy("diagonal")
-    fresh = F.col("diagonal") - F.lag("diagonal").over(along) > MAX_SHIFT
-    merged = (
-        votes.filter("not base")
-        .withColumn("fresh", F.coalesce(fresh, F.lit(False)).cast("int"))
-        .withColumn("band", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("place", "tid", "label", "base", "pairs", "band")
-        .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.array_distinct(F.flatten(F.collect_list("held"))).alias("held"))
-        .withColumn("coverage", F.size("held") / F.col("pairs"))
-        .filter(F.col("coverage") >= MIN_COVERAGE)
-        .select("place", "tid", "label", "base", "first", "last", "coverage")
+    # a row's votes are no more than its words
+    per_row = votes.groupBy("place").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list(F.when(F.col("tid") >= 0, F.struct("tid", "diagonal", "held"))).alias("votes")
     )
-    return exact.union(merged)
-
-
-def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
-    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row of ``docs``.
-
-    A null text counts as empty. Without a base place, ``n_base`` is 0, the
-    words null and ``base_labels`` the empty string. ``labels`` adds those of
-    the templates; ``score`` is the best coverage, 0 without any span. Repeated
-    rows each give a row; other columns are ignored. ``docs`` must be a table
-    scan (places are those of the files).
-    """
-    rows = docs.select(F.monotonically_increasing_id().alias("place"), "doc_id", as_bytes().alias("raw"))
 
-    def count(batches):
+    def verified(batches):
+        span = pa.struct([("label", pa.string()), ("base", pa.bool_()), ("first", pa.int64()), ("last", pa.int64()), ("coverage", pa.float64())])
         for batch in slices(batches):
-            counts = [len(alnum_words(raw.as_py())) for raw in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(counts, pa.int64())], names=["place", "doc_id", "n_words"])
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    counted = rows.mapInArrow(count, f"place long, doc_id {kind}, n_words long")
-    start = F.when(F.col("base"), F.col("first"))
-    found = spans(docs, phrases, templates).groupBy("place").agg(
-        F.count(start).alias("n_base"),
-        F.min(start).alias("first_word"),
-        F.max(start).alias("last_word"),
-        F.array_join(F.sort_array(F.collect_set(F.when(F.col("base"), F.col("label")))), ",").alias("base_labels"),
-        F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"),
-        F.max("coverage").alias("score"),
-    )
-    zero = {"n_base": 0, "base_labels": "", "labels": "", "score": 0.0}
-    return counted.join(found, "place", "left").na.fill(zero).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+            out = [[] for _ in range(7)]
+            for votes in batch.column(3).to_pylist():
+                by_template: dict[int, dict[int, list[int]]] = {}
+                for v in votes:
+                    by_template.setdefault(v["tid"], {})[v["diagonal"]] = v["held"]
+                spans = []
+                for tid, diagonals in sorted(by_template.items()):
+                    _, label, base = every[tid]
+                    if base:
+                        found = [(d, d + sizes[tid] - 1, 1.0) for d, held in sorted(diagonals.items()) if len(held) == sizes[tid]]
+                    else:
+                        found = bands(diagonals, sizes[tid])
+                    spans += [{"label": label, "base": base, "first": x, "last": y, "coverage": c} for x, y, c in found]
+                places = [s["first"] for s in spans if s["base"]]
+                names = lambda own: ",".join(sorted({s["label"] for s in own}))
+                values = (len(places), min(places, default=None), max(places, default=None), names(s for s in spans if s["base"]), names(spans), max((s["coverage"] for s in spans), default=0.0), spans)
+                for have, new in zip(out, values, strict=True):
+                    have.append(new)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(span))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
+
+    return per_row.mapInArrow(verified, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,base:boolean,first:long,last:long,coverage:double>>")

@@ -44,7 +44,7 @@ def op8_url_filters(spark, sf_dir):
 def op7_license_scans(spark, sf_dir):
     from . import licenses
 
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op10_language_id(spark, sf_dir):
@@ -72,6 +72,6 @@ def queries():
 
 
 def oracle_sql():
-    from . import urls
+    from . import decontam, quality, urls
 
-    return {"op8_url_filters": urls.duckdb_sql()}
+    return {"op3_decontamination": decontam.duckdb_sql(), "op8_url_filters": urls.duckdb_sql(), "op9_quality_rules": quality.duckdb_sql()}
