@@ -7,7 +7,8 @@ consecutive item words, or a whole shorter item) ends at a word exactly if the
 state, or a suffix of it, holds that window.
 
 Items are cut into blocks of bounded size. Each block is one automaton, shipped
-to the executors, and one pass over the documents; there is no shuffle.
+to the executors, and one pass over the documents, written before the next one
+begins, so that one automaton is held at a time; there is no shuffle.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .text import ALNUM, alnum_words, as_bytes, slices
+from .spool import discard, spool
+from .text import ALNUM, ALNUM_WORD, LOWER, UPPER, alnum_words, as_bytes, quoted, slices
 
 WINDOW = 10
 #: Words of test items in one automaton (a state holds a few hundred bytes).
@@ -36,6 +39,8 @@ class Automaton:
     length: list[int] = field(default_factory=lambda: [0])
     #: window state -> items that hold the window; short state -> (length, items)
     found: dict[int, list[tuple[int, set]]] = field(default_factory=dict)
+    #: state -> the longest of its suffixes, itself included, with windows
+    near: dict[int, int] = field(default_factory=dict)
     least: int = 1 << 62
 
     def _extend(self, last: int, word: bytes) -> int:
@@ -107,24 +112,17 @@ class Automaton:
                             break
                     else:
                         out.found[at].append((need, {name}))
-        return out._spread()
-
-    def _spread(self) -> Automaton:
-        """Give every state the windows of its suffixes too."""
-        for at in sorted(range(1, len(self.step)), key=self.length.__getitem__):
-            above = self.found.get(self.link[at], [])
-            if above:
-                own = {need: set(names) for need, names in self.found.get(at, [])}
-                for need, names in above:
-                    own[need] = own.get(need, set()) | names
-                self.found[at] = list(own.items())
-        return self
+        for at in sorted(range(1, len(out.step)), key=out.length.__getitem__):
+            own = at if at in out.found else out.near.get(out.link[at])
+            if own is not None:
+                out.near[at] = own
+        return out
 
     def match(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Merged [start, end) spans of the words inside windows, and the items found."""
         spans: list[tuple[int, int]] = []
         names: set = set()
-        step, link, length, found, least = self.step, self.link, self.length, self.found, self.least
+        step, link, length, found, near, least = self.step, self.link, self.length, self.found, self.near, self.least
         at = size = 0
         for i, word in enumerate(words):
             new = step[at].get(word)
@@ -139,12 +137,14 @@ class Automaton:
             else:
                 size += 1
             at = new
-            if size >= least and at in found:
-                most = 0
-                for need, of in found[at]:
-                    if need <= size:
-                        names |= of
-                        most = max(most, need)
+            if size >= least:
+                most, suffix = 0, near.get(at)
+                while suffix is not None:
+                    for need, of in found[suffix]:
+                        if need <= size:
+                            names |= of
+                            most = max(most, need)
+                    suffix = near.get(link[suffix])
                 if most:
                     start = i + 1 - most
                     while spans and spans[-1][1] >= start:
@@ -183,45 +183,56 @@ def _merge(spans):
     return out
 
 
-FOUND = "_words long, _spans array<array<int>>, _items array<string>"
-_TYPES = [("_words", pa.int64()), ("_spans", pa.list_(pa.list_(pa.int32()))), ("_items", pa.list_(pa.string()))]
+_FOUND = [
+    T.StructField("_words", T.LongType()),
+    T.StructField("_spans", T.ArrayType(T.ArrayType(T.IntegerType()))),
+    T.StructField("_items", T.ArrayType(T.StringType())),
+    T.StructField("_new", T.StringType()),
+]
+_TYPES = [pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.string()), pa.string()]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text: str | Column = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with ``_words`` (count), ``_spans`` ([start, end) of words hit, merged) and ``_items`` (found, sorted).
+    """``docs`` with ``_words`` (count), ``_spans`` ([start, end) of words hit, merged), ``_items`` (found, sorted) and ``_new`` (the text without the spans; null if there are none).
 
     ``docs`` must not have columns of these names. Null texts have no words.
     """
-    names = docs.columns
-    start = docs.select("*", as_bytes(text).alias("_raw"), F.lit(None).cast("long").alias("_words"), F.lit(None).cast("array<array<int>>").alias("_spans"), F.lit(None).cast("array<string>").alias("_items"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in start.schema.fields[: len(names) + 1])
+    start = docs.select("*", as_bytes(text).alias("_raw"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in _FOUND])
+    old = start.schema.fields[: -len(_FOUND)]
+    schema = T.StructType([*old, *_FOUND])
 
     def one_pass(df: DataFrame, automaton: Automaton) -> DataFrame:
         shared = df.sparkSession.sparkContext.broadcast(automaton)
+        n, names = len(old), schema.names
 
         def run(batches):
             search = shared.value.match
             for batch in slices(batches):
-                counts, spans, items = [], [], []
-                raw, old_spans, old_items = (batch.column(len(names) + k) for k in (0, 2, 3))
-                for k in range(batch.num_rows):
-                    words = alnum_words(raw[k].as_py())
+                out = [[], [], [], []]
+                raws, old_spans, old_items = (batch.column(k) for k in (n - 1, n + 1, n + 2))
+                for raw, spans, items in zip(raws, old_spans, old_items, strict=True):
+                    raw = raw.as_py()
+                    words = alnum_words(raw)
                     hit, who = search(words)
-                    if old_spans[k].is_valid:
-                        hit = _merge([*hit, *map(tuple, old_spans[k].as_py())])
-                        who = who.union(old_items[k].as_py())
-                    counts.append(len(words))
-                    spans.append([list(x) for x in hit])
-                    items.append(sorted(who))
-                columns = [*batch.columns[: len(names) + 1], *(pa.array(x, kind) for x, (_, kind) in zip((counts, spans, items), _TYPES, strict=True))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[: len(names) + 1], *(n for n, _ in _TYPES)])
-
-        return df.mapInArrow(run, f"{fields}, {FOUND}")
-
-    found, blocks = start, 0
+                    if spans.is_valid:
+                        hit = _merge([*hit, *map(tuple, spans.as_py())])
+                        who = who.union(items.as_py())
+                    hit = [list(x) for x in hit]
+                    for have, new in zip(out, (len(words), hit, sorted(who), cut(raw, hit).decode("utf-8", "replace") if hit else None), strict=True):
+                        have.append(new)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array(x, kind) for x, kind in zip(out, _TYPES, strict=True))], names=names)
+
+        return df.mapInArrow(run, schema)
+
+    found, waiting = start, None
     for block in item_blocks(benchmark, block_words):
-        found, blocks = one_pass(found, Automaton.of(block, window)), blocks + 1
-    return (found if blocks else one_pass(start, Automaton.of([], window))).drop("_raw")
+        if waiting is not None:
+            written = spool(one_pass(found, waiting), "matches")
+            if found is not start:
+                discard(found)
+            found = written
+        waiting = Automaton.of(block, window)
+    return one_pass(found, waiting or Automaton.of([], window)).drop("_raw")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -277,17 +288,29 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"))
     found = matches(packed, benchmark, F.col("_row.text"), window, block_words)
 
-    @F.udf("string")
-    def cleaned(raw, spans):
-        return cut(bytes(raw), spans).decode("utf-8", "replace") if raw and spans else None
-
     hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + (F.get(s, 1) - F.get(s, 0)))
-    stay = found.filter(hit <= max_coverage * F.col("_words")).withColumn(
-        "_new", F.when(F.size("_spans") > 0, cleaned(as_bytes(F.col("_row.text")), "_spans")).otherwise(F.col("_row.text"))
-    )
+    stay = found.filter(hit <= max_coverage * F.col("_words")).withColumn("_new", F.when(F.size("_spans") > 0, F.col("_new")).otherwise(F.col("_row.text")))
     changed = {"text": F.col("_new"), "n_chars": F.when(F.size("_spans") > 0, F.length("_new").cast("long")).otherwise(F.col("_row.n_chars")) if "n_chars" in docs.columns else None}
     return stay.select(*[changed[c].alias(c) if changed.get(c) is not None else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+
+
+def duckdb_sql(window: int = WINDOW) -> str:
+    """``report`` in DuckDB SQL: every window of the items joined to the documents' windows of the same length."""
+    words = lambda text: f"regexp_extract_all(translate({text}, '{UPPER}', '{LOWER}'), {quoted(ALNUM_WORD)})"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words("coalesce(text, '')")} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {words('text')} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+i AS (SELECT DISTINCT item, n, array_to_string(w[p:p + n - 1], ' ') AS key FROM (
+  SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM (SELECT item, w, least(len(w), {window}) AS n FROM b WHERE len(w) > 0))),
+k AS (SELECT r, n, p, array_to_string(w[p:p + n - 1], ' ') AS key FROM (
+  SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM i) WHERE len(w) >= n)),
+m AS (SELECT r, n, p, item FROM k JOIN i USING (n, key)),
+h AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS place FROM (SELECT DISTINCT r, n, p FROM m)) GROUP BY r),
+x AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN x USING (r)"""
