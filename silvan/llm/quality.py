@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import SPACE, WORD
+from .text import SPACE, WORD, quoted
 
 
 @dataclass(frozen=True)
@@ -46,6 +46,8 @@ def _chars(text: Column, cls: str) -> Column:
 
 
 _SEPARATOR = r"(\||>>|»)"
+#: End of a sentence: a stop before white space, a closing mark or the line's end, or one of a script without spaces there.
+_END = r"""[.!?…]["'»”’)\]]*(?:[\x20\x09-\x0D]|$)|[。！？｡।॥؟۔։።]"""
 #: What a line must hold to fail a rule; a text without it needs no look at its lines.
 _HINTS = {"_symbol": r"[#*$%&|<>]", "_shout": r"[!?]{2}", "_nav": _SEPARATOR, "_boiler": BOILERPLATE}
 
@@ -56,7 +58,7 @@ def line_passes(line: Column, rules: LineRules) -> Column:
     The columns of ``_HINTS`` say what the whole text holds, so
     that the dearer patterns run only where they can match.
     """
-    unfinished = ~line.rlike(r"[.!?…]")
+    unfinished = ~line.rlike(_END)
     symbols = F.col("_symbol") & (_chars(line, r"[#*$%&|<>]+") > rules.max_symbols * F.length(line))
     shouts = F.col("_shout") & (_chars(line, r"[!?]{2,}") > rules.max_shouts * F.length(line))
     navigation = F.col("_nav") & line.rlike(_SEPARATOR + f"(.*?{_SEPARATOR})" + f"{{{rules.min_separators - 1}}}")
@@ -122,6 +124,28 @@ def _steps(df: DataFrame, rules: LineRules) -> DataFrame:
     return df.withColumn("_place", F.monotonically_increasing_id()).withColumn("_all", F.when(F.col("_place") >= 0, whole))
 
 
+def duckdb_sql(rules: LineRules = LineRules()) -> str:
+    """``judge`` in DuckDB SQL, without ``n_kept_chars``: windows as text, lines one by one."""
+    held = lambda text, cls: f"(length({text}) - length(regexp_replace({text}, {quoted(cls)}, '', 'g')))"
+    navigation = _SEPARATOR + f"(.*?{_SEPARATOR})" + f"{{{rules.min_separators - 1}}}"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT *, regexp_extract_all(t, {quoted(WORD)}) AS w, string_split(t, chr(10)) AS lines FROM d),
+g AS (SELECT r, p, array_to_string(w[p:p + 2], ' ') AS key FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS p FROM s)),
+q AS (SELECT r, count(DISTINCT place) AS n FROM (SELECT r, unnest(range(p, p + 3)) AS place FROM (
+  SELECT r, p, count(*) OVER (PARTITION BY r, key) AS k FROM g) WHERE k > 1) GROUP BY r),
+l AS (SELECT r, unnest(lines) AS line FROM s),
+p AS (SELECT r, line, NOT regexp_matches(line, {quoted(WORD)}) OR (regexp_matches(line, {quoted(_END)}) AND {held('line', '[#*$%&|<>]+')} <= {rules.max_symbols} * length(line)
+  AND {held('line', '[!?]{2,}')} <= {rules.max_shouts} * length(line) AND NOT regexp_matches(line, {quoted(navigation)}) AND NOT regexp_matches(line, {quoted(BOILERPLATE)})) AS passes FROM l),
+k AS (SELECT r, coalesce(sum(length(line)) FILTER (WHERE passes), 0) + greatest(count(*) FILTER (WHERE passes) - 1, 0) AS chars FROM p GROUP BY r),
+f AS (SELECT r, list_filter(lines, lambda x: regexp_matches(x, {quoted(WORD)})) AS own FROM s),
+v AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST({held('t', '[#*$%&|<>]+')} AS BIGINT) AS n_symbols,
+  CAST(len(own) - len(list_distinct(own)) AS BIGINT) AS n_dup_lines, CAST(coalesce(q.n, 0) AS BIGINT) AS n_repeat_words, length(t) - k.chars > {rules.max_lost} * length(t) AS lost
+  FROM s JOIN f USING (r) JOIN k USING (r) LEFT JOIN q USING (r)),
+z AS (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed FROM v)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT lost AS kept FROM z"""
+
+
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
