@@ -3,7 +3,9 @@
 A document is a mixture of languages: each n-gram is drawn from language l with
 probability w_l times its likelihood there. Expectation-maximisation estimates
 the proportions w, and the set of languages is the one with the best penalised
-likelihood, found by dropping the weakest language while that pays.
+likelihood, found by dropping the weakest language while that pays. Languages
+whose joint loss, with the other proportions as they are, is below the penalty
+of a single one go together first: fitting the others anew can only lower it.
 """
 
 from __future__ import annotations
@@ -63,10 +65,22 @@ class Model:
         buckets, counts = np.unique(grams(raw), return_counts=True)
         if not len(buckets) or not self.languages:
             return {}
-        p, counts = self.likelihood[buckets], counts.astype(np.float64)
+        return self.shares(self.likelihood[buckets], counts.astype(np.float64))
+
+    def shares(self, p: np.ndarray, counts: np.ndarray) -> dict[str, float]:
+        """The chosen languages and their shares, for n-gram likelihoods ``p`` that occur ``counts`` times."""
         chosen = np.arange(len(self.languages))
         w, fit = self.mixture(p, counts)
         cost = PENALTY * np.log(counts.sum() + 1)
+        order, low, high = np.argsort(w, kind="stable"), 0, len(w) - 1
+        while low < high:
+            half = (low + high + 1) // 2
+            rest = order[half:]
+            loss = fit - float(counts @ np.log(p[:, rest] @ (w[rest] / w[rest].sum())))
+            low, high = (half, high) if loss < cost else (low, half - 1)
+        if low:
+            chosen = np.sort(order[low:])
+            w, fit = self.mixture(p[:, chosen], counts)
         while len(chosen) > 1:
             stay = np.arange(len(chosen)) != np.argmin(w)
             new_w, new_fit = self.mixture(p[:, chosen[stay]], counts)
