@@ -164,39 +164,55 @@ def test_edit_distance_and_segments():
         a = "".join(r.choice("abc") for _ in range(r.randint(1, 30)))
         b = edited(r, a, r.randint(0, 4))
         d = distance(a, b)
-        assert all(lines.within(a, b, e) == (d <= e) for e in (1, 2, 3))
-        if min(len(a), len(b)) >= lines.MIN_CHARS and d <= lines.EDITS:
-            assert lines.keys_of(a) & lines.keys_of(b)
+        assert all(lines.within(tuple(a), tuple(b), e) == (d <= e) for e in (1, 2, 3))
+        one, two = [list(x.encode().replace(b"", b" ").split()) for x in (a, b)]
+        like = d <= lines.edits_of(min(len(one), len(two)))
+        assert lines.near(tuple(one), tuple(two)) == (like and lines.edits_of(min(len(one), len(two))) > 0)
+        if lines.near(tuple(one), tuple(two)):
+            assert lines.keys_of(one) & lines.keys_of(two)
 
 
 def test_line_dedup(spark, docs, rows, empty, tmp_path):
     r = random.Random(3)
-    more = [(100 + k, "\n".join(edited(r, "abcabcabbacbacbbacbabcaacbacbabcab" * 2, r.randint(0, 2)) for _ in range(3)), *[None] * 6) for k in range(12)]
+    base = [WORDS[k % 20] + str(k % 3) for k in range(14)]
+
+    def changed(n):
+        line = list(base)
+        for _ in range(n):
+            at = r.randrange(len(line))
+            line[at : at + r.randint(0, 1)] = [r.choice(WORDS)] * r.randint(0, 2)
+        return " ".join(line)
+
+    more = [(100 + k, "\n".join(changed(r.randint(0, 2)) for _ in range(3)), *[None] * 6) for k in range(12)]
     every = rows + more
     path = str(tmp_path / "d.parquet")
     spark.createDataFrame(every, SCHEMA).coalesce(1).write.parquet(path)
     df = spark.read.parquet(path)
-    places = [(row.doc_id, k) for k, row in enumerate(df.collect())]
     order = sorted(range(len(every)), key=lambda k: (every[k][0] is None, every[k][0] or 0, k))
-    assert [x for x, _ in places] == [row[0] for row in every]
-    found = [(k, n, t) for k in order for n, line in enumerate((every[k][1] or "").encode().split(b"\n")) if lines.comparable(lines.normal(line)) for t in [lines.normal(line).decode()]]
+    assert [row.doc_id for row in df.collect()] == [row[0] for row in every]
+    found = [(k, n, lines.normal(line)) for k in order for n, line in enumerate((every[k][1] or "").encode().split(b"\n")) if line.strip()]
     distinct = sorted({t for *_, t in found})
+    words = {t: tuple(t.split()) for t in distinct}
     root = {t: t for t in distinct}
     find = lambda t: t if root[t] == t else find(root[t])
     for i, a in enumerate(distinct):
         for b in distinct[:i]:
-            if abs(len(a) - len(b)) <= 2 and lines.within(a, b):
+            if abs(len(words[a]) - len(words[b])) <= 2 and lines.near(words[a], words[b]):
                 root[find(a)] = find(b)
-    seen, gone = set(), {k: [] for k in range(len(every))}
+    size = Counter(find(t) for *_, t in found)
+    first, gone, links = {}, {k: [] for k in range(len(every))}, Counter()
     for k, n, t in found:
-        if find(t) in seen:
-            gone[k].append(n)
-        seen.add(find(t))
-    want = Counter((row[0], (row[1] or "").count("\n") + 1, len(gone[k]), tuple(gone[k])) for k, row in enumerate(every))
-    assert Counter((x.doc_id, x.n_lines, x.n_dropped, tuple(x.dropped)) for x in lines.report(df).collect()) == want
+        links[k] += size[find(t)] - 1
+        if find(t) in first:
+            gone[k].append((n, first[find(t)]))
+        first.setdefault(find(t), every[k][0])
+    want = Counter((row[0], (row[1] or "").count("\n") + 1, len(gone[k]), tuple(gone[k]), links[k]) for k, row in enumerate(every))
+    got = lines.report(df).collect()
+    assert Counter((x.doc_id, x.n_lines, x.n_dropped, tuple(zip(x.dropped, x.kept_in)), x.n_links) for x in got) == want
+    assert all((x.class_id is None) <= (x.n_links == 0 or x.doc_id is None) for x in got)
     cleaned = lines.clean(df)
     assert cleaned.columns == df.columns and cleaned.count() == len(every)
-    left = Counter((row[0], None if row[1] is None else "\n".join(x for n, x in enumerate(row[1].split("\n")) if n not in gone[k])) for k, row in enumerate(every))
+    left = Counter((row[0], None if row[1] is None else "\n".join(x for n, x in enumerate(row[1].split("\n")) if n not in dict(gone[k]))) for k, row in enumerate(every))
     assert Counter((x.doc_id, x.text) for x in cleaned.collect()) == left
     assert lines.report(empty).count() == 0
 
@@ -210,6 +226,46 @@ def test_short_lines_go_where_they_repeat(spark, tmp_path):
     assert {x.doc_id: x.text for x in lines.clean(df).collect()} == {1: "Home\nAbout us\n", 2: " home\n\nAbout uz", 3: ""}
 
 
+def test_lines_with_a_word_replaced_are_near(spark):
+    line = "The committee met on Tuesday and agreed to publish the whole report before the summer recess begins."
+    rows = [(1, line), (2, line.replace("Tuesday", "Wednesday")), (3, line.replace("whole", "entire").replace("summer", "winter")), (4, line.replace("met", "sat").replace("agreed", "refused").replace("publish", "print"))]
+    got = lines.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: (x.n_dropped, x.class_id) for x in got} == {1: (0, 1), 2: (1, 1), 3: (1, 1), 4: (0, None)}
+
+
+@pytest.mark.parametrize("job", ["lines", "repeats", "one_of_each", "packing", "licenses"])
+def test_results_do_not_follow_the_splits(spark, sf, job, monkeypatch):
+    """Places of rows hold however later jobs would split the files: what was numbered is read from a table."""
+    conf = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(conf)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    run = {
+        "lines": lambda: lines.report(docs),
+        "repeats": lambda: repeats.removals(docs),
+        "one_of_each": lambda: simhash.one_of_each(docs),
+        "packing": lambda: packing.pack(docs, near=True),
+        "licenses": lambda: licenses.scan(docs),
+    }[job]
+    columns = {"packing": ["doc_id", "piece", "n_words"]}.get(job)
+    rows = lambda df: Counter(map(str, (df.select(*columns) if columns else df).collect()))
+    want = rows(run())
+    modules = [m for m in (lines, repeats, simhash, packing, licenses) if hasattr(m, "spool")]
+    sizes = iter([20_000, 60_000, 200_000, 10_000] * 20)
+    for m in modules:
+        def moved(df, name, spool=m.spool):
+            out = spool(df, name)
+            spark.conf.set(conf, str(next(sizes)))
+            return out
+
+        monkeypatch.setattr(m, "spool", moved)
+    try:
+        found = run()
+        spark.conf.set(conf, "30000")
+        assert rows(found) == want
+    finally:
+        spark.conf.set(conf, before)
+
+
 def test_decontamination(spark, docs, rows, empty):
     all_words = [alnum_words((t or "").encode()) for t in texts()]
     items = [(1, " ".join(w.decode() for w in all_words[2][4:24])), (2, "ALPHA beta"), (10, texts()[5]), (11, None), (12, "--"), (13, "never seen words in any text at all they are new here"), (1, "kappa")]
@@ -255,39 +311,74 @@ def test_toxicity(spark, tmp_path):
     assert toxicity.score(docs.limit(0), labels).count() == 0
 
 
-def test_toxicity_cosines_are_those_of_whole_texts(spark):
+def brute_votes(words, examples, idf, unknown):
+    """Vote and nearest examples' cosines of each passage, by the definition."""
+    unit = []
+    for _, _, own in examples:
+        v = {w: (1 + np.log(n)) * idf[w] for w, n in Counter(own).items()}
+        length = np.sqrt(sum(x * x for x in v.values()))
+        unit.append({w: x / length for w, x in v.items()})
+    out = []
+    for at in range(0, len(words), toxicity.PASSAGE):
+        v = {w: (1 + np.log(n)) * idf.get(w, unknown) for w, n in Counter(words[at : at + toxicity.PASSAGE]).items()}
+        length = np.sqrt(sum(x * x for x in v.values()))
+        cosines = sorted(((sum(x * u.get(w, 0) for w, x in v.items()) / length, label) for u, (_, label, _) in zip(unit, examples)), reverse=True)
+        cosines = [c for c in cosines if c[0] > 1e-12]
+        if cosines:
+            last = cosines[min(toxicity.NEIGHBOURS, len(cosines)) - 1][0]
+            near = [c for c in cosines if c[0] >= last - 1e-12]
+            share = sum(c * y for c, y in near) / sum(c for c, _ in near)
+            out.append((share * min(1, len(near) / min(toxicity.NEIGHBOURS, len(examples))), [c for c, _ in cosines]))
+    return out
+
+
+def test_toxicity_by_brute_force(spark):
+    """Document counts, cosines, neighbours, votes and scores of texts with copies, ties and words of their own."""
     r = random.Random(11)
     rare = lambda k: [f"own{k}x{j}" for j in range(r.randint(0, 4))]
-    words = {k: [r.choice(WORDS) for _ in range(r.randint(1, 25))] + rare(k) + rare(k // 4) + ["scumword"] * (k % 3 == 0) for k in range(160)}
-    truth = {k: int(k % 3 == 0) for k in range(120)}
-    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in words.items()], "doc_id long, text string")
-    got = {x.doc_id: x for x in toxicity.score(docs, spark.createDataFrame(list(truth.items()), "doc_id long, toxic int")).collect()}
-    count = Counter(w for ws in words.values() for w in set(ws))
-    vectors = {k: {w: (1 + np.log(n)) * (np.log((len(words) + 1) / (count[w] + 1)) + 1) for w, n in Counter(ws).items()} for k, ws in words.items()}
-    unit = {k: {w: x / np.sqrt(sum(y * y for y in v.values())) for w, x in v.items()} for k, v in vectors.items()}
-    learned = [k for k in truth if not got[k].held_out]
-    for k, x in got.items():
-        cosines = {e: sum(y * unit[e].get(w, 0) for w, y in unit[k].items()) for e in learned}
-        best = sorted((c for c in cosines.values() if c > 0), reverse=True)[: toxicity.NEIGHBOURS]
-        assert np.allclose([e.cosine for e in x.evidence], best)
-        assert all(abs(cosines[int(e.id)] - e.cosine) < 1e-9 and truth[int(e.id)] == e.toxic for e in x.evidence)
-
-
-def test_nearest_examples_are_exact(spark):
-    rng = np.random.default_rng(1)
-    n, terms = 300, 40
-    dense = np.where(rng.random((terms, n)) < 0.1, rng.random((terms, n)), 0)
-    padded = np.zeros((terms, -(-n // toxicity.BLOCK) * toxicity.BLOCK))
-    padded[:, :n] = dense
-    postings = padded.reshape(terms, -1, toxicity.BLOCK).transpose(1, 0, 2)
-    index = toxicity.Index({}, np.ones(terms), np.arange(n), np.zeros(n), np.ones(n), postings, postings.max(axis=2).T, np.ones(n, bool))
-    for _ in range(200):
-        at = rng.choice(terms, rng.integers(1, 8), replace=False)
-        w = rng.random(len(at))
-        scores = w @ dense[at]
-        order = np.lexsort((np.arange(n), -np.round(scores, 12)))
-        order = order[scores[order] > 0][:15]
-        assert index.nearest(at, w)[0].tolist() == order.tolist()
+    words = {k: [r.choice(WORDS) for _ in range(r.randint(1, 60))] + rare(k) + rare(k // 4) + ["scumword"] * (k % 3 == 0) for k in range(240)}
+    words |= {300: [], 301: words[0], 302: words[1], 303: ["nobodyhasthis"], 304: [r.choice(WORDS) + str(r.randint(0, 999)) for _ in range(30_000)]}
+    truth = {k: int(k % 3 == 0) for k in range(200)} | {301: 1}
+    docs = spark.createDataFrame([(k, " ".join(w), 1.0, k) for k, w in words.items()] + [(5, " ".join(words[5]), 2.0, 0)], "doc_id long, text string, score double, place long")
+    labels = spark.createDataFrame(list(truth.items()), "doc_id long, toxic int")
+    index = toxicity.fit(docs, labels, ~langid.held_out(3, 1))
+    texts = [*words.values(), words[5]]
+    count = Counter(w for ws in texts for w in set(ws))
+    unknown = np.log(len(texts) + 1) + 1
+    got = toxicity.score(docs, labels).collect()
+    assert sorted(x.doc_id for x in got) == sorted([*words, 5])
+    examples = {}
+    for x in got:
+        if not x.held_out and x.doc_id in truth:
+            own = " ".join(words[x.doc_id])
+            examples[own, truth[x.doc_id]] = (x.doc_id, truth[x.doc_id], words[x.doc_id])
+    examples = list(examples.values())
+    assert len(index.ids) == len(examples)
+    idf = {w: np.log((len(texts) + 1) / (count[w] + 1)) + 1 for _, _, ws in examples for w in ws}
+    for x in got:
+        found = brute_votes(words[x.doc_id], examples, idf, unknown)
+        vote = max((v for v, _ in found), default=-1.0)
+        mine = float(index.text_votes([[w.encode() for w in words[x.doc_id]]])[0][0])
+        assert abs(mine - vote) < 1e-9
+        assert abs(x.score - (min(1, max(0, np.interp(vote, *index.steps))) if vote >= 0 else index.bare)) < 1e-6
+        if found and x.doc_id != 304:
+            assert any(np.allclose([e.cosine for e in x.evidence], c[: toxicity.SHOWN]) for v, c in found if abs(v - vote) < 1e-9)
+
+
+def test_block_bounds_lose_no_neighbour():
+    r = random.Random(1)
+    examples = [(k, k % 2, [f"w{min(int(r.expovariate(0.05)), 400)}".encode() for _ in range(r.randint(0, 30))]) for k in range(700)]
+    idf = {w: 1 + r.random() * 5 for _, _, ws in examples for w in ws}
+    index = toxicity.build(examples, idf, 6.0)
+    texts = [[f"w{r.randint(0, 500)}".encode() for _ in range(r.randint(0, 40))] for _ in range(150)]
+    p, counts = index.passages(texts)
+    assert counts.tolist() == [-(-len(t) // toxicity.PASSAGE) for t in texts]
+    lean, full = index.products(p), index.products(p, k=10_000)
+    for k in (1, 7, toxicity.NEIGHBOURS):
+        assert (index.nearest(index.products(p, k), k) == index.nearest(full, k)).all()
+    assert (lean == 0).sum() > (full == 0).sum()  # blocks were left out
+    skip = np.arange(len(p.norms)) % 700
+    assert (index.products(p, skip=skip)[np.arange(len(skip)), skip] == 0).all()
 
 
 def test_packing(docs, rows, empty):
@@ -415,11 +506,57 @@ def test_licenses(docs, rows, empty):
     assert licenses.scan(empty).count() == 0
 
 
-def test_license_templates_with_edits(spark, tmp_path):
+def brute_licenses(text):
+    """Labels and score by trying every band of every template at every place of the document."""
+    w = alnum_words((text or "").encode())
+    pairs = list(zip(w, w[1:]))
+    labels, best = set(), 0.0
+    for phrase, label in licenses.PHRASES:
+        p = phrase.encode().split()
+        if any(w[i : i + len(p)] == p for i in range(len(w) - len(p) + 1)):
+            labels.add(label)
+            best = 1.0
+    for label, template in licenses.TEMPLATES:
+        t = alnum_words(template.encode())
+        own = list(zip(t, t[1:]))
+        matches = [(i, k) for i, x in enumerate(pairs) for k, y in enumerate(own) if x == y]
+        for low in {i - k for i, k in matches}:
+            band = sorted((i, k) for i, k in matches if low <= i - k <= low + licenses.MAX_SHIFT)
+            longest = [1] * len(band)
+            for a, (i, k) in enumerate(band):
+                for b, (x, y) in enumerate(band[:a]):
+                    if x < i and y < k:
+                        longest[a] = max(longest[a], longest[b] + 1)
+            coverage = max(longest) / len(own)
+            if coverage >= licenses.MIN_COVERAGE:
+                labels.add(label)
+                best = max(best, coverage)
+    return ",".join(sorted(labels)), best
+
+
+def test_license_labels_and_scores_by_brute_force(spark, docs, rows):
+    r = random.Random(8)
+    texts = ["", None, "licensed under " + "under the x " * 40 + "we the mit dean"]
+    for _ in range(60):
+        words = r.choice(licenses.TEMPLATES)[1].split()
+        for _ in range(r.randint(0, 8)):
+            at = r.randrange(len(words))
+            words[at : at + r.randint(0, 2)] = [r.choice(["the", "of", "new"])] * r.randint(0, 2)
+        texts.append(" ".join(r.choice(WORDS) for _ in range(r.randint(0, 20))) + " " + " ".join(words) + " " + " ".join(r.choice(licenses.TEMPLATES)[1].split()[: r.randint(0, 9)]))
+    df = spark.createDataFrame([(k, t, k, "x") for k, t in enumerate(texts)] + [(3, texts[3], 0, "x")], "doc_id long, text string, place long, labels string")
+    got = licenses.scan(df).collect()
+    assert len(got) == len(texts) + 1
+    for x in got:
+        labels, best = brute_licenses(texts[x.doc_id])
+        assert x.labels == labels and abs(x.score - best) < 1e-12
+    assert {x.labels for x in got if x.doc_id == 2} == {""}
+    by_row(licenses.scan(docs), rows, brute_licenses, ("labels", "score"))
+
+
+def test_license_templates_with_edits(spark):
     notice = "Permission is hereby granted, without any fee, free of charge, to any person obtaining a copy of this software and its associated documentation files (the 'Software'), to deal in the Software without restriction"
-    path = str(tmp_path / "d.parquet")
-    spark.createDataFrame([(1, "Hello. " + notice), (2, "Any person may deal in goods of this kind without charge.")], "doc_id long, text string").write.parquet(path)
-    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.read.parquet(path)).collect()}
+    docs = spark.createDataFrame([(1, "Hello. " + notice), (2, "Any person may deal in goods of this kind without charge.")], "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(docs).collect()}
     assert got[1][0] == "mit" and got[1][1] >= 0.7 and got[2] == ("", 0.0)
 
 
@@ -443,6 +580,15 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_url_rules_without_a_token(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "http://a.com/x"), (2, "http://b.org/--"), (3, None)], "page_id long, url string")
+    rules = [urls.Rule(None, "block", (), r"/--$", 0), urls.path_rule("allow", "com/")]
+    want = {1: ("com/", "allow"), 2: (None, "block"), 3: (None, "block")}
+    assert {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, rules).collect()} == want
+    monkeypatch.setattr(urls, "MAX_BROADCAST", 1)
+    assert {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, rules).collect()} == want
+
+
 def test_url_sql(spark, sf):
     import duckdb
 
@@ -489,3 +635,65 @@ def test_pipeline_on_an_empty_table(spark, empty, sf, tmp_path):
         stage(spark, now, sf).write.parquet(str(tmp_path / name))
         now = spark.read.parquet(str(tmp_path / name))
     assert now.count() == 0
+
+
+@pytest.mark.parametrize("name", ["op3_decontamination", "op9_quality_rules"])
+def test_sql_twins(spark, sf, name):
+    import duckdb
+
+    from silvan.llm import queries
+
+    db = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    got = queries.queries()[name](spark, sf)
+    assert Counter(map(tuple, got.collect())) == Counter(db.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.oracle_sql()[name]})").fetchall())
+
+
+def test_quality_keeps_lines_of_other_scripts(spark):
+    hindi = "\n".join("यह एक साफ वाक्य है जो पूरा होता है।" for _ in range(12))
+    numbers = "\n".join(f"release v1.2 of part {k} came out with many new words inside it" for k in range(12))
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame([(1, hindi.replace("एक", "दो", 3)), (2, numbers)], "doc_id long, text string"), quality.LineRules(max_repeat_percent=100)).collect()}
+    assert got == {1: True, 2: False}
+
+
+def test_decontamination_in_blocks_is_the_same(spark, sf):
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    rows = lambda df: Counter(map(str, df.collect()))
+    assert rows(decontam.report(docs, items)) == rows(decontam.report(docs, items, block_words=700))
+    whole, parts = decontam.remove_spans(docs, items), decontam.remove_spans(docs, items, block_words=700)
+    assert whole.columns == docs.columns and rows(whole) == rows(parts)
+
+
+def test_shortlist_of_languages_loses_nothing(spark):
+    """Many languages at once: the joint drop keeps what dropping one by one, each fitted anew, would keep."""
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet(np.full(400, 0.05), size=24).T + 1e-6
+    model = langid.Model([f"l{k:02}" for k in range(24)], p / p.sum(axis=0))
+    for trial in range(20):
+        share = np.zeros(24)
+        share[rng.choice(24, trial % 3 + 1, replace=False)] = 1
+        counts = rng.multinomial(600, model.likelihood @ (share / share.sum())).astype(float)
+        at = np.flatnonzero(counts)
+        chosen, (w, fit) = np.arange(24), model.mixture(model.likelihood[at], counts[at])
+        while len(chosen) > 1:
+            stay = np.arange(len(chosen)) != np.argmin(w)
+            new_w, new_fit = model.mixture(model.likelihood[at][:, chosen[stay]], counts[at])
+            if new_fit + langid.PENALTY * np.log(counts.sum() + 1) < fit:
+                break
+            chosen, w, fit = chosen[stay], new_w, new_fit
+        got = model.shares(model.likelihood[at], counts[at])
+        assert list(got) == [model.languages[k] for k in chosen]
+        assert np.allclose(list(got.values()), w, atol=0.01)
+
+
+def test_language_of_odd_tables(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    long = " ".join(r.text for r in docs.filter("lang = 'en'").limit(40).collect()) * 5
+    odd = spark.createDataFrame([(10_001, long, None, 0.5, "x"), (10_002, long, "en", 0.5, "x"), (10_002, long, "en", 0.5, "x"), (10_003, "12 !?", "fr", 0.1, "y"), (None, "und", None, None, None)], "doc_id long, text string, lang string, score double, languages string")
+    every = docs.withColumns({"score": F.lit(1.0), "languages": F.lit("z")}).unionByName(odd)
+    got = [r for r in langid.identify(every).collect() if r.doc_id is None or r.doc_id > 10_000]
+    assert sorted((str(r.doc_id), r.lang_pred) for r in got if r.doc_id) == [("10001", "en"), ("10002", "en"), ("10002", "en"), ("10003", "und")]
+    assert len(got) == 5 and langid.identify(every.limit(0)).count() == 0
+    # equal shares: the first language in order
+    assert min({"b": 0.5, "a": 0.5}, key=lambda x: (-0.5, x)) == "a"
