@@ -7,8 +7,9 @@ nearest examples. Terms of many examples make up an inverted index cut into
 blocks of examples, with the largest weight of each term in each block; those of
 few examples keep short lists, which are added up first. A passage's cosines
 with a block are bounded by the sum of these maxima and the largest sum of its
-lists; the blocks with the best bounds give a threshold, and of the others only
-those whose bound reaches it are looked at, so the neighbours are exact. They
+lists; the block with the best bound gives a threshold, and of the others only
+those whose bound reaches it are looked at, so the neighbours are exact (weights
+are single precision; products that differ by rounding tie). They
 vote with their cosines; a text's vote is that of its most toxic passage,
 calibrated by isotonic regression on leave-one-out votes of the examples.
 """
@@ -34,11 +35,13 @@ RARE = 16
 #: Words that a task counts before it passes them on.
 COUNTED = 1 << 20
 #: Words of a passage; the last one of a text may be shorter.
-PASSAGE = 12
+PASSAGE = 24
 NEIGHBOURS = 60
-BLOCK = 64
-#: Blocks that are looked at first.
-FIRST = 4
+BLOCK = 256
+#: Products that differ by less, as a share, are equal.
+ROUNDING = 1e-5
+#: Digits of a vote; sums of single-precision products differ in later ones.
+DIGITS = 4
 #: Passages that are looked up at a time.
 BATCH = 256
 #: Neighbours that the evidence of a text lists at most.
@@ -118,39 +121,32 @@ class Index:
         ends = np.cumsum(length)
         places = np.arange(int(length.sum())) + np.repeat(self.starts[lists] - ends + length, length)
         base = np.bincount(np.repeat(p.rows[rare] * width, length) + self.listed[places], np.repeat(p.weights[rare], length) * self.listed_weights[places], n * width)
-        base = base.astype(float).reshape(n, blocks, BLOCK)
-        rows, terms, weights = p.rows[~rare], p.terms[~rare], p.weights[~rare, None]
-        bounds = base.max(axis=2)
-        _add_rows(bounds, rows, self.block_max[terms] * weights)
-        out = np.zeros((n, blocks, BLOCK))
-        picked = np.zeros((n, blocks), bool)
-        first = np.argpartition(-bounds, min(FIRST, blocks) - 1, axis=1)[:, :FIRST]
-        np.put_along_axis(picked, first, True, axis=1)
-        everyone = np.arange(n)
+        base = base.astype(np.float32).reshape(n, blocks, BLOCK)
+        common = np.zeros((n, dense), np.float32)
+        common[p.rows[~rare], p.terms[~rare]] = p.weights[~rare]
+        bounds = base.max(axis=2) + common @ self.block_max
+        first, everyone = np.argmax(bounds, axis=1), np.arange(n)
+        out = np.zeros((n, blocks, BLOCK), np.float32)
 
         def look(wanted):
             for block in np.flatnonzero(wanted.any(axis=0)):
                 own = np.flatnonzero(wanted[:, block])
-                have = wanted[rows, block]
-                found = base[own, block]
-                place = np.cumsum(wanted[:, block]) - 1
-                _add_rows(found, place[rows[have]], self.postings[block][terms[have]] * weights[have])
-                out[own, block] = found
+                out[own, block] = base[own, block] + common[own] @ self.postings[block]
             if skip is not None:
                 out[everyone[skip >= 0], skip[skip >= 0] // BLOCK, skip[skip >= 0] % BLOCK] = 0
 
-        look(picked)
-        seen = out[everyone[:, None], first].reshape(n, -1)
-        least = np.partition(seen, -k, axis=1)[:, -k] if seen.shape[1] > k else np.zeros(n)
-        # rounding may put a bound a little below a product
-        look(~picked & (bounds > 0) & (bounds >= least[:, None] * (1 - 1e-12)))
+        best = first[:, None] == np.arange(blocks)[None, :]
+        look(best)
+        least = np.partition(out[everyone, first], -k, axis=1)[:, -k] if BLOCK > k else np.zeros(n)
+        look(~best & (bounds > 0) & (bounds >= least[:, None] * (1 - 2 * ROUNDING)))
         return out.reshape(n, width)
 
     def nearest(self, products: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
         """Which examples are among the k nearest of each passage; all that tie with the k-th, none without a common term."""
         if products.shape[1] <= k:
             return products > 0
-        return products >= np.maximum(np.partition(products, -k, axis=1)[:, -k], 1e-300)[:, None]
+        least = np.partition(products, -k, axis=1)[:, -k] * np.float32(1 - ROUNDING)
+        return products >= np.maximum(least, np.float32(1e-30))[:, None]
 
     def votes(self, p: Passages, k: int = NEIGHBOURS, skip: np.ndarray | None = None) -> np.ndarray:
         """Share of toxic examples among the neighbours of each passage, by cosine; missing neighbours count as not toxic, -1: no neighbour."""
@@ -162,9 +158,8 @@ class Index:
             near = self.nearest(products, k)
             products[~near] = 0
             total, count = products.sum(axis=1), near.sum(axis=1)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                vote = products @ self.labels / total * np.minimum(1, count / need)
-            out[at : at + BATCH] = np.where(count > 0, vote, -1.0)
+            vote = products @ self.labels / np.maximum(total, np.float32(1e-30)) * np.minimum(1, count / need)
+            out[at : at + BATCH] = np.where(count > 0, np.round(vote.astype(float), DIGITS), -1.0)
         return out
 
     def text_votes(self, texts: list[list[bytes]], skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, Passages]:
@@ -185,19 +180,12 @@ class Index:
         for at in range(0, len(have), BATCH):
             own = have[at : at + BATCH]
             part = p.take(best[own])
-            for k, row in zip(own, self.products(part) / np.maximum(part.norms, 1e-300)[:, None], strict=True):
+            for k, row in zip(own, self.products(part) / np.maximum(part.norms, 1e-30)[:, None], strict=True):
                 top = [x for x in np.lexsort((np.arange(len(row)), -row))[:SHOWN] if row[x] > 0]
                 out[k] = [{"id": str(self.ids[x]), "cosine": float(row[x]), "toxic": int(self.labels[x])} for x in top]
         return out
 
 
-def _add_rows(total: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """Adds to ``total`` the sums of ``values`` by row number; the numbers rise."""
-    if len(rows):
-        cuts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        total[rows[cuts]] += np.add.reduceat(values, cuts, axis=0)
-
-
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Increasing fit of y by x (pool adjacent violators), as points to interpolate between."""
     if not len(x):
@@ -230,13 +218,13 @@ def build(examples: list[tuple[object, int, list[bytes]]], idf: dict[bytes, floa
     sign = [(tuple(w not in c for w in order[: min(dense, 48)]), str(examples[k][0])) for k, c in enumerate(counts)]
     ranks = sorted(range(len(examples)), key=sign.__getitem__)
     blocks = -(-max(1, len(examples)) // BLOCK)
-    postings = np.zeros((blocks, dense, BLOCK))
+    postings = np.zeros((blocks, dense, BLOCK), np.float32)
     lists, listed, listed_weights = [], [], []
     for place, k in enumerate(ranks):
         if counts[k]:
             at = np.array([numbers[w] for w in counts[k]])
             own = (1 + np.log(np.array(list(counts[k].values())))) * weights[at]
-            own /= np.sqrt(own @ own)
+            own /= np.sqrt(own @ own) or 1
             rare = at >= dense
             postings[place // BLOCK, at[~rare], place % BLOCK] = own[~rare]
             lists.append(at[rare] - dense)
@@ -246,7 +234,7 @@ def build(examples: list[tuple[object, int, list[bytes]]], idf: dict[bytes, floa
     at = whole(lists, np.int64)
     by_term = np.argsort(at, kind="stable")
     starts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(order) - dense))]).astype(np.int64)
-    labels = np.zeros(blocks * BLOCK)
+    labels = np.zeros(blocks * BLOCK, np.float32)
     labels[: len(ranks)] = [examples[k][1] for k in ranks]
     ids = np.array([examples[k][0] for k in ranks] or [None], object)[: len(ranks)]
     return Index(numbers, weights, unknown, ids, labels, np.argsort(ranks), postings, postings.max(axis=2).T, starts, whole(listed, np.int64)[by_term], whole(listed_weights, float)[by_term])
@@ -280,8 +268,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = EXAM
     examples = [(r.doc_id, r.toxic, alnum_words(bytes(r.raw))) for r in sample.orderBy("doc_id", "toxic", "raw").collect()]  # two classes of `per_class` at most
     have = _document_counts(docs.select(as_bytes().alias("raw")), context.broadcast({w for *_, words in examples for w in words}))
     total = docs.count()
-    idf = {w: float(np.log((total + 1) / (have.get(w, 0) + 1))) + 1 for *_, words in examples for w in words}
-    index = build(examples, idf, float(np.log(total + 1)) + 1)
+    idf = {w: float(np.log((total + 1) / (have.get(w, 0) + 1))) for *_, words in examples for w in words}
+    index = build(examples, idf, float(np.log(total + 1)))
     return calibrate(index, docs, examples, totals)
 
 
@@ -314,7 +302,7 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES_PER_CLAS
 
     ``evidence`` lists the nearest examples of the text's most toxic passage (id
     as text, cosine, label). A word that no example has lengthens a passage as
-    one of no document would. Null, empty and other texts without a word of any
+    one of no document would, one that all documents have counts nothing. Null, empty and other texts without a word of any
     example score the rate of toxic ones among such examples (all examples if
     there are none). Without any labelled row all scores are 0. Labelled rows
     whose id's crc32 leaves 1 on division by 3 are never learned from. Repeated
