@@ -31,7 +31,7 @@ from .text import alnum_words, as_bytes, slices
 #: Labelled examples of each class that are indexed at most (chosen by id hash).
 EXAMPLES_PER_CLASS = 1000
 #: A term of fewer than one in so many examples keeps a list instead of a row in every block.
-RARE = 16
+RARE = 6
 #: Words that a task counts before it passes them on.
 COUNTED = 1 << 20
 #: Words of a passage; the last one of a text may be shorter.
