@@ -12,6 +12,8 @@ length, are one item throughout.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -57,10 +59,10 @@ def segments(length: int, edits: int) -> list[tuple[int, int]]:
     return out
 
 
-def keys_of(words: list[bytes]) -> set[int]:
-    """Keys of a line's segments and of the runs of words that may be a shorter or equal line's segment."""
-    n = len(words)
-    out = set()
+@lru_cache(maxsize=1 << 14)
+def probes(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, seeds) of a line's segments and of the runs of words that may be a shorter or equal line's segment."""
+    out = []
     for length in range(max(1, n - edits_of(n)), n + 1):
         edits, more = edits_of(length), n - length
         if not edits or more > edits:
@@ -68,10 +70,52 @@ def keys_of(words: list[bytes]) -> set[int]:
         for k, (at, size) in enumerate(segments(length, edits)):
             low = max(0, at - k, at + more - (edits - k))
             high = min(n - size, at + k, at + more + (edits - k))
-            seed = length * 64 + k
-            for start in range(low, high + 1):
-                out.add(xxhash.xxh64_intdigest(b" ".join(words[start : start + size]), seed) - (1 << 63))
-    return out
+            out += [(start, start + size, length * 64 + k) for start in range(low, high + 1)]
+    found = np.array(out, np.int64).reshape(-1, 3).T
+    return found[0], found[1], found[2].astype(np.uint64)
+
+
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
+
+
+@lru_cache(maxsize=64)
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of the base of the rolling hash, or of its inverse."""
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def keys_of(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, numbers of their lines): hashes of the runs of ``probes`` of each line, from rolling sums of word hashes.
+
+    Lines of one length are handled together. Different runs may share a key,
+    which verification sorts out; a line's keys are distinct as good as always.
+    """
+    keys, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    by_length: dict[int, list[int]] = {}
+    for number, words in enumerate(lines):
+        by_length.setdefault(len(words), []).append(number)
+    digest = xxhash.xxh64_intdigest
+    for n, numbers in by_length.items():
+        starts, ends, seeds = probes(n)
+        if not len(starts):
+            continue
+        step = max(1, (1 << 20) // n)
+        size = 1 << n.bit_length()
+        powers, back = _powers(_BASE, size), _powers(_BACK, size)
+        for at in range(0, len(numbers), step):
+            own = numbers[at : at + step]
+            words = np.fromiter((digest(w) for k in own for w in lines[k]), np.uint64, len(own) * n).reshape(len(own), n)
+            sums = np.zeros((len(own), n + 1), np.uint64)
+            np.cumsum(words * powers[:n], axis=1, out=sums[:, 1:])
+            # the run's sum, as if it stood at the line's start
+            h = (sums[:, ends] - sums[:, starts]) * back[starts]
+            h = (h ^ (h >> np.uint64(31)) ^ seeds * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xBF58476D1CE4E5B9)
+            keys.append((h ^ (h >> np.uint64(29))).view(np.int64).ravel())
+            owners.append(np.repeat(np.array(own, np.int64), len(starts)))
+    return np.concatenate(keys), np.concatenate(owners)
 
 
 def within(a: tuple, b: tuple, edits: int) -> bool:
@@ -228,22 +272,14 @@ def _distinct(raws: DataFrame) -> DataFrame:
 
 
 def _keyed(batches):
-    names = ["key", "item"]
-    for batch in slices(batches, 4 << 20):
-        keys, items = [], []
-        for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            own = keys_of(text.as_py().split(b" "))
-            keys.extend(own)
-            items.extend([item] * len(own))
-            if len(keys) > 1 << 16:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(items, pa.int64())], names=names)
-                keys, items = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(items, pa.int64())], names=names)
-
-
-def line_classes(rows: DataFrame) -> DataFrame:
-    """(h1, h2, root) of every line that has a near-duplicate of other text; ``rows`` has the texts as ``raw``."""
-    lines = _distinct(rows.select("raw"))
+    for batch in slices(batches, 2 << 20):
+        keys, owners = keys_of([text.as_py().split(b" ") for text in batch.column(1)])
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(batch.column(0).to_numpy()[owners])], names=["key", "item"])
+
+
+def line_classes(raws: DataFrame) -> DataFrame:
+    """(h1, h2, root) of every line of the texts ``raw`` that has a near-duplicate of other text."""
+    lines = _distinct(raws)
     pairs = spool(shared_keys(lines.select("item", "text").mapInArrow(_keyed, "key long, item long")), "keys")
     texts = pairs.join(lines.select("item", F.col("text").alias("extra")), "item").select("key", "item", "extra")
     roots = components(link_buckets(texts, forests, forest, BLOCK), "a", "b")
@@ -254,14 +290,14 @@ def line_classes(rows: DataFrame) -> DataFrame:
 
 def _classed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Line table with each line's class (c1, c2, near), and the classes of more than one line: their size and first line."""
-    lines = spool(_lines(rows), "places")
-    roots = line_classes(rows)
+    lines = spool(_lines(rows), "places")  # from here on places are read, not made again
+    roots = line_classes(rows.select("raw"))
     none = F.lit(0).cast("long")
     named = lines.join(roots, ["h1", "h2"], "left").select(
         "place", "doc_id", "line", F.coalesce("root", "h1").alias("c1"), F.when(F.col("root").isNull(), F.col("h2")).otherwise(none).alias("c2"), F.col("root").isNotNull().alias("near")
     )
     classed = spool(named, "classed")
-    discard(lines)
+    discard(lines, roots)
     order = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "place", "line")
     first = classed.filter("line >= 0").groupBy("c1", "c2", "near").agg(F.count("*").alias("n"), F.min(order).alias("first")).filter("n > 1")
     # written, so that the join after it reads both sides from their own shuffles and a hot class can be split
@@ -269,7 +305,7 @@ def _classed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def repeats(rows: DataFrame) -> DataFrame:
-    """(place, n_lines, n_links, class_id, dropped, kept_in) of every row of ``rows`` (place, doc_id, raw).
+    """(place, doc_id, n_lines, n_links, class_id, dropped, kept_in) of every row of ``rows`` (place, doc_id, raw).
 
     Lines come in the order of doc_id (null ids last), place and line number;
     of each class the first one stays.
@@ -277,12 +313,12 @@ def repeats(rows: DataFrame) -> DataFrame:
     classed, classes = _classed(rows)
     again = (F.col("first.place") != F.col("place")) | (F.col("first.line") != F.col("line"))
     linked = classed.filter("line >= 0").join(classes, ["c1", "c2", "near"]).select(
-        "place", (F.col("n") - 1).alias("links"), F.col("first.doc_id").alias("kept"), F.when(again, F.struct("line", F.col("first.doc_id").alias("kept"))).alias("gone"), F.lit(None).cast("long").alias("n_lines")
+        "place", (F.col("n") - 1).alias("links"), F.col("first.doc_id").alias("kept"), F.when(again, F.struct("line", F.col("first.doc_id").alias("kept"))).alias("gone"), F.lit(None).cast("long").alias("n_lines"), F.lit(None).alias("id")
     )
-    heads = classed.filter("line < 0").select("place", F.lit(0).cast("long").alias("links"), F.lit(None).alias("kept"), F.lit(None).alias("gone"), F.col("c1").alias("n_lines"))
+    heads = classed.filter("line < 0").select("place", F.lit(0).cast("long").alias("links"), F.lit(None).alias("kept"), F.lit(None).alias("gone"), F.col("c1").alias("n_lines"), F.col("doc_id").alias("id"))
     # a row's list is no longer than its lines
-    per_row = linked.unionByName(heads).groupBy("place").agg(F.max("n_lines").alias("n_lines"), F.sum("links").alias("n_links"), F.min("kept").alias("class_id"), F.sort_array(F.collect_list("gone")).alias("gone"))
-    return per_row.select("place", "n_lines", "n_links", "class_id", F.col("gone.line").alias("dropped"), F.col("gone.kept").alias("kept_in"))
+    per_row = linked.unionByName(heads).groupBy("place").agg(F.max("id").alias("doc_id"), F.max("n_lines").alias("n_lines"), F.sum("links").alias("n_links"), F.min("kept").alias("class_id"), F.sort_array(F.collect_list("gone")).alias("gone"))
+    return per_row.select("place", "doc_id", "n_lines", "n_links", "class_id", F.col("gone.line").alias("dropped"), F.col("gone.kept").alias("kept_in"))
 
 
 def _numbered(docs: DataFrame, *more) -> DataFrame:
@@ -302,11 +338,7 @@ def report(docs: DataFrame) -> DataFrame:
     links. A repeated row is a copy: the later one loses its lines. Rows are
     numbered once, in a table that all later steps read. Other columns are ignored.
     """
-    rows = spool(_numbered(docs), "rows")
-    ids = rows.select("place", "doc_id")
-    return ids.join(repeats(rows), "place").select(
-        "doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), "dropped", "kept_in", "n_links", "class_id"
-    )
+    return repeats(_numbered(docs)).select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), "dropped", "kept_in", "n_links", "class_id")
 
 
 def clean(docs: DataFrame) -> DataFrame:

@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _OWN: list[str] = []
+#: What this session has spooled and not deleted.
+_WRITTEN: set[str] = set()
 
 
 def _own_dir() -> str:
@@ -53,12 +55,23 @@ def spool(df: DataFrame, name: str) -> DataFrame:
         conf.set(_BATCH, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.spooled_at = path
+    _WRITTEN.add(path)
     return out
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete spooled tables that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.spooled_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df.spooled_at)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables that this session has spooled, once the results that read them are saved."""
+    for path in list(_WRITTEN):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _WRITTEN.discard(path)
