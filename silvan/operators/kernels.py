@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import stored
+from .trees import edges as tree_edges
 
 
 def pairs(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
@@ -39,9 +40,49 @@ def sparse_intersection(edges: DataFrame, block: int = VIDEO_BLOCK) -> DataFrame
     """(i, j, k), i <= j: mean over edge pairs of sum min(x, y), on the shared words only.
 
     For a word, the sum over all edge pairs of min(x, y) needs only the values,
-    so edges of one video with equal value are counted together first. Videos
-    are dealt to blocks by hash; a task takes a pair of blocks and finds all
-    sums of a word from sorted values and prefix sums, without their pairs.
+    so edges of one video with equal value are counted together first, and all
+    sums come from sorted values and prefix sums.
+    """
+
+    def least(xs, x, m):
+        below, count = np.append(0, np.cumsum(x * m)), np.append(0, np.cumsum(m))
+        k = np.searchsorted(x, xs)
+        return below[k] + xs * (count[-1] - count[k])
+
+    return _over_blocks(edges, least, block).select("i", "j", (F.col("s") / (F.col("ei") * F.col("ej"))).alias("k"))
+
+
+def sparse_chi_square(edges: DataFrame, block: int = VIDEO_BLOCK) -> DataFrame:
+    """(i, j, k), i <= j: mean over edge pairs of sum (x - y)^2 / (x + y), for values that are not negative.
+
+    A word that only one edge has adds its value, one that both have takes
+    4 x y / (x + y) off the sum of both, so shared words are enough.
+    """
+
+    def shared(xs, x, m):
+        both = xs[:, None] + x[None, :]
+        return (4 * xs[:, None] * x[None, :] / np.where(both > 0, both, 1)) @ m
+
+    sums = edges.groupBy("video_id").agg(F.sum("x").alias("t"))
+    a, b = (sums.select(F.col("video_id").alias(n), F.col("t").alias(f"t{n}")) for n in ("i", "j"))
+    met = _over_blocks(edges, shared, block).join(a, "i").join(b, "j")
+    return met.select("i", "j", ((F.col("ti") * F.col("ej") + F.col("tj") * F.col("ei") - F.col("s")) / (F.col("ei") * F.col("ej"))).alias("k"))
+
+
+def edge_kernel(nodes: DataFrame, kind: str = "intersection", norm: str = "l1", power: bool = False) -> DataFrame:
+    """(i, j, k), i <= j, over all edge pairs of histogram trees: kind linear, intersection or chi2; see ``trees.edges`` for the rest."""
+    kinds = {"linear": factored_linear, "intersection": sparse_intersection, "chi2": sparse_chi_square}
+    if kind not in kinds:
+        raise ValueError(f"unknown kind {kind!r}; known: {sorted(kinds)}")
+    return kinds[kind](tree_edges(nodes, norm, power))
+
+
+def _over_blocks(edges: DataFrame, function, block: int) -> DataFrame:
+    """(i, j, s, ei, ej), i <= j: sums over words and edge pairs of a function of two values, and the numbers of edges.
+
+    ``function(xs, x, m)`` sums, for each of ``xs``, over the sorted values x
+    that occur m times. Videos are dealt to blocks by hash; a task takes a pair
+    of blocks, so tasks grow with the pairs of videos, not with the words.
     """
     edges = stored(edges)  # read three times below
     values = edges.groupBy("video_id", "word_id", "x").agg(F.count("*").alias("m"))
@@ -70,19 +111,18 @@ def sparse_intersection(edges: DataFrame, block: int = VIDEO_BLOCK) -> DataFrame
             ends = np.flatnonzero(np.concatenate([[True], video[other][1:] != video[other][:-1], [True]]))
             for s, t in zip(ends[:-1], ends[1:], strict=True):
                 mine = other[s:t]
-                below = np.concatenate([[0], np.cumsum(x[mine] * m[mine])])
-                count = np.concatenate([[0], np.cumsum(m[mine])])
-                k = np.searchsorted(x[mine], xs)
-                least = below[k] + xs * (count[-1] - count[k])
-                total[:, np.searchsorted(right, video[mine[0]])] += np.bincount(at, least * ms, len(left))
+                total[:, np.searchsorted(right, video[mine[0]])] += np.bincount(at, function(xs, x[mine], m[mine]) * ms, len(left))
         i, j = np.meshgrid(left, right, indexing="ij")
         stay = i <= j if low == high else np.ones(i.shape, bool)
-        k = total / np.outer([sizes[v] for v in left.tolist()], [sizes[v] for v in right.tolist()]) if total.size else total
-        i, j, k = i[stay], j[stay], k[stay]
-        return pa.table({"i": np.minimum(i, j), "j": np.maximum(i, j), "k": k})
+        ei, ej = np.array([sizes[v] for v in left.tolist()], np.int64), np.array([sizes[v] for v in right.tolist()], np.int64)
+        ei, ej = np.broadcast_to(ei[:, None], i.shape)[stay], np.broadcast_to(ej[None, :], i.shape)[stay]
+        i, j, found = i[stay], j[stay], total[stay]
+        turned = i > j
+        low_e, high_e = np.where(turned, ej, ei), np.where(turned, ei, ej)
+        return pa.table({"i": np.minimum(i, j), "j": np.maximum(i, j), "s": found, "ei": low_e, "ej": high_e})
 
     kind = edges.schema["video_id"].dataType.simpleString()
-    return dealt.select("low", "high", "video_id", "word_id", "x", "m", "e", "own").groupBy("low", "high").applyInArrow(run, f"i {kind}, j {kind}, k double")
+    return dealt.select("low", "high", "video_id", "word_id", "x", "m", "e", "own").groupBy("low", "high").applyInArrow(run, f"i {kind}, j {kind}, s double, ei long, ej long")
 
 
 def factored_linear(edges: DataFrame) -> DataFrame:

@@ -454,6 +454,15 @@ def atep_intersection(spark, sf):
     return K.sparse_intersection(_edges(spark, sf)).withColumn("k", F.round("k", 6))
 
 
+CHI = """x AS (SELECT x.i, x.j, 2.0 - coalesce(s, 0.0) / (x.ei * x.ej) AS k FROM (SELECT a.video_id AS i, b.video_id AS j, a.e AS ei, b.e AS ej FROM ne a JOIN ne b ON a.video_id <= b.video_id) x LEFT JOIN (
+  SELECT a.video_id AS i, b.video_id AS j, sum(4 * a.x * b.x / (a.x + b.x)) AS s FROM e a JOIN e b ON a.word_id = b.word_id AND a.video_id <= b.video_id GROUP BY ALL) y ON x.i = y.i AND x.j = y.j)"""
+
+
+@query(f"WITH {BAGS}, {WORDS}, {NODES}, {EDGES}, {CHI} SELECT i, j, round(k, 6) AS k FROM x")
+def atep_chi_square(spark, sf):
+    return K.edge_kernel(T.bovw_tree(_assigned(spark, sf)), "chi2").withColumn("k", F.round("k", 6))
+
+
 @query(f"WITH {BAGS}, {WORDS}, {NODES}, {EDGES}, {FACTORED} SELECT i, j, round(k, 6) AS k FROM f")
 def atep_linear_factored(spark, sf):
     return K.factored_linear(_edges(spark, sf)).withColumn("k", F.round("k", 6))

@@ -105,7 +105,8 @@ def test_sparse_kernels_equal_all_edge_pairs(spark):
     dense = {}
     for v, n, w, x in rows:
         dense.setdefault((v, n), np.zeros(4))[w] = x
-    for function, product in ((K.sparse_intersection, np.minimum), (K.factored_linear, np.multiply)):
+    chi = lambda a, b: (a - b) ** 2 / np.where(a + b > 0, a + b, 1)
+    for function, product in ((K.sparse_intersection, np.minimum), (K.factored_linear, np.multiply), (K.sparse_chi_square, chi)):
         for r in function(edges).collect():
             want = np.mean([product(a, b).sum() for (i, _), a in dense.items() if i == r.i for (j, _), b in dense.items() if j == r.j])
             assert r.k == pytest.approx(want)
@@ -299,3 +300,31 @@ def test_stage_tables_and_lists(spark, tmp_path):
     assert {(r["name"], r["class"]) for r in got} == {("a b", "long_jump"), ("c", "long_jump")}
     spark.createDataFrame([(1, 0, 1)], "video_id long, class_id int, y int").write.parquet(str(tmp_path / "ids"))
     assert tables.dataset("indexed_split")(spark, str(tmp_path / "ids")).head().video_id == 0
+
+
+def test_stages_resume_and_represent(spark, tmp_path):
+    from silvan.plans import stages
+
+    base, raw = str(tmp_path / "out"), tmp_path / "raw"
+    raw.mkdir()
+    (raw / "a.tsv").write_text("\t".join(map(str, range(436))) + "\n")
+    assert stages.extract(spark, str(raw), base).count() == 1
+    (raw / "b.tsv").write_text(("\t".join(map(str, range(436))) + "\n") * 2)
+    (raw / "empty.tsv").write_text("")
+    assert stages.extract(spark, str(raw), base).count() == 3
+    assert stages.extract(spark, str(raw), base).count() == 3
+    assert list(stages.layout(base)) == ["tracklets", "clusters", "representations", "kernels", "results"]
+    rows = spark.createDataFrame([(1, 2, 1, [0.0, 1.0]), (1, 3, 2, [1.0, 0.0]), (1, 3, 3, [0.9, 0.0])], "video_id long, leaf long, t long, v array<double>")
+    words = spark.createDataFrame([(0, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [5.0, 5.0])], "word_id long, c array<double>")
+    gmm = spark.createDataFrame([(0, 0.5, [0.0, 1.0], [1.0, 1.0]), (1, 0.5, [1.0, 0.0], [1.0, 1.0])], "k int, w double, mu array<double>, var array<double>")
+    assert {r.node_id: r.v for r in stages.represent(rows, words, "bovw").collect()} == {1: [1.0, 2.0, 0.0], 2: [1.0, 0.0, 0.0], 3: [0.0, 2.0, 0.0]}
+    for kind, size in (("fv", 8), ("vd", 16)):
+        got = stages.represent(rows, gmm, kind).collect()
+        assert {r.node_id for r in got} == {1, 2, 3} and all(len(r.v) == size for r in got)
+        assert [r.node_id for r in stages.represent(rows, gmm, kind, treelike=False).collect()] == [1]
+    with pytest.raises(ValueError):
+        stages.represent(rows, gmm, "other")
+    tree = T.bovw_tree(T.nearest_words(rows, words))
+    assert stages.kernels(tree, "chi2", "l2", True).columns == ["fold_id", "feat", "i", "j", "k"]
+    with pytest.raises(ValueError):
+        K.edge_kernel(tree, "other")
