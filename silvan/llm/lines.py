@@ -77,9 +77,10 @@ def probes(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
+_TABLE = np.random.default_rng(20240202).integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
-@lru_cache(maxsize=64)
+@lru_cache(maxsize=16)
 def _powers(base: int, n: int) -> np.ndarray:
     """The first ``n`` powers of the base of the rolling hash, or of its inverse."""
     out = np.full(n, base, np.uint64)
@@ -87,34 +88,47 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def keys_of(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, numbers of their lines): hashes of the runs of ``probes`` of each line, from rolling sums of word hashes.
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
 
-    Lines of one length are handled together. Different runs may share a key,
-    which verification sorts out; a line's keys are distinct as good as always.
+
+def keys_of(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, numbers of their lines): hashes of the runs of ``probes`` of each line, from rolling sums of bytes and words.
+
+    ``lines`` are normal and not empty: words with one space between. Those of
+    one length are handled together. Unlike runs may share a key, which
+    verification sorts out.
     """
+    if not len(lines):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, offsets, data = lines.buffers()
+    cuts = np.frombuffer(offsets, np.int32)[lines.offset : lines.offset + len(lines) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8)[cuts[0] : cuts[-1]]
+    cuts = cuts - cuts[0]
+    size = 1 << len(data).bit_length()
+    powers, back = _powers(_BASE, size), _powers(_BACK, size)
+
+    def summed(values):
+        out = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * powers[: len(values)], out=out[1:])
+        return out
+
+    spaces = np.flatnonzero(data == 32)
+    starts, ends = np.sort(np.concatenate([cuts[:-1], spaces + 1])), np.sort(np.concatenate([cuts[1:], spaces]))
+    bytes_ = summed(_TABLE[data])
+    words = summed(_mixed((bytes_[ends] - bytes_[starts]) * back[starts]))
+    first = np.searchsorted(starts, cuts)
+    counts = first[1:] - first[:-1]
     keys, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    by_length: dict[int, list[int]] = {}
-    for number, words in enumerate(lines):
-        by_length.setdefault(len(words), []).append(number)
-    digest = xxhash.xxh64_intdigest
-    for n, numbers in by_length.items():
-        starts, ends, seeds = probes(n)
-        if not len(starts):
-            continue
-        step = max(1, (1 << 20) // n)
-        size = 1 << n.bit_length()
-        powers, back = _powers(_BASE, size), _powers(_BACK, size)
-        for at in range(0, len(numbers), step):
-            own = numbers[at : at + step]
-            words = np.fromiter((digest(w) for k in own for w in lines[k]), np.uint64, len(own) * n).reshape(len(own), n)
-            sums = np.zeros((len(own), n + 1), np.uint64)
-            np.cumsum(words * powers[:n], axis=1, out=sums[:, 1:])
-            # the run's sum, as if it stood at the line's start
-            h = (sums[:, ends] - sums[:, starts]) * back[starts]
-            h = (h ^ (h >> np.uint64(31)) ^ seeds * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xBF58476D1CE4E5B9)
-            keys.append((h ^ (h >> np.uint64(29))).view(np.int64).ravel())
-            owners.append(np.repeat(np.array(own, np.int64), len(starts)))
+    order = np.argsort(counts, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(counts[order])) + 1):
+        low, high, seeds = probes(int(counts[own[0]]))
+        if len(low):
+            at = first[own][:, None]
+            h = (words[at + high] - words[at + low]) * back[at + low]
+            keys.append(_mixed(h ^ seeds * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64).ravel())
+            owners.append(np.repeat(own, len(low)))
     return np.concatenate(keys), np.concatenate(owners)
 
 
@@ -273,7 +287,7 @@ def _distinct(raws: DataFrame) -> DataFrame:
 
 def _keyed(batches):
     for batch in slices(batches, 2 << 20):
-        keys, owners = keys_of([text.as_py().split(b" ") for text in batch.column(1)])
+        keys, owners = keys_of(batch.column(1))
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(batch.column(0).to_numpy()[owners])], names=["key", "item"])
 
 
@@ -281,7 +295,11 @@ def line_classes(raws: DataFrame) -> DataFrame:
     """(h1, h2, root) of every line of the texts ``raw`` that has a near-duplicate of other text."""
     lines = _distinct(raws)
     pairs = spool(shared_keys(lines.select("item", "text").mapInArrow(_keyed, "key long, item long")), "keys")
-    texts = pairs.join(lines.select("item", F.col("text").alias("extra")), "item").select("key", "item", "extra")
+    # near lines share many keys: of the buckets that hold the same two lines one is enough
+    sizes = pairs.groupBy("key").agg(F.count("*").alias("n"), F.min("item").alias("a"), F.max("item").alias("b"))
+    enough = sizes.filter("n = 2").groupBy("a", "b").agg(F.min("key").alias("key")).select("key").union(sizes.filter("n > 2").select("key"))
+    buckets = pairs.join(enough, "key", "left_semi")
+    texts = buckets.join(lines.select("item", F.col("text").alias("extra")), "item").select("key", "item", "extra")
     roots = components(link_buckets(texts, forests, forest, BLOCK), "a", "b")
     out = spool(lines.join(roots, lines.item == roots.node).select("h1", "h2", "root"), "roots")
     discard(pairs, lines)

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,7 +170,7 @@ def test_edit_distance_and_segments():
         like = d <= lines.edits_of(min(len(one), len(two)))
         assert lines.near(tuple(one), tuple(two)) == (like and lines.edits_of(min(len(one), len(two))) > 0)
         if lines.near(tuple(one), tuple(two)):
-            keys, owners = lines.keys_of([one, two])
+            keys, owners = lines.keys_of(pa.array([b"left out", b" ".join(one), b" ".join(two)])[1:])
             assert set(keys[owners == 0]) & set(keys[owners == 1])
 
 
@@ -698,3 +699,44 @@ def test_language_of_odd_tables(spark, sf):
     assert len(got) == 5 and langid.identify(every.limit(0)).count() == 0
     # equal shares: the first language in order
     assert min({"b": 0.5, "a": 0.5}, key=lambda x: (-0.5, x)) == "a"
+
+
+def test_packing_of_one_source_and_its_bins(spark):
+    rows = [(k, " ".join(["w"] * (k % 7 + 1)) + f" x{k}", "only") for k in range(30)] + [(99, None, "only"), (98, " ", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert packing.bins(docs, capacity=16).count() == 30  # no two of a source share a bin
+    free = docs.withColumn("source", F.lit(None).cast("string"))
+    placed = packing.pack(free, capacity=16).filter("bin_id is not null").collect()
+    want = {}
+    for x in sorted(placed, key=lambda x: x.start):
+        want.setdefault(x.bin_id, []).append((x.doc_id, x.piece, x.start, x.n_words))
+    for b in packing.bins(free, capacity=16).collect():
+        mine = want.pop(b.bin_id)
+        assert (b.n_words, b.doc_ids, b.pieces, b.starts) == (sum(x[3] for x in mine), [x[0] for x in mine], [x[1] for x in mine], [x[2] for x in mine])
+    assert not want
+
+
+def test_spooled_tables_are_swept(spark, tmp_path):
+    import os
+
+    from silvan.llm import spool
+
+    df = spool.spool(spark.range(3), "kept")
+    place = df.spooled_at.removeprefix("file://")
+    assert os.path.isdir(place) and df.count() == 3
+    spool.sweep(spark)
+    assert not os.path.exists(place) and not spool._WRITTEN
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from silvan.llm import spool
+
+    def fake(master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, other: None), sparkContext=SimpleNamespace(master=master))
+
+    for master in ("spark://host:7077", "local-cluster[3,2,1024]", "yarn"):
+        with pytest.raises(ValueError):
+            spool.shared_dir(fake(master))
+    assert spool.shared_dir(fake("local[4]"))
