@@ -180,6 +180,15 @@ def merge_tagged(**frames: DataFrame) -> DataFrame:
     return out
 
 
+def merge_lists(frames: list[DataFrame], keys: list[str], value: str) -> DataFrame:
+    """(*keys, value): the sorted list of the values that all tables have under a key; colliding ones are kept side by side."""
+    out = None
+    for df in frames:
+        df = df.select(*keys, value)
+        out = df if out is None else out.unionByName(df)
+    return out.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias(value))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that can be reached, by repeated least-neighbour steps and jumps."""
     both = stored(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())

@@ -279,6 +279,14 @@ def simplex_grid(spark, sf):
     return R.simplex_grid(spark, 3)
 
 
+@query("SELECT user_id, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) AS counts FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY 1")
+def merged_counts(spark, sf):
+    """Tables of several methods merged by key; values that collide become a list."""
+    events = S.table(spark, sf, "events")
+    counts = [events.filter(F.col("event_type") == t).groupBy("user_id").agg(F.count("*").alias("n")) for t in sorted(r[0] for r in events.select("event_type").distinct().collect())]
+    return R.merge_lists(counts, ["user_id"], "n").select("user_id", F.array_join(F.transform("n", lambda x: x.cast("string")), ",").alias("counts"))
+
+
 @query("SELECT event_type, method, user_id, n FROM (SELECT event_type, 'events' AS method, user_id, count(*) AS n, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, user_id) AS r FROM events GROUP BY event_type, user_id) WHERE r = 1")
 def grid_argmax(spark, sf):
     counts = S.table(spark, sf, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
@@ -418,6 +426,14 @@ def kernel_linear(spark, sf):
     return K.kernel(_roots(spark, sf), V.dot).withColumn("k", _r(F.col("k")))
 
 
+@query(f"WITH {BAGS}, {ROOTS}, f AS (SELECT * FROM (VALUES ('all', 0, 64), ('none', 64, 64)) AS f(feat, low, high)), q AS (SELECT feat, a.video_id AS i, b.video_id AS j, sum(CASE WHEN a.dim >= low AND a.dim < high THEN a.x * b.x ELSE 0 END) AS k FROM f, o a JOIN o b ON a.dim = b.dim AND a.video_id <= b.video_id GROUP BY ALL) SELECT feat, i, j, round(k, 6) + 0.0 AS k FROM q WHERE feat IN (SELECT feat FROM q GROUP BY feat HAVING max(abs(k)) > 0)")
+def nonzero_kernels(spark, sf):
+    """Kernels of an empty channel are left out."""
+    every = K.kernel(_roots(spark, sf), V.dot)
+    both = every.withColumn("feat", F.lit("all")).unionByName(every.select("i", "j", F.lit(0.0).alias("k"), F.lit("none").alias("feat")))
+    return K.nonzero(both, "feat").select("feat", "i", "j", _r(F.col("k")).alias("k"))
+
+
 @query(f"WITH {BAGS}, {ROOTS} SELECT a.video_id AS i, b.video_id AS j, round(sum(least(abs(a.x), abs(b.x))), 6) AS k {MET}")
 def kernel_intersection(spark, sf):
     return K.kernel(_roots(spark, sf), V.intersection).withColumn("k", _r(F.col("k")))

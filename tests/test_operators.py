@@ -328,3 +328,10 @@ def test_stages_resume_and_represent(spark, tmp_path):
     assert stages.kernels(tree, "chi2", "l2", True).columns == ["fold_id", "feat", "i", "j", "k"]
     with pytest.raises(ValueError):
         K.edge_kernel(tree, "other")
+
+
+def test_a_kernel_above_the_bound_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(L, "MAX_VIDEOS", 3)
+    k = spark.createDataFrame([(i, j, 1.0) for i in range(6) for j in range(6)], "i long, j long, k double")
+    with pytest.raises(ValueError):
+        L.svm_scores(k, spark.createDataFrame([(1, 0, 1)], "video_id long, class_id int, y int"), [1.0])
