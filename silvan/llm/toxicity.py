@@ -180,9 +180,13 @@ class Index:
         for at in range(0, len(have), BATCH):
             own = have[at : at + BATCH]
             part = p.take(best[own])
-            for k, row in zip(own, self.products(part) / np.maximum(part.norms, 1e-30)[:, None], strict=True):
-                top = [x for x in np.lexsort((np.arange(len(row)), -row))[:SHOWN] if row[x] > 0]
-                out[k] = [{"id": str(self.ids[x]), "cosine": float(row[x]), "toxic": int(self.labels[x])} for x in top]
+            cosines = self.products(part) / np.maximum(part.norms, 1e-30)[:, None]
+            top = np.sort(np.argpartition(-cosines, SHOWN - 1, axis=1)[:, :SHOWN], axis=1)
+            values = np.take_along_axis(cosines, top, axis=1)
+            order = np.argsort(-values, axis=1, kind="stable")
+            top, values = np.take_along_axis(top, order, axis=1), np.take_along_axis(values, order, axis=1)
+            for k, places, found in zip(own.tolist(), top.tolist(), values.tolist(), strict=True):
+                out[k] = [{"id": str(self.ids[x]), "cosine": c, "toxic": int(self.labels[x])} for x, c in zip(places, found, strict=True) if c > 0]
         return out
 
 
