@@ -31,6 +31,8 @@ from .phrases import LENGTH, SIDE, TRIGGER, hashes, inner_runs, parse
 from .spool import discard, spool
 from .text import as_bytes, slices, to_batch
 
+#: Rows of each part that the driver looks at to cut a sort into ranges; their keys are texts.
+SAMPLE = "20"
 #: Bytes after an anchor that tell its group; strings that start LENGTH - GROUP bytes back or more always count as mixed.
 GROUP = 64
 #: Bytes before an anchor that tell its group too, for strings that start so far back at least.
@@ -197,7 +199,7 @@ def _parse_order(anchors: DataFrame) -> tuple[DataFrame, dict]:
             yield pa.RecordBatch.from_pylist([row(held[0], held[1], 0, held[0][2])], schema)
 
     rows = anchors.select("tid", "k", "context").orderBy("context", "tid", "k").withColumn("rank", F.monotonically_increasing_id())
-    ordered = spool(rows.mapInArrow(run, "tid long, k int, rank long, up int, down int, edge binary"), "parse")
+    ordered = spool(rows.mapInArrow(run, "tid long, k int, rank long, up int, down int, edge binary"), "parse", execution__rangeExchange__sampleSizePerPartition=SAMPLE)
     edges = ordered.filter("edge is not null").select("rank", "edge").orderBy("rank").collect()  # two rows a task at most
     known: dict[int, list[int]] = {}
     for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -386,7 +388,7 @@ def _neighbours(found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (place, tid, start, s1, s2, hit, ask, np.ones(1, bool))], schema=schema)
 
     rows = _corpus_order(found).withColumn("place", F.monotonically_increasing_id()).select("place", "tid", F.col("first").alias("start"), "s1", "s2", "ask")
-    near = spool(rows.mapInArrow(run, "place long, tid long, start long, s1 long, s2 long, hit boolean, ask boolean, edge boolean"), "order")
+    near = spool(rows.mapInArrow(run, "place long, tid long, start long, s1 long, s2 long, hit boolean, ask boolean, edge boolean"), "order", execution__rangeExchange__sampleSizePerPartition=SAMPLE)
     edges = near.filter("edge").orderBy("place").collect()  # two rows a task at most
     more = []
     for a, b in zip(edges[:-1], edges[1:], strict=True):

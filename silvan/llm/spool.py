@@ -39,20 +39,25 @@ def _own_dir() -> str:
     return _OWN[0]
 
 
-def spool(df: DataFrame, name: str) -> DataFrame:
+def spool(df: DataFrame, name: str, **settings: str) -> DataFrame:
     """``df``, written as Parquet into the shared folder and reread. Its path is in ``spooled_at``.
 
+    ``settings`` of the session (dots as double underscores, after spark.sql) hold while it is written.
+
     The rows are fixed from then on: whatever was numbered before (places, ranks)
     stays so in every later job, however the input would be split by then.
     """
     conf = df.sparkSession.conf
     path = f"{shared_dir(df.sparkSession)}/silvan-{name}-{uuid.uuid4().hex}"
-    before = conf.get(_BATCH)
-    conf.set(_BATCH, _BATCH_BYTES)
+    held = {_BATCH: _BATCH_BYTES, **{"spark.sql." + k.replace("__", "."): v for k, v in settings.items()}}
+    before = {k: conf.get(k) for k in held}
     try:
+        for k, v in held.items():
+            conf.set(k, v)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        conf.set(_BATCH, before)
+        for k, v in before.items():
+            conf.set(k, v)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.spooled_at = path
     _WRITTEN.add(path)

@@ -254,8 +254,8 @@ def test_results_do_not_follow_the_splits(spark, sf, job, monkeypatch):
     modules = [m for m in (lines, repeats, simhash, packing, licenses) if hasattr(m, "spool")]
     sizes = iter([20_000, 60_000, 200_000, 10_000] * 20)
     for m in modules:
-        def moved(df, name, spool=m.spool):
-            out = spool(df, name)
+        def moved(df, name, spool=m.spool, **settings):
+            out = spool(df, name, **settings)
             spark.conf.set(conf, str(next(sizes)))
             return out
 
@@ -740,3 +740,18 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
         with pytest.raises(ValueError):
             spool.shared_dir(fake(master))
     assert spool.shared_dir(fake("local[4]"))
+
+
+def test_mixture_of_two_languages_is_the_likeliest():
+    rng = np.random.default_rng(6)
+    p = rng.dirichlet(np.full(60, 0.3), size=2).T + 1e-6
+    model = langid.Model(["a", "b"], p)
+    for share in (0.1, 0.5, 0.8):
+        counts = rng.multinomial(800, (p @ [share, 1 - share]) / (p @ [share, 1 - share]).sum()).astype(float)
+        w, fit = model.mixture(p, counts)
+        grid = np.linspace(0.001, 0.999, 999)
+        fits = np.log(p @ np.stack([grid, 1 - grid])).T @ counts
+        assert abs(w[0] - grid[np.argmax(fits)]) < 0.01 and fit > fits.max() - 0.05
+        assert list(model.shares(p, counts)) == ["a", "b"]
+    alone = rng.multinomial(800, p[:, 0] / p[:, 0].sum()).astype(float)
+    assert list(model.shares(p, alone)) == ["a"]
