@@ -37,6 +37,17 @@ def normal(line: bytes) -> bytes:
     return b" ".join(line.split())
 
 
+#: White space that a line may hold besides single spaces.
+_ODD = (b"  ", b"\t", b"\r", b"\x0b", b"\x0c")
+
+
+def normal_lines(raw: bytes) -> list[bytes]:
+    """The normal form of every line of a text."""
+    if any(x in raw for x in _ODD):
+        return [normal(line) for line in raw.split(b"\n")]
+    return [line.strip(b" ") for line in raw.split(b"\n")]
+
+
 def line_hash(line: bytes) -> tuple[int, int]:
     """128-bit hash as two signed numbers."""
     h = xxhash.xxh3_128_intdigest(line)
@@ -247,8 +258,8 @@ def _lines(rows: DataFrame) -> DataFrame:
         for batch in slices(batches):
             rowsat, numbers, ones, twos = [], [], [], []
             for k, raw in enumerate(batch.column(2)):
-                own = (raw.as_py() or b"").split(b"\n")
-                found = [(-1, len(own), 0), *((number, *line_hash(line)) for number, line in enumerate(map(normal, own)) if line)]
+                own = normal_lines(raw.as_py() or b"")
+                found = [(-1, len(own), 0), *((number, *line_hash(line)) for number, line in enumerate(own) if line)]
                 for have, new in zip((numbers, ones, twos), zip(*found, strict=True), strict=True):
                     have.extend(new)
                 rowsat.extend([k] * len(found))
@@ -268,10 +279,8 @@ def _distinct(raws: DataFrame) -> DataFrame:
         for batch in slices(batches, 4 << 20):
             out = {f.name: [] for f in schema}
             for raw in batch.column(0):
-                for line in (raw.as_py() or b"").split(b"\n"):
-                    words = line.split()
-                    if len(words) >= least:
-                        line = b" ".join(words)
+                for line in normal_lines(raw.as_py() or b""):
+                    if line.count(b" ") + 1 >= least:
                         h = line_hash(line)
                         if h not in seen:
                             if len(seen) >= REMEMBERED:

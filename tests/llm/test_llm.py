@@ -228,6 +228,11 @@ def test_short_lines_go_where_they_repeat(spark, tmp_path):
     assert {x.doc_id: x.text for x in lines.clean(df).collect()} == {1: "Home\nAbout us\n", 2: " home\n\nAbout uz", 3: ""}
 
 
+def test_normal_lines():
+    for raw in (b"", b"a b\nc", b" a b \n\n  c\td\re ", b"a\x0b b\x0cc\n d", "é\u00a0x \n y".encode()):
+        assert lines.normal_lines(raw) == [lines.normal(line) for line in raw.split(b"\n")]
+
+
 def test_lines_with_a_word_replaced_are_near(spark):
     line = "The committee met on Tuesday and agreed to publish the whole report before the summer recess begins."
     rows = [(1, line), (2, line.replace("Tuesday", "Wednesday")), (3, line.replace("whole", "entire").replace("summer", "winter")), (4, line.replace("met", "sat").replace("agreed", "refused").replace("publish", "print"))]
