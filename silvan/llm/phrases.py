@@ -10,13 +10,13 @@ LENGTH = 400
 #: Bytes of the rolling hash that sets triggers; neighbouring phrases share so many.
 TRIGGER = 16
 #: One place in so many is a trigger.
-SPACING = 48
+SPACING = 64
 _TABLE = np.random.default_rng(20240101).integers(0, 1 << 64, 256, dtype=np.uint64)
 _LIMIT = np.uint64((1 << 64) // SPACING)
 #: Places whose hashes are held at a time.
 _CHUNK = 1 << 20
 #: A string without a trigger goes by the least hash of so many places in its middle (a power of two), and so many bytes to either side.
-WINDOW, SIDE = 128, 128
+WINDOW, SIDE = 16, 192
 _LEAD = (LENGTH - WINDOW) // 2
 
 

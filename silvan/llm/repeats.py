@@ -36,7 +36,7 @@ SAMPLE = "20"
 #: Bytes after an anchor that tell its group; strings that start LENGTH - GROUP bytes back or more always count as mixed.
 GROUP = 64
 #: Bytes before an anchor that tell its group too, for strings that start so far back at least.
-BACK = (0, 8, 24)
+BACK = (0, 8, 24, 64, 128)
 #: Bytes of a string without a trigger that put it in order; its hash does the rest.
 PREFIX = 64
 
