@@ -256,21 +256,23 @@ class Found:
         return pa.RecordBatch.from_arrays(columns, schema=_FOUND)
 
 
-def settle(tid: int, raw: bytes, known: list[dict], edges: dict, out: Found, every: bool = False) -> None:
+def settle(tid: int, raw: bytes, known: tuple[np.ndarray, ...], edges: dict, out: Found, every: bool = False) -> None:
     """Adds the runs of one text that are sure, and the starts that wait for the order of the corpus, to ``out``."""
     starts, ends = parse(raw)
     m, latest = len(starts), len(raw) - LENGTH
     rank, up, down, mixed = np.full(m, -1), np.zeros(m, np.int64), np.zeros(m, np.int64), np.full((m, len(BACK)), every)
     firsts, lasts, _ = inner_runs(raw, starts, ends)
     shown = np.full(len(firsts), every)
-    for r in known:
-        if r["k"] < 0:
-            shown[-1 - r["k"]] = True
-        elif r["rank"] is None:
-            mixed[r["k"], BACK.index(r["up"])] = True
-        else:
-            extra = edges.get(r["rank"], (0, 0))
-            rank[r["k"]], up[r["k"]], down[r["k"]] = r["rank"], max(r["up"], extra[0]), max(r["down"], extra[1])
+    # rows of the parse order, else bytes before an anchor that occur elsewhere too, else runs inside long phrases
+    k, ranks, ups, downs = known
+    shown[-1 - k[k < 0]] = True
+    own = (k >= 0) & (ranks < 0)
+    mixed[k[own], np.searchsorted(BACK, ups[own])] = True
+    own = ranks >= 0
+    rank[k[own]], up[k[own]], down[k[own]] = ranks[own], ups[own], downs[own]
+    for place in np.flatnonzero(np.isin(rank, edges["ranks"])).tolist():
+        more = edges["common"][int(rank[place])]
+        up[place], down[place] = max(up[place], more[0]), max(down[place], more[1])
     most = np.maximum(up, down)
     next_ = np.append(starts[1:], len(raw))
     # the last start of each phrase that its like in another place settles, and the last that a row before it in order shows
@@ -304,20 +306,24 @@ def settle(tid: int, raw: bytes, known: list[dict], edges: dict, out: Found, eve
         out.wait(tid, 0, own[first], (asked & (count[inverse] == 1))[first], [raw[i : i + PREFIX] for i in own[first].tolist()], [strings[i] for i in first.tolist()])
 
     # strings whose next trigger starts a phrase: by distance from it, the further back, the more bytes before it must occur elsewhere too
-    for k in np.flatnonzero(rank[1:] >= 0) + 1:
-        anchor, j = int(starts[k]), k - 1
-        low, high = max(int(starts[j]), anchor + TRIGGER - LENGTH, 0), min(anchor - 1, latest)
+    after = np.flatnonzero(rank[1:] >= 0) + 1
+    anchors, before = starts[after], after - 1
+    low = np.maximum(np.maximum(starts[before], anchors + TRIGGER - LENGTH), 0)
+    high = np.minimum(anchors - 1, latest)
+    asks = np.maximum(low, done[before] + 1) <= np.minimum(high, anchors + most[after] - LENGTH)
+    shown = np.maximum(low, shows[before] + 1) <= np.minimum(high, done[before])
+    open_ = mixed[after].any(axis=1) | (low <= anchors - (LENGTH - GROUP))
+    for n in np.flatnonzero((asks | shown) & open_ | every).tolist():
+        k, anchor, first, last = int(after[n]), int(anchors[n]), int(low[n]), int(high[n])
         bounds = [anchor - back for back in BACK] + [anchor - (LENGTH - GROUP)]
-        bands = [(max(low, near + 1), min(high, far)) for far, near, some in zip(bounds[:-1], bounds[1:], mixed[k], strict=True) if some]
-        bands.append((low, min(high, bounds[-1])))
-        own = np.concatenate([np.arange(a, b + 1) for a, b in bands])
-        ask = own > done[j]
+        places = [i for far, near, some in zip(bounds[:-1], bounds[1:], mixed[k].tolist(), strict=True) if some for i in range(max(first, near + 1), min(last, far) + 1)]
+        places += range(first, min(last, bounds[-1]) + 1)
+        settled, shows_to, asks_to = int(done[k - 1]), int(shows[k - 1]), anchor + int(most[k]) - LENGTH
         if not every:
-            stay = np.where(ask, own <= anchor + most[k] - LENGTH, own > shows[j])
-            own, ask = own[stay], ask[stay]
-        if len(own):
-            places = own.tolist()
-            out.wait(tid, int(rank[k]), own, ask, [raw[i : anchor + TRIGGER] for i in places], [digest(raw[i : i + LENGTH]) for i in places])
+            places = [i for i in places if (i <= asks_to if i > settled else i > shows_to)]
+        if places:
+            own = np.array(places, np.int64)
+            out.wait(tid, int(rank[k]), own, own > settled, [raw[i : anchor + TRIGGER] for i in places], [digest(raw[i : i + LENGTH]) for i in places])
 
 
 def _settled(texts: DataFrame, every: bool = False) -> DataFrame:
@@ -328,7 +334,8 @@ def _settled(texts: DataFrame, every: bool = False) -> DataFrame:
     around = anchors.filter("before is not null").select("tid", "k", "before", F.posexplode("groups").alias("level", "group"))
     groups = spool(around.groupBy("group").agg(F.min("before").alias("low"), F.max("before").alias("high")).filter("low < high").select("group"), "groups")
     mixed = spool(around.join(groups, "group", "left_semi").select("tid", "k", F.element_at(F.array(*map(F.lit, BACK)), F.col("level") + 1).alias("back")), "mixed")
-    ordered, edges = _parse_order(anchors)
+    ordered, common_ = _parse_order(anchors)
+    edges = {"ranks": np.array(sorted(common_), np.int64), "common": common_}
     discard(anchors)
     none = F.lit(None)
     runs = live.select("tid", F.explode(F.filter("live", lambda k: k < 0)).alias("k"), none.cast("long"), none.cast("int"), none.cast("int"))
@@ -338,8 +345,9 @@ def _settled(texts: DataFrame, every: bool = False) -> DataFrame:
     def run(batches):
         for batch in slices(batches, 1 << 20):
             out = Found()
-            for tid, raw, known in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                settle(tid, raw.as_py(), known, edges, out, every)
+            for tid, raw, known in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                columns = tuple(c.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for c in known.values.flatten())
+                settle(tid, raw.as_py(), columns, edges, out, every)
                 if len(out) > 1 << 15:
                     yield out.batch()
                     out = Found()
